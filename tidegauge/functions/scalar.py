@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import as_col
+from tidegauge.operators.ordering import as_col, let
 
 EARTH_KM = 6371.0  # fixed value: mean earth radius
 VERDICT = r"(?i)VERDICT:\s*([A-Za-z_][A-Za-z0-9_]*)"  # fixed pattern: the vote line of a statement
@@ -29,9 +29,8 @@ def sigmoid(z: Column) -> Column:
 
 
 def softmax(a: Column | str) -> Column:
-    a = as_col(a)
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = let(F.array_max(as_col(a)).cast("double"), lambda m: F.transform(as_col(a), lambda x: F.exp(x.cast("double") - m)))
+    return let(e, lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, y: s + y), lambda t: F.transform(v, lambda x: x / t)))
 
 
 def argmax(a: Column | str) -> Column:
@@ -54,17 +53,23 @@ def extract_verdict(text: Column | str) -> Column:
     return F.nullif(F.upper(F.regexp_extract(as_col(text), VERDICT, 1)), F.lit(""))
 
 
+def _grams(parts: Column, n: int, glue: str) -> Column:
+    def cut(p):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(p) - n + 1, F.lit(1)))
+        return F.when(F.size(p) >= n, F.transform(starts, lambda i: F.array_join(F.slice(p, i, F.lit(n)), glue))).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(parts, cut)
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams joined by a blank; empty when the text is shorter."""
-    return F.when(F.size(tokens) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    return _grams(tokens, n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    """Character n-grams. The text is split once: a substring call per position would be quadratic."""
+    return _grams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
 
 
 def clean_amount(text: Column | str) -> Column:

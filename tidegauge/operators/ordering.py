@@ -17,6 +17,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression; Catalyst would otherwise paste it wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
     """Put a one-row aggregate beside every row, as a struct column from a scalar subquery."""
     return df.withColumn(name, one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar())

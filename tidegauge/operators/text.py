@@ -13,7 +13,8 @@ def words(text: Column | str) -> Column:
 def chunk_words(df: DataFrame, key: str, text: str, size: int = 100, overlap: int = 20) -> DataFrame:
     """Word windows per document: (key, ordinal, chunk). The last window is the first to reach the end."""
     step = size - overlap
-    w = df.select(key, words(text).alias("_w")).where(F.size("_w") > 0)
+    # a generator keeps the token array from being pasted into each window
+    w = df.select(key, F.explode(F.array(words(text))).alias("_w")).where(F.size("_w") > 0)
     last = F.greatest(F.ceil((F.size("_w") - F.lit(size)) / F.lit(step)), F.lit(0)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("_w", i * step + 1, F.lit(size)), " "))
     return w.select(key, F.posexplode(cut).alias("ordinal", "chunk"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import as_col, attach
+from tidegauge.operators.ordering import as_col, attach, let
 
 QUERY_BLOCK = 2048  # query vectors packed into one row: bounds the matrix a task holds
 
@@ -33,35 +33,42 @@ def euclid(a: Column | str, b: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """The vector divided by its length (zero vectors stay zero)."""
-    n = norm(a)
-    return F.transform(as_col(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(norm(a), lambda n: F.transform(as_col(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
-def _pack(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Arrow batches of (key, vector) as one row each: a key array and a flat matrix."""
+def _pack(df: DataFrame, key: str, vec: str, group: Column) -> DataFrame:
+    """Arrow batches of (group, key, vector) as one row per group: a key array and a flat matrix."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in b["v"]])
-                yield pd.DataFrame({"ids": [b["k"].to_numpy()], "mat": [flat]})
+            for g, part in b.groupby("g", sort=False):
+                flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in part["v"]])
+                yield pd.DataFrame({"g": [g], "ids": [part["k"].to_numpy()], "mat": [flat]})
 
-    cols = df.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v"))
-    return cols.mapInPandas(run, "ids array<long>, mat array<double>")
+    cols = df.select(group.cast("string").alias("g"), F.col(key).cast("long").alias("k"), F.col(vec).alias("v"))
+    return cols.mapInPandas(run, "g string, ids array<long>, mat array<double>")
 
 
-def top_k_cosine(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine top-k per query: (query_id, key, score, rank), ties to the smaller key.
+def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, metric: str = "cosine",
+          exclude_self: bool = False, by: str | None = None) -> DataFrame:
+    """Exact top-k per query: (query_id, key, score, rank), ties to the smaller key.
 
-    Queries are packed into blocks of bounded size and each corpus batch meets each block once, as a
-    matrix product that keeps only its own k best per query. What is shuffled is k rows per query and
-    batch, never a row per pair.
+    ``metric`` is ``cosine`` (larger is nearer) or ``euclid`` (score is minus the distance); ``by`` restricts
+    the search to the query's own group. Queries are packed into blocks of bounded size and each corpus
+    batch meets each block once, as a matrix product that keeps only its own k best per query. What is
+    shuffled is k rows per query and batch, never a row per pair.
     """
-    q = queries.select(F.col(key).cast("long").alias("qid"), F.col(vec).alias("qv"))
+    group = F.col(by) if by else F.lit("all")
+    q = queries.select(group.cast("string").alias("g"), F.col(key).cast("long").alias("qid"), F.col(vec).alias("qv"))
     blocks = q.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)), F.lit(1)).cast("int").alias("n"))
-    qb = attach(q, blocks).withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("_s.n")).cast("int")).groupBy("blk").agg(
+    # about QUERY_BLOCK queries meet in one row, also when one group owns them all
+    qb = attach(q, blocks).withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("_s.n")).cast("int")).groupBy("g", "blk").agg(
         F.collect_list(F.struct("qid", "qv")).alias("qs"))
-    qb = qb.select("blk", F.col("qs.qid").alias("qids"), F.transform(F.flatten("qs.qv"), lambda x: x.cast("double")).alias("qmat"))
-    cb = attach(_pack(corpus, key, vec), blocks).select("ids", "mat", F.explode(F.sequence(F.lit(0), F.col("_s.n") - 1)).alias("blk"))
+    qb = qb.select("g", "blk", F.col("qs.qid").alias("qids"), F.transform(F.flatten("qs.qv"), lambda x: x.cast("double")).alias("qmat"))
+    cb = attach(_pack(corpus, key, vec, group), blocks).select("g", "ids", "mat", F.explode(F.sequence(F.lit(0), F.col("_s.n") - 1)).alias("blk"))
+
+    def scaled(m):
+        length = np.linalg.norm(m, axis=1)
+        return m / np.where(length > 0, length, 1.0)[:, None]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -69,12 +76,14 @@ def top_k_cosine(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: i
                 ids, qids = np.asarray(r.ids), np.asarray(r.qids)
                 cm = np.asarray(r.mat).reshape(len(ids), -1)
                 qm = np.asarray(r.qmat).reshape(len(qids), -1)
-                cl = np.linalg.norm(cm, axis=1)
-                ql = np.linalg.norm(qm, axis=1)
-                cm = cm / np.where(cl > 0, cl, 1.0)[:, None]
-                qm = qm / np.where(ql > 0, ql, 1.0)[:, None]
+                if metric == "cosine":
+                    cm, qm = scaled(cm), scaled(qm)
+                c2 = (cm * cm).sum(axis=1)
                 for lo in range(0, len(qids), 256):
-                    s = qm[lo:lo + 256] @ cm.T
+                    part = qm[lo:lo + 256]
+                    s = part @ cm.T
+                    if metric == "euclid":
+                        s = -np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + c2[None, :] - 2 * s, 0.0))
                     want = min(len(ids), k + 1 if exclude_self else k)
                     # all scores at or above the k-th best, so that ties are settled by key below
                     cut = np.partition(s, s.shape[1] - want, axis=1)[:, s.shape[1] - want]
@@ -85,11 +94,15 @@ def top_k_cosine(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: i
                     out = out.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
                     yield out.groupby("query_id", sort=False).head(k)
 
-    hits = cb.join(qb, "blk").select("ids", "mat", "qids", "qmat").mapInPandas(best, "query_id long, key long, score double")
+    hits = cb.join(qb, ["g", "blk"]).select("ids", "mat", "qids", "qmat").mapInPandas(best, "query_id long, key long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
+def top_k_cosine(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False) -> DataFrame:
+    return top_k(queries, corpus, key, vec, k, "cosine", exclude_self)
+
+
 def analogy(a: Column | str, b: Column | str, c: Column | str) -> Column:
     """Unit vector of a - b + c."""
     diff = F.zip_with(as_col(a), as_col(b), lambda x, y: x.cast("double") - y.cast("double"))

@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a lost executor never loses a step of an iterative job."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an aggregated step to the shared folder and read it back.
+
+    For steps that several branches of a plan need: Spark would compute each branch's copy from the raw
+    table. The written step also survives the loss of an executor.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
