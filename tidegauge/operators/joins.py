@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordering import attach, carry_last, row_numbers, running_sums
+from tidegauge.session import settle
 
 
 @dataclass(frozen=True)
@@ -96,12 +97,19 @@ def parity(offline: DataFrame, online: DataFrame, key: str, column: str, toleran
     )
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join that spreads a hot key of the big side over ``salts`` tasks; the small side is repeated."""
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(s, [key, "_salt"], how).drop("_salt")
+
+
 def lookup_with_global_mean(df: DataFrame, train: DataFrame, key: str, target: str, name: str) -> DataFrame:
     """Mean of the target per key learned on ``train``; an unseen key gets the global mean."""
     sums = train.groupBy(key).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"))
     means = sums.select(key, (F.col("_sum") / F.col("_n")).alias("_mean"))
     overall = sums.agg((F.sum("_sum") / F.sum("_n")).alias("mean"))
-    out = attach(df.join(means, key, "left"), overall, "_g")
+    out = attach(salted_join(df, means, key, "left"), overall, "_g")
     return out.withColumn(name, F.coalesce("_mean", F.col("_g.mean"))).drop("_mean", "_g")
 
 
@@ -119,7 +127,7 @@ def order_totals(lines: DataFrame, products: DataFrame, line_product: str, produ
                  quantity: str, price_cents: Column) -> DataFrame:
     """Integer-cent total per order: quantity times product price."""
     p = products.select(F.col(product_key).alias(line_product), price_cents.alias("_cents"))
-    return lines.join(p, line_product).groupBy(order_key).agg(
+    return salted_join(lines.select(order_key, line_product, quantity), p, line_product).groupBy(order_key).agg(
         F.sum(F.col(quantity).cast("long") * F.col("_cents")).alias("total_cents"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -133,6 +141,10 @@ def nearest_donors(recipients: DataFrame, donors: DataFrame, key: str, x: str, k
     Needs numeric keys. Returns (by, key, donor, distance, nth, carried columns of the donor).
     """
     by = list(by)
+    # three orderings read this narrow table; what it was derived from is computed once
+    narrow = settle(donors.select(*by, key, x, *carry, F.lit(1).alias("_d")).unionByName(
+        recipients.select(*by, key, x, *carry, F.lit(0).alias("_d"))), "nearest")
+    donors, recipients = narrow.where("_d = 1"), narrow.where("_d = 0")
     d = donors.select(*by, F.col(key).alias("donor"), F.col(x).alias("_dx"), *carry)
     up = row_numbers(d, ["_dx", "donor"], "_rank", by).withColumn("_dir", F.lit("up"))
     down = row_numbers(d, ["_dx", -F.col("donor")], "_rank", by).withColumn("_dir", F.lit("down"))

@@ -8,6 +8,7 @@ from tidegauge.plans.aggs import GAPPY, gappy_orders
 from tidegauge.plans.common import LI_GEO, LI_U, cents, li_u, u_sql, with_geo
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.stat import LEVELS
+from tidegauge.session import settle
 
 CITY = (40.58, 40.92, -74.26, -73.75)  # fixed values: the city box (lat, lat, lon, lon)
 LK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -19,7 +20,8 @@ def spend(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum(cents("o_totalprice")) / F.lit(100.0)).alias("spend"))
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").join(o, "c_custkey")
     c = X.mask(c, "spend", "c_custkey").withColumn("u", unit_hash("c_custkey", seed=9))
-    return c.withColumn("c_mktsegment", F.when(unit_hash("c_custkey", seed=3) >= 0.1, F.col("c_mktsegment")))
+    c = c.withColumn("c_mktsegment", F.when(unit_hash("c_custkey", seed=3) >= 0.1, F.col("c_mktsegment")))
+    return settle(c, "spend")  # a per-customer table that many branches read
 
 
 SPEND = f"""(select c_custkey, c_acctbal, case when {u_sql('c_custkey', seed=3)} >= 0.1 then c_mktsegment end c_mktsegment, truth, case when {u_sql('c_custkey')} < 0.3 then null else truth end spend, {u_sql('c_custkey', seed=9)} u
@@ -114,7 +116,7 @@ def feat_12(spark, sf):
 
 
 @query("feat_13", f"""with e as (select quantile_cont(l_extendedprice,0.25) a, quantile_cont(l_extendedprice,0.5) b, quantile_cont(l_extendedprice,0.75) c from lineitem)
- select {K4}, ((l_extendedprice>a)::INT+(l_extendedprice>b)::INT+(l_extendedprice>c)::INT)::INT quarter from lineitem, e""")
+ select {K4}, ((l_extendedprice>a)::INT+(l_extendedprice>b)::INT+(l_extendedprice>c)::INT)::INT as quarter from lineitem, e""")
 def feat_13(spark, sf):
     return X.quantile_bins(table(spark, sf, "lineitem"), "l_extendedprice", 4, "quarter").select(*LK, "quarter")
 
