@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import let, running_sums
+from tidegauge.operators.ordering import running_sums
 from tidegauge.session import settle
 
 
@@ -103,7 +103,7 @@ def apply_merges(word: Column | str, merges: list[tuple[str, str]]) -> Column:
     """Split a word by replaying the learned merges in order."""
     out = _symbols(F.col(word) if isinstance(word, str) else word)
     for a, b in merges:
-        out = let(out, lambda s, a=a, b=b: _merge(s, a, b))
+        out = _merge(out, a, b)  # each fold reads its input once
     return out
 
 
