@@ -54,8 +54,8 @@ def psi_column(bin_of: Column, is_current: Column, is_reference: Column, bins: i
     cn, rn = F.count_if(is_current), F.count_if(is_reference)
     out = F.lit(0.0)
     for i in range(bins):
-        p = F.greatest(F.count_if(is_current & (bin_of == i)) / cn, F.lit(eps))
-        q = F.greatest(F.count_if(is_reference & (bin_of == i)) / rn, F.lit(eps))
+        p = F.greatest(F.try_divide(F.count_if(is_current & (bin_of == i)), cn), F.lit(eps))
+        q = F.greatest(F.try_divide(F.count_if(is_reference & (bin_of == i)), rn), F.lit(eps))
         out = out + (p - q) * F.log(p / q)
     return out
 

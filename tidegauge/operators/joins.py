@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordering import attach, carry_last, row_numbers, running_sums
-from tidegauge.session import settle
+from tidegauge.session import settle_counted
 
 
 @dataclass(frozen=True)
@@ -142,17 +142,17 @@ def nearest_donors(recipients: DataFrame, donors: DataFrame, key: str, x: str, k
     """
     by = list(by)
     # three orderings read this narrow table; what it was derived from is computed once
-    narrow = settle(donors.select(*by, key, x, *carry, F.lit(1).alias("_d")).unionByName(
+    narrow, size = settle_counted(donors.select(*by, key, x, *carry, F.lit(1).alias("_d")).unionByName(
         recipients.select(*by, key, x, *carry, F.lit(0).alias("_d"))), "nearest")
     donors, recipients = narrow.where("_d = 1"), narrow.where("_d = 0")
     d = donors.select(*by, F.col(key).alias("donor"), F.col(x).alias("_dx"), *carry)
-    up = row_numbers(d, ["_dx", "donor"], "_rank", by).withColumn("_dir", F.lit("up"))
-    down = row_numbers(d, ["_dx", -F.col("donor")], "_rank", by).withColumn("_dir", F.lit("down"))
+    up = row_numbers(d, ["_dx", "donor"], "_rank", by, size).withColumn("_dir", F.lit("up"))
+    down = row_numbers(d, ["_dx", -F.col("donor")], "_rank", by, size).withColumn("_dir", F.lit("down"))
     r = recipients.select(*by, F.col(key), F.col(x).alias("_x"))
     both = r.withColumn("_d", F.lit(0)).unionByName(
         d.select(*by, F.col("donor").alias(key), F.col("_dx").alias("_x"), F.lit(1).alias("_d")))
     # a recipient sorts before donors of its own value, so the count is of strictly smaller ones
-    placed = running_sums(both, ["_x", "_d", key], {"_below": "_d"}, by).where("_d = 0").drop("_d")
+    placed = running_sums(both, ["_x", "_d", key], {"_below": "_d"}, by, size).where("_d = 0").drop("_d")
     steps = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.lit("up").alias("dir"), (F.col("_below") + i).alias("rank")))
     back = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.lit("down").alias("dir"), (F.col("_below") - i).alias("rank")))
     asked = placed.select(*by, key, "_x", F.inline(F.concat(steps, back)).alias("_dir", "_rank")).where("_rank > 0")

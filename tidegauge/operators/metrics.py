@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.hashing import key_hash
 from tidegauge.functions.scalar import char_ngrams, word_ngrams
@@ -15,7 +16,7 @@ from tidegauge.operators.joins import salted_join
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
 from tidegauge.operators.text import words
 from tidegauge.operators.vectors import top_k
-from tidegauge.session import settle
+from tidegauge.session import settle, settle_counted
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -119,9 +120,9 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative tp and fp at every distinct score (predict positive at or above it), with the totals."""
-    c = settle(score_counts(df, label, score), "score-counts")
+    c, size = settle_counted(score_counts(df, label, score), "score-counts")
     total = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = running_sums(c, [-F.col("score")], {"tp": "pos", "fp": "neg"})
+    r = running_sums(c, [-F.col("score")], {"tp": "pos", "fp": "neg"}, rows=size)
     return attach(r, total, "_t").select("score", "pos", "neg", "tp", "fp", F.col("_t.P").alias("total_pos"), F.col("_t.N").alias("total_neg"))
 
 
@@ -205,12 +206,12 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], y:
     The shuffle gives the row of key rank r the value of the row of hash rank r, so it is an equi-join.
     ``score(columns) -> Column`` computes the prediction.
     """
-    base = settle(row_numbers(df.select(key, y, *features), [key], "_rank"), "ranked")
+    base, size = settle_counted(row_numbers(df.select(key, y, *features), [key], "_rank"), "ranked")
     rep = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     rmse = lambda pred: F.sqrt(F.avg(F.pow(F.col(y) - pred, 2)))
     whole = base.agg(rmse(score({f: F.col(f) for f in features})).alias("rmse"))
     out = None
-    donor = settle(row_numbers(rep.withColumn("_h", key_hash(key, "repeat", seed=seed)), ["_h", key], "_hr", ["repeat"]).select(
+    donor = settle(row_numbers(rep.withColumn("_h", key_hash(key, "repeat", seed=seed)), ["_h", key], "_hr", ["repeat"], size * repeats).select(
         "repeat", F.col("_hr").alias("_rank"), *[F.col(f).alias(f"_s_{f}") for f in features]), "shuffled")
     joined = rep.join(donor, ["repeat", "_rank"])
     for f in features:
@@ -279,7 +280,7 @@ def rouge_n(overlap: DataFrame, key: str, n: int) -> DataFrame:
     return overlap.where(F.col("n") == n).select(key, p.alias("precision"), r.alias("recall"), f_beta(p, r).alias("f1"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of token arrays: one vector step per token of the first array."""
     out = []

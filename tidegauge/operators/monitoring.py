@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalar import psi_label
 from tidegauge.operators.stats import ks, psi
 from tidegauge.operators.windows import first_breach
-from tidegauge.session import settle
+from tidegauge.session import settle_counted
 
 
 def drift_report(df: DataFrame, is_reference: Column, value: str, stream: str, week: str, label: str, pred: str) -> DataFrame:
     """Per (stream, week): PSI and KS against the stream's fixed reference, accuracy and predicted-positive rate."""
-    slim = settle(df.select(stream, week, value, label, pred, is_reference.alias("_ref")), "drift-input")
+    slim, size = settle_counted(df.select(stream, week, value, label, pred, is_reference.alias("_ref")), "drift-input")
     ref = slim.where("_ref")
-    a = psi(ref, slim, value, [stream], [week])
+    a = psi(ref, slim, value, [stream], [week], rows=size)
     b = ks(ref, slim, value, [stream], [week]).select(stream, week, F.col("d").alias("ks_d"), F.col("p").alias("ks_p"))
     c = slim.groupBy(stream, week).agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"), F.avg(F.col(pred).cast("double")).alias("pred_positive_rate"))
     out = a.join(b, [stream, week]).join(c, [stream, week])

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ONE_PASS_ROWS = 200_000  # a table counted to be at most this long is ordered by one plain window
+
+
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -77,12 +80,17 @@ def running_sums(
     order: Sequence[Column | str],
     sums: dict[str, Column | str],
     by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Inclusive cumulative sums in ``order`` within ``by``, for groups of any size.
 
     ``order`` must identify a row within its group; write a descending numeric key with a minus sign.
+    ``rows``: the table's counted length where the caller knows it; a short table needs no buckets.
     """
     by = list(by)
+    if rows is not None and rows <= ONE_PASS_ROWS:
+        w = Window.partitionBy(*by).orderBy(*[as_col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({o: F.coalesce(F.sum(as_col(c)).over(w), F.lit(0)) for o, c in sums.items()})
     for i, c in enumerate(order):
         df = df.withColumn(f"_o{i}", as_col(c))
     ocols = [f"_o{i}" for i in range(len(order))]
@@ -106,9 +114,9 @@ def running_sums(
     return out.drop("_b", *ocols, *[f"_v{i}" for i in range(len(outs))], *[f"_off{i}" for i in range(len(outs))])
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "rank", by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """``row_number()`` in ``order`` within ``by`` without a single sorting task."""
-    return running_sums(df, order, {name: F.lit(1).cast("long")}, by)
+    return running_sums(df, order, {name: F.lit(1).cast("long")}, by, rows)
 
 
 def carry_last(
@@ -141,7 +149,8 @@ def carry_last(
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q"
+    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q",
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: one row with an array ``q`` and the count ``n``.
 
@@ -150,6 +159,9 @@ def exact_quantiles(
     """
     by, probs = list(by), list(probs)
     v = df.select(*by, as_col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if rows is not None and rows <= ONE_PASS_ROWS:
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+        return v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias(name)).where("n > 0")
     b = order_buckets(v, [*by, "_v"])
     counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

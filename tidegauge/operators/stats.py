@@ -12,7 +12,7 @@ from tidegauge.functions.hashing import poisson1, standard_normal, unit_hash
 from tidegauge.functions.tails import chi2_p, kolmogorov_p, t_critical, t_two_sided_p
 from tidegauge.operators.aggregates import long_form
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
-from tidegauge.session import settle
+from tidegauge.session import settle, settle_counted, small_side
 
 
 def two_group_test(df: DataFrame, value: str, group: str, a, b, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def bin_index(x: Column, inner_edges: Column) -> Column:
 
 
 def psi(reference: DataFrame, current: DataFrame, value: str, stream: Sequence[str], window: Sequence[str],
-        bins: int = 10, eps: float = 1e-4) -> DataFrame:
+        bins: int = 10, eps: float = 1e-4, rows: int | None = None) -> DataFrame:
     """Population stability index of every (stream, window) against the stream's reference.
 
     Edges are the reference's exact quantiles with open ends; shares are clipped after division. Bin
@@ -78,7 +78,7 @@ def psi(reference: DataFrame, current: DataFrame, value: str, stream: Sequence[s
     """
     stream, window = list(stream), list(window)
     probs = [i / bins for i in range(1, bins)]
-    edges = settle(exact_quantiles(reference, value, probs, stream, "_edges").select(*stream, "_edges"), "edges")
+    edges = small_side(exact_quantiles(reference, value, probs, stream, "_edges", rows).select(*stream, "_edges"), "edges")
     count = lambda d, keys: _binned(d, edges, value, stream).groupBy(*keys).agg(
         F.array(*[F.count_if(F.col("_bin") == i) for i in range(bins)]).alias("c"), F.count(F.lit(1)).alias("n"))
     ref = count(reference, stream).withColumnsRenamed({"c": "rc", "n": "rn"})
@@ -110,11 +110,11 @@ def ks(reference: DataFrame, current: DataFrame, value: str, stream: Sequence[st
     per_value = counts.groupBy(*stream, "_x").agg(
         F.sum(F.when(F.col("_ref"), F.col("_c")).otherwise(0)).alias("_rc"),
         F.collect_list(F.when(~F.col("_ref"), F.struct(*ws, "_c"))).alias("_cur"))  # one entry per window
-    per_value = settle(per_value, "distinct-values")
-    cum = running_sums(per_value, ["_x"], {"_rcum": "_rc"}, stream)
+    per_value, size = settle_counted(per_value, "distinct-values")
+    cum = running_sums(per_value, ["_x"], {"_rcum": "_rc"}, stream, size)
     n_ref = per_value.groupBy(*stream).agg(F.sum("_rc").alias("_n"))
-    cur = settle(cum.select(*stream, "_x", "_rcum", "_rc", F.inline("_cur")), "reference-counts")
-    cur = running_sums(cur, ["_x"], {"_ccum": "_c"}, [*stream, *ws])
+    cur, size = settle_counted(cum.select(*stream, "_x", "_rcum", "_rc", F.inline("_cur")), "reference-counts")
+    cur = running_sums(cur, ["_x"], {"_ccum": "_c"}, [*stream, *ws], size)
     m = cur.groupBy(*stream, *ws).agg(F.sum("_c").alias("_m"))
     j = same(cur, m, [*stream, *ws]) if stream or ws else attach(cur, m, "_mm").withColumn("_m", F.col("_mm._m"))
     j = same(j, n_ref, stream) if stream else attach(j, n_ref, "_nn").withColumn("_n", F.col("_nn._n"))

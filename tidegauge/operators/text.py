@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordering import running_sums
-from tidegauge.session import settle
+from tidegauge.session import settle, settle_counted
 
 
 def words(text: Column | str) -> Column:
@@ -25,8 +25,8 @@ def chunk_words(df: DataFrame, key: str, text: str, size: int = 100, overlap: in
 
 def with_running_ids(chunks: DataFrame, key: str) -> DataFrame:
     """Running chunk ids over the corpus in key order: offsets come from per-document counts."""
-    n = settle(chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "chunk-counts")
-    start = running_sums(n, [key], {"_end": "_n"}).select(key, (F.col("_end") - F.col("_n")).alias("_start"))
+    n, size = settle_counted(chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "chunk-counts")
+    start = running_sums(n, [key], {"_end": "_n"}, rows=size).select(key, (F.col("_end") - F.col("_n")).alias("_start"))
     return chunks.join(start, key).withColumn("chunk_id", F.col("_start") + F.col("ordinal")).drop("_start")
 
 

@@ -13,7 +13,7 @@ from tidegauge.operators.vectors import top_k_cosine
 from tidegauge.plans.common import LABELLED, LI_KEYS, LI_U, labelled, li_u, monthly, u_sql
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.wins import NEAR, neighbours
-from tidegauge.session import scratch, settle
+from tidegauge.session import scratch, settle, settle_counted
 
 K4 = ", ".join(LI_KEYS)
 NUM = ["l_quantity", "l_discount", "l_tax"]
@@ -366,5 +366,6 @@ def txt_8(spark, sf):
     m = M.LogisticRegression(labelCol="quality", maxIter=20).fit(M.assembled(cal, DOC_FEATS))
     p = M.positive(m.transform(M.assembled(docs(spark, sf), DOC_FEATS)))
     p = p.select("doc_id", "quality", F.col("prediction").cast("int").alias("pred"), F.greatest("prob", 1 - F.col("prob")).alias("confidence"))
-    r = row_numbers(settle(p, "classified"), ["doc_id"], "pos")
+    p, size = settle_counted(p, "classified")
+    r = row_numbers(p, ["doc_id"], "pos", rows=size)
     return r.select("doc_id", "quality", "pred", rnd("confidence").alias("confidence"), (F.col("quality") == F.col("pred")).alias("correct"), F.floor((F.col("pos") - 1) / 128).alias("chunk"))

@@ -11,7 +11,7 @@ from tidegauge.plans.mon import ACC
 from tidegauge.plans.models import LINE, sql_model
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.stat import PSI, WEEKED
-from tidegauge.session import scratch, settle
+from tidegauge.session import scratch, small_side
 from tidegauge.streaming import streams as S
 
 
@@ -61,8 +61,8 @@ def str_4(spark, sf):
 def str_5(spark, sf):
     e = table(spark, sf, "events")
     first = e.where("ts < timestamp_ntz'2024-01-08'")
-    edges = settle(exact_quantiles(first, "value", [i / 10 for i in range(1, 10)], ["event_type"], "_edges").select("event_type", "_edges"), "edges")
-    ref = first.join(F.broadcast(edges), "event_type").groupBy("event_type").agg(F.array(*[F.count_if(bin_index(F.col("value"), F.col("_edges")) == i) for i in range(10)]).alias("_ref"))
+    edges = small_side(exact_quantiles(first, "value", [i / 10 for i in range(1, 10)], ["event_type"], "_edges").select("event_type", "_edges"), "edges")
+    ref = first.join(edges, "event_type").groupBy("event_type").agg(F.array(*[F.count_if(bin_index(F.col("value"), F.col("_edges")) == i) for i in range(10)]).alias("_ref"))
     s = S.streamed_bins(events_stream(spark, sf), edges, "ts", "event_type", "value", **WEEK)
     cols = [f"b{i}" for i in range(10)]
     got = S.newest(S.drain_to_table(s, "update", "bins"), ["event_type", "start"], cols).join(ref, "event_type")

@@ -5,7 +5,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -44,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,12 +54,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write an aggregated step to the shared folder and read it back.
+def settle_counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """Write a step to the shared folder and read it back, with its row count (observed while writing).
 
     For steps that several branches of a plan need: Spark would compute each branch's copy from the raw
     table. The written step also survives the loss of an executor.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, seen = scratch(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    return settle_counted(df, name)[0]
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, name: str = "small") -> DataFrame:
+    """An aggregate to join with: broadcast when its counted size allows it, otherwise joined by shuffle."""
+    table, rows = settle_counted(df, name)
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete this application's scratch steps, once no result that reads them is in use."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}")
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
