@@ -1,8 +1,8 @@
 """Order-dependent work without a single-task sort.
 
 A window without a partition, or with one hot partition, sorts in one task. Here rows first get an
-order bucket: split points come from a bounded sample of the keys, so a hot group is cut into many
-buckets. Windows run inside a bucket; what earlier buckets contribute is a small table with one row
+order bucket: split points come from a bounded sample of the keys (a count and a sample run when the
+operator is called), so a hot group is cut into many buckets. Windows run inside a bucket; what earlier buckets contribute is a small table with one row
 per (group, bucket). The sample only steers balance, never the result.
 """
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import BROADCAST_ROWS, settle, settle_counted
+
 
 ONE_PASS_ROWS = 200_000  # a table counted to be at most this long is ordered by one plain window
 
@@ -40,39 +42,94 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inn
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+SAMPLE_PER_BUCKET = 32
+TREE_POINTS = 48
+
+
 def bucket_target(df: DataFrame) -> int:
     """Number of order buckets; it follows the session's shuffle width, so it grows with the cluster."""
-    return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
+
+
+def _literal(v, kind: str) -> str:
+    """SQL literal of a sampled key value."""
+    if kind in ("string", "timestamp_ntz", "date"):
+        text = f"CAST(X'{str(v).encode().hex()}' AS STRING)"
+        return text if kind == "string" else f"CAST({text} AS {kind})"
+    if kind in ("double", "float"):
+        return f"CAST('{v!r}' AS {kind})"
+    return f"CAST({v} AS {kind})"
+
+
+def split_points(df: DataFrame, names: Sequence[str], n: int, rows: int | None = None) -> list[tuple]:
+    """At most ``n - 1`` increasing key tuples from a sample of about 32 rows per bucket, as SQL literals (None for null)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    keys = df.select(*names)
+    rows = keys.count() if rows is None else rows
+    share = min(1.0, SAMPLE_PER_BUCKET * n / max(rows, 1))
+    picked = keys.sample(fraction=share, seed=42) if share < 1.0 else keys
+    text = [F.col(c).cast("string").alias(c) if kinds[c] in ("timestamp_ntz", "date") else F.col(c) for c in names]
+    sample = picked.orderBy(*names).select(*text).collect()  # bounded by 32 n rows
+    out = []
+    for i in range(1, n):
+        if len(sample) * i // n < len(sample):
+            r = sample[len(sample) * i // n]
+            point = tuple(None if r[c] is None else _literal(r[c], kinds[c]) for c in names)
+            if not out or out[-1] != point:
+                out.append(point)
+    return out
+
 
+def _at_or_above(names: Sequence[str], point: tuple) -> str:
+    """SQL test that the key is not below a split point, nulls first as in Spark's order."""
+    test = None
+    for c, v in reversed(list(zip(names, point))):
+        if test is None:
+            test = "TRUE" if v is None else f"coalesce({c} >= {v}, FALSE)"
+        elif v is None:
+            test = f"({c} IS NOT NULL OR {test})"
+        else:
+            test = f"(coalesce({c} > {v}, FALSE) OR (coalesce({c} = {v}, FALSE) AND {test}))"
+    return test
 
-def order_buckets(df: DataFrame, key: Sequence[Column | str], name: str = "_b", n: int | None = None) -> DataFrame:
-    """Add an int column that is non-decreasing in the sort key (group columns first, then order)."""
+
+def order_buckets(df: DataFrame, key: Sequence[Column | str], name: str = "_b", n: int | None = None, rows: int | None = None) -> DataFrame:
+    """Add an int column that is non-decreasing in the sort key (group columns first, then order).
+
+    The split points are fixed before the plan is built, so all its branches agree on the buckets; they
+    become a balanced tree of comparisons in generated code.
+    """
     n = n or bucket_target(df)
-    k = F.struct(*[as_col(c).alias(f"k{i}") for i, c in enumerate(key)])
-    keyed = df.select(k.alias("k")).withColumn("h", F.xxhash64("k"))
-    # keys whose hash ends in many zero bits are a uniform sample of the distinct keys; take the
-    # sparsest level that still holds four keys per bucket
-    zeros = F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1)
-    levels = keyed.groupBy(zeros.alias("z")).agg(F.approx_count_distinct("h").alias("c"))
-    above = Window.orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
-    level = levels.select("z", F.sum("c").over(above).alias("c")).agg(
-        F.coalesce(F.max(F.when(F.col("c") >= 4 * n, F.col("z"))), F.lit(0)).alias("z")
-    )
-    sample = keyed.where(zeros >= level.scalar()).select("k").distinct()
-    points = sample.agg(F.sort_array(F.collect_list("k")).alias("e"))
-    pick = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("e", F.floor(i * F.size("e") / n).cast("int")))
-    edges = points.select(F.array_distinct(F.filter(pick, lambda v: v.isNotNull())).alias("e"))
-    steps, s = [], 1
-    while s <= n:
-        steps.insert(0, s)
-        s *= 2
-    with_edges = df.withColumn("_edges", edges.scalar()).withColumn("_okey", k)
-    place = F.aggregate(
-        F.array(*[F.lit(v) for v in steps]),
-        F.lit(0),
-        lambda pos, st: F.when(F.get("_edges", pos + st - 1) <= F.col("_okey"), pos + st).otherwise(pos),
-    )
-    return with_edges.withColumn(name, place).drop("_edges", "_okey")
+    names = [f"_k{i}" for i in range(len(key))]
+    cols = [as_col(c) for c in key]
+    types = df.select(*[c.alias(x) for c, x in zip(cols, names)]).schema
+    # a zoned timestamp is compared by its microseconds: its text repeats when clocks go back
+    cols = [F.unix_micros(c) if f.dataType.simpleString() == "timestamp" else c for c, f in zip(cols, types.fields)]
+    keyed = df.withColumns(dict(zip(names, cols)))
+    points = split_points(keyed, names, n, rows)
+
+    def tree(pts: list[tuple], lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"IF({_at_or_above(names, pts[mid])}, {tree(pts, mid + 1, hi)}, {tree(pts, lo, mid)})"
+
+    if len(points) <= TREE_POINTS:
+        return keyed.withColumn(name, F.expr(tree(points, 0, len(points)))).drop(*names)
+    # a larger tree would exceed what the JVM compiles as one method: a coarse tree picks a run of ``m``
+    # points, a binary search over the literal array finishes inside it
+    m = 1
+    while len(points) // m > TREE_POINTS:
+        m *= 2
+    coarse = points[m - 1::m]
+    kind = {f.name: f.dataType.simpleString() for f in keyed.select(*names).schema.fields}
+    row = lambda pt: "named_struct(" + ", ".join(f"'{c}', " + (f"CAST(NULL AS {kind[c]})" if v is None else v) for c, v in zip(names, pt)) + ")"
+    edges = "array(" + ", ".join(row(pt) for pt in points) + ")"
+    steps = ", ".join(str(m >> i) for i in range(1, m.bit_length()))
+    okey = "named_struct(" + ", ".join(f"'{c}', {c}" for c in names) + ")"
+    keyed = keyed.withColumn("_c", F.expr(tree(coarse, 0, len(coarse))))
+    fine = f"aggregate(array({steps}), _c * {m}, (pos, st) -> IF(coalesce(get({edges}, pos + st - 1) <= {okey}, FALSE), pos + st, pos))"
+    return keyed.withColumn(name, F.expr(fine)).drop("_c", *names)
 
 
 def running_sums(
@@ -162,7 +219,8 @@ def exact_quantiles(
     if rows is not None and rows <= ONE_PASS_ROWS:
         q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
         return v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias(name)).where("n > 0")
-    b = order_buckets(v, [*by, "_v"])
+    # the first pass only has to narrow the ranks down, so the cheap comparison tree is enough
+    b = order_buckets(v, [*by, "_v"], n=TREE_POINTS, rows=rows)
     counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_hi", F.sum("_c").over(upto)).withColumn(
@@ -172,14 +230,21 @@ def exact_quantiles(
     ranks = F.array_distinct(F.array(*[f(p) for p in pos for f in (F.floor, F.ceil)]))
     lo = F.col("_hi") - F.col("_c")
     wanted = counts.select(
-        *by, "_b", "n", lo.alias("_lo"),
+        *by, "_b", "n", "_c", lo.alias("_lo"),
         F.filter(ranks, lambda r: (r >= lo) & (r < F.col("_hi"))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
+    wanted, found = settle_counted(wanted, "wanted-ranks")  # at most two rows per group and probability
+    left = wanted.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    wanted = F.broadcast(wanted.drop("_c")) if found <= BROADCAST_ROWS else wanted.drop("_c")
     cand = same(b, wanted, [*by, "_b"]).groupBy(*by, "_b", "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_lo").alias("_lo"), F.max("n").alias("n"), F.max("_ranks").alias("_ranks")
     )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("_c").over(inside) + F.col("_lo"))
+    if left <= 10 * ONE_PASS_ROWS:
+        inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        cand = cand.withColumn("_in", F.sum("_c").over(inside))
+    else:  # a bucket that is itself large is ordered through buckets of its own
+        cand = running_sums(settle(cand.withColumnRenamed("_b", "_part"), "candidates"), ["_v"], {"_in": "_c"}, [*by, "_part"])
+    cand = cand.withColumn("_cum", F.col("_in") + F.col("_lo"))
     hits = cand.select(
         *by, "n", "_v",
         F.explode(F.filter("_ranks", lambda r: (r >= F.col("_cum") - F.col("_c")) & (r < F.col("_cum")))).alias("_r"),

@@ -162,8 +162,14 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = list(columns)
 
     def fn(m):
-        inv = np.linalg.pinv(m, hermitian=True)
-        return [(c, float(inv[i, i] * m[i, i])) for i, c in enumerate(names)]
+        scale = np.sqrt(np.diag(m))
+        scaled = m / np.outer(scale, scale)  # unit diagonal, so the inverse's diagonal is the factor itself
+        try:
+            factors = np.diag(np.linalg.inv(scaled))
+        except np.linalg.LinAlgError:
+            factors = np.full(len(names), np.inf)
+        # an exactly dependent column has no finite factor; rounding may show it as negative
+        return [(c, float(v) if v > 0 else float("inf")) for c, v in zip(names, factors)]
 
     return solve_rows(cross_products(df, names), len(names), [], "feature string, vif double", fn)
 
