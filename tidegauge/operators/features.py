@@ -11,6 +11,7 @@ from tidegauge.operators.aggregates import correlations, fit_statistics, most_fr
 from tidegauge.operators.joins import lookup_with_global_mean, nearest_donors
 from tidegauge.operators.ordering import attach, exact_quantiles
 from tidegauge.operators.stats import standardise
+from tidegauge.session import settle
 
 __all__ = ["standardise"]
 
@@ -126,7 +127,7 @@ def powers(x: str, degree: int) -> dict[str, Column]:
 
 def target_encoding_leak(df: DataFrame, key: str, target: str, is_train: Column) -> DataFrame:
     """Holdout RMSE of a line on the target mean per key, learned on train only and on all rows."""
-    d = df.withColumn("_train", is_train)
+    d = settle(df.select(key, target, is_train.alias("_train")), "encoding-input")  # three branches read it
     proper = lookup_with_global_mean(d, d.where("_train"), key, target, "_proper")
     both = lookup_with_global_mean(proper, d, key, target, "_leaky")
     line = proper.where("_train").agg(F.regr_slope(F.col(target), F.col("_proper")).alias("b"), F.regr_intercept(F.col(target), F.col("_proper")).alias("a"))

@@ -13,7 +13,7 @@ from tidegauge.functions.hashing import key_hash
 from tidegauge.functions.scalar import char_ngrams, word_ngrams
 from tidegauge.operators.aggregates import histogram
 from tidegauge.operators.joins import salted_join
-from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
+from tidegauge.operators.ordering import attach, exact_quantiles, let, row_numbers, running_sums
 from tidegauge.operators.text import words
 from tidegauge.operators.vectors import top_k
 from tidegauge.session import settle, settle_counted
@@ -238,22 +238,34 @@ def mask_iou(a: DataFrame, b: DataFrame, image: str, x: str, y: str) -> DataFram
 
 # --- text pairs: (key, candidate, reference)
 
-def gram_overlap(pairs: DataFrame, key: str, grams_c: Column, grams_r: Column) -> DataFrame:
-    """Clipped matches and totals per pair and order n. ``grams_*``: array of (n, gram) structs."""
-    both = pairs.select(key, F.inline(grams_c), F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(
-        pairs.select(key, F.inline(grams_r), F.lit(0).alias("c"), F.lit(1).alias("r")))
-    per = both.groupBy(key, "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    return per.groupBy(key, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("cand"), F.sum("r").alias("ref"))
+COMMON_GRAMS = 64
 
 
-def _tagged(grams, source: Column, orders: Sequence[int]) -> Column:
-    return F.concat(*[F.transform(grams(source, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in orders])  # noqa: B023
+def gram_overlap(pairs: DataFrame, key: str, cand: dict[int, Column], ref: dict[int, Column]) -> DataFrame:
+    """Clipped matches and totals per pair and order n, from the n-gram arrays of both sides.
+
+    Only grams that both texts contain can match, so only those are counted in a shuffle; the totals are
+    array lengths. Where the texts share few grams the others are dropped in place.
+    """
+    def shared(own: Column, other: Column) -> Column:
+        common = F.array_intersect(own, other)
+        return let(common, lambda m: F.when(F.size(m) == 0, F.array().cast("array<string>")).when(
+            F.size(m) <= COMMON_GRAMS, F.filter(own, lambda g: F.array_contains(m, g))).otherwise(own))
+
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), cand[n].alias("c"), ref[n].alias("r")) for n in cand])
+    grams = pairs.select(key, F.inline(rows))
+    tag = lambda side, ci, ri: F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(ci).alias("ci"), F.lit(ri).alias("ri")))
+    both = grams.select(key, "n", F.size("c").alias("cand"), F.size("r").alias("ref"), F.inline_outer(
+        F.concat(tag(shared(F.col("c"), F.col("r")), 1, 0), tag(shared(F.col("r"), F.col("c")), 0, 1))))
+    per = both.where("cand > 0 or ref > 0").groupBy(key, "n", "gram").agg(
+        F.coalesce(F.sum("ci"), F.lit(0)).alias("c"), F.coalesce(F.sum("ri"), F.lit(0)).alias("r"), F.max("cand").alias("cand"), F.max("ref").alias("ref"))
+    return per.groupBy(key, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.max("cand").alias("cand"), F.max("ref").alias("ref"))
 
 
 def word_overlap(pairs: DataFrame, key: str, max_n: int = 4) -> DataFrame:
     t = pairs.select(key, F.explode(F.array(F.struct(words("candidate").alias("c"), words("reference").alias("r")))).alias("w"))
-    o = range(1, max_n + 1)
-    return gram_overlap(t, key, _tagged(word_ngrams, F.col("w.c"), o), _tagged(word_ngrams, F.col("w.r"), o))
+    side = lambda c: {n: word_ngrams(F.col(c), n) for n in range(1, max_n + 1)}
+    return gram_overlap(t, key, side("w.c"), side("w.r"))
 
 
 def bleu(overlap: DataFrame, pairs: DataFrame, key: str, max_n: int = 4) -> DataFrame:
@@ -269,8 +281,8 @@ def bleu(overlap: DataFrame, pairs: DataFrame, key: str, max_n: int = 4) -> Data
 
 def chrf(pairs: DataFrame, key: str, order: int = 2, beta: float = 2.0) -> DataFrame:
     """Character F score: precision and recall averaged over orders, blanks removed."""
-    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    o = gram_overlap(pairs, key, _tagged(char_ngrams, bare("candidate"), range(1, order + 1)), _tagged(char_ngrams, bare("reference"), range(1, order + 1)))
+    side = lambda c: {n: char_ngrams(F.replace(F.col(c), F.lit(" "), F.lit("")), n) for n in range(1, order + 1)}
+    o = gram_overlap(pairs, key, side("candidate"), side("reference"))
     m = o.groupBy(key).agg((F.sum(ratio(F.col("matched"), F.col("cand"))) / order).alias("precision"), (F.sum(ratio(F.col("matched"), F.col("ref"))) / order).alias("recall"))
     return m.withColumn("chrf", f_beta(F.col("precision"), F.col("recall"), beta))
 
