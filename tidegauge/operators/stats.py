@@ -25,13 +25,15 @@ def two_group_test(df: DataFrame, value: str, group: str, a, b, by: Sequence[str
     m = df.where(F.col(value).isNotNull()).groupBy(*by).agg(*cols)
     for t in "ab":
         n, s, q = F.col(f"n{t}"), F.col(f"s{t}"), F.col(f"q{t}")
-        m = m.withColumn(f"m{t}", s / n).withColumn(f"v{t}", (q - s * s / n) / (n - 1))
-    ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2)
+        m = m.withColumn(f"m{t}", F.try_divide(s, n)).withColumn(f"v{t}", F.try_divide(q - F.try_divide(s * s, n), n - 1))
+    # a group of fewer than two rows gives null, not an error
+    over = F.try_divide
+    ea, eb = over(F.col("va"), F.col("na")), over(F.col("vb"), F.col("nb"))
+    pooled = over((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb"), F.col("na") + F.col("nb") - 2)
     m = m.withColumns({
-        "t": (F.col("ma") - F.col("mb")) / F.sqrt(ea + eb),
-        "df": F.pow(ea + eb, 2) / (F.pow(ea, 2) / (F.col("na") - 1) + F.pow(eb, 2) / (F.col("nb") - 1)),
-        "cohens_d": (F.col("ma") - F.col("mb")) / F.sqrt(pooled)})
+        "t": over(F.col("ma") - F.col("mb"), F.sqrt(ea + eb)),
+        "df": over(F.pow(ea + eb, F.lit(2)), over(F.pow(ea, F.lit(2)), F.col("na") - 1) + over(F.pow(eb, F.lit(2)), F.col("nb") - 1)),
+        "cohens_d": over(F.col("ma") - F.col("mb"), F.sqrt(pooled))})
     return m.withColumn("p", t_two_sided_p(F.col("t"), F.col("df"))).select(
         *by, "na", "nb", F.col("ma").alias("mean_a"), F.col("mb").alias("mean_b"), "t", "df", "p", "cohens_d")
 
@@ -60,7 +62,7 @@ def paired_test(df: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) ->
     d = df.select(*by, (a - b).alias("d")).groupBy(*by).agg(
         F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"),
         F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"))
-    d = d.withColumn("t", F.col("mean_diff") / (F.col("sd") / F.sqrt("n")))
+    d = d.withColumn("t", F.try_divide(F.col("mean_diff"), F.col("sd") / F.sqrt("n")))
     return d.withColumn("p", t_two_sided_p(F.col("t"), (F.col("n") - 1).cast("double")))
 
 
@@ -210,8 +212,8 @@ def simple_ols(df: DataFrame, x: str, y: str, by: Sequence[str] = (), level: flo
         F.regr_count(Y, X).alias("n"), F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"),
         F.regr_sxx(Y, X).alias("sxx"), F.regr_syy(Y, X).alias("syy"), F.regr_sxy(Y, X).alias("sxy"))
     dof = (F.col("n") - 2).cast("double")
-    m = m.withColumn("sigma", F.sqrt((F.col("syy") - F.col("slope") * F.col("sxy")) / dof))
-    m = m.withColumn("stderr", F.col("sigma") / F.sqrt("sxx"))
+    m = m.withColumn("sigma", F.sqrt(F.try_divide(F.col("syy") - F.col("slope") * F.col("sxy"), dof)))
+    m = m.withColumn("stderr", F.try_divide(F.col("sigma"), F.sqrt("sxx")))
     m = m.withColumn("_t", t_critical(dof, level))
     return m.select(*by, "n", "slope", "intercept", "stderr", "sigma", (F.col("slope") - F.col("_t") * F.col("stderr")).alias("low"),
                     (F.col("slope") + F.col("_t") * F.col("stderr")).alias("high"))
@@ -241,6 +243,7 @@ def mutual_information(df: DataFrame, label: str, features: Sequence[str], bins:
     """Plug-in mutual information with exact decile bins (a binned estimate, not the nearest-neighbour one)."""
     long = long_form(df, features, [label], "feature", "x")
     edges = exact_quantiles(long, "x", [i / bins for i in range(1, bins)], ["feature"], "_edges").select("feature", "_edges")
+    # one row per feature named by the caller
     cells = long.join(F.broadcast(edges), "feature").groupBy("feature", label, bin_index(F.col("x"), F.col("_edges")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     wf, wl, wb = Window.partitionBy("feature"), Window.partitionBy("feature", label), Window.partitionBy("feature", "b")
     p = cells.select("feature", "n", F.sum("n").over(wf).alias("total"), F.sum("n").over(wl).alias("nl"), F.sum("n").over(wb).alias("nb"))
