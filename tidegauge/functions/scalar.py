@@ -1,7 +1,7 @@
 """Column functions: distances, links, clipping, text and JSON access, thresholds."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

@@ -256,8 +256,7 @@ def lag_backtest(df: DataFrame, series: str, t: str, y: str, lags: Sequence[int]
 
     w = Window.partitionBy(series)
     base = df.withColumn("_t", (F.row_number().over(w.orderBy(t)) / F.count(F.lit(1)).over(w)).cast("double"))
-    scale = w
-    base = base.withColumn("_scale", F.avg(y).over(scale)).withColumn("_y", F.col(y) / F.col("_scale"))
+    base = base.withColumn("_scale", F.avg(y).over(w)).withColumn("_y", F.col(y) / F.col("_scale"))
     kind = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)[series]
 
     def solve(d: DataFrame, cols: list[str], target: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tidegauge.functions.hashing import poisson1, standard_normal, unit_hash
 from tidegauge.functions.tails import chi2_p, kolmogorov_p, t_critical, t_two_sided_p
 from tidegauge.operators.aggregates import long_form
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
-from tidegauge.session import settle, settle_counted, small_side
+from tidegauge.session import settle_counted, small_side
 
 
 def two_group_test(df: DataFrame, value: str, group: str, a, b, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:

@@ -1,10 +1,10 @@
 """Aggregation queries."""
 from pyspark.sql import functions as F
 
-from tidegauge.functions.hashing import key_hash, unit_hash
+from tidegauge.functions.hashing import unit_hash
 from tidegauge.functions.scalar import extract_verdict
 from tidegauge.operators import aggregates as A
-from tidegauge.plans.common import h_sql, u_sql
+from tidegauge.plans.common import u_sql
 from tidegauge.plans.registry import query, rnd, table
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -7,7 +7,7 @@ from tidegauge.operators import vectors as V
 from tidegauge.operators.ordering import attach, running_sums
 from tidegauge.operators.text import words
 from tidegauge.plans.aggs import DEBATES, debates
-from tidegauge.plans.common import LABELLED, LI_GEO, labelled, with_geo
+from tidegauge.plans.common import LI_GEO, with_geo
 from tidegauge.plans.registry import query, rnd, table
 
 K4 = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

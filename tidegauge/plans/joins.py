@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import unit_hash
 from tidegauge.operators import joins as J
-from tidegauge.operators.ordering import attach
 from tidegauge.operators.vectors import top_k_cosine
 from tidegauge.plans.common import LI_U, cents, labelled, LABELLED, li_u, u_sql
 from tidegauge.plans.registry import query, rnd, table

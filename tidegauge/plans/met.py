@@ -5,7 +5,7 @@ from tidegauge.functions.hashing import unit_hash
 from tidegauge.operators import detection as D
 from tidegauge.operators import metrics as M
 from tidegauge.operators.ordering import attach
-from tidegauge.plans.common import LABELLED, LI_GEO, LI_KEYS, LI_U, labelled, li_u, u_sql, with_geo
+from tidegauge.plans.common import LABELLED, LI_GEO, LI_KEYS, labelled, u_sql, with_geo
 from tidegauge.plans.fns import boxes
 from tidegauge.plans.pred import ZONE
 from tidegauge.operators.predicates import in_box

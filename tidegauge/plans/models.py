@@ -3,14 +3,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import unit_hash
-from tidegauge.operators import features as X
 from tidegauge.operators import metrics as MT
 from tidegauge.operators import ml as M
 from tidegauge.operators import splits as S
 from tidegauge.operators.ordering import attach
 from tidegauge.operators.stats import dickey_fuller
-from tidegauge.operators.vectors import top_k_cosine
-from tidegauge.plans.common import LABELLED, LI_KEYS, LI_U, labelled, li_u, monthly, u_sql
+from tidegauge.plans.common import LABELLED, LI_KEYS, labelled, li_u, monthly, u_sql
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.wins import NEAR, neighbours
 from tidegauge.session import scratch, settle, settle_counted

@@ -5,12 +5,11 @@ from tidegauge.functions import udfs as U
 from tidegauge.operators import metrics as MT
 from tidegauge.operators import ml as M
 from tidegauge.operators.ordering import exact_quantiles
-from tidegauge.operators.stats import bin_index, psi
+from tidegauge.operators.stats import bin_index
 from tidegauge.plans.common import LABELLED, LI_KEYS, cents, labelled
-from tidegauge.plans.mon import ACC
 from tidegauge.plans.models import LINE, sql_model
 from tidegauge.plans.registry import query, rnd, table
-from tidegauge.plans.stat import PSI, WEEKED
+from tidegauge.plans.stat import PSI
 from tidegauge.session import scratch, small_side
 from tidegauge.streaming import streams as S
 

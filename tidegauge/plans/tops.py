@@ -1,11 +1,10 @@
 """Top-k and set queries."""
 from pyspark.sql import functions as F
 
-from tidegauge.functions.hashing import unit_hash
 from tidegauge.operators import predicates as P
 from tidegauge.operators import topk as K
 from tidegauge.operators.vectors import top_k_cosine
-from tidegauge.plans.common import LABELLED, cents, labelled, u_sql
+from tidegauge.plans.common import LABELLED, cents, labelled
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.wins import NEAR
 

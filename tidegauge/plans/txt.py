@@ -5,7 +5,7 @@ from tidegauge.operators import aggregates as A
 from tidegauge.operators import search as IVF
 from tidegauge.operators import text as T
 from tidegauge.operators.ordering import row_numbers
-from tidegauge.operators.vectors import top_k, top_k_cosine, unit
+from tidegauge.operators.vectors import top_k_cosine, unit
 from tidegauge.plans.aggs import DEBATES, OUTCOME, TALLY, debates
 from tidegauge.plans.common import cents
 from tidegauge.plans.registry import query, rnd, table
