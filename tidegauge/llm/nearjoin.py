@@ -296,7 +296,7 @@ def near_links(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     label = components(meeting.mapInArrow(_candidates(threshold, tolerance), EDGES))
     nb = F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("nb")
     wanted = label.join(label.groupBy("label").agg(nb), "label").select(F.col("v").alias("d"), "label", "nb")
-    sets = rows.join(wanted, "d").mapInArrow(_shingle_sets(size), SHINGLES)
+    sets = rows.join(wanted.hint("merge"), "d").mapInArrow(_shingle_sets(size), SHINGLES)
     verified = settle(in_blocks(sets, "label", ["s"]).mapInArrow(_verify(threshold), LINKS), "links")
     links = verified.groupBy("d").agg(F.sum("links").alias("n_links"))
     classes = components(verified.where("d <> root").select(F.col("d").alias("u"), F.col("root").alias("v")))
