@@ -46,9 +46,8 @@ def test_carry_last_equals_a_window(skewed):
     assert r.withColumn("x", F.last("v", True).over(w)).where("not (x <=> last_v)").count() == 0 and r.count() == 6000
 
 
-@pytest.mark.parametrize("rows", [None, 6000])
-def test_exact_quantiles(skewed, rows):
-    got = {r["key"]: r for r in O.exact_quantiles(skewed, "v", [0, 0.1, 0.5, 0.9, 1], ["key"], rows=rows).collect()}
+def test_exact_quantiles(skewed):
+    got = {r["key"]: r for r in O.exact_quantiles(skewed, "v", [0, 0.1, 0.5, 0.9, 1], ["key"]).collect()}
     data = {}
     for r in skewed.where("v is not null").collect():
         data.setdefault(r["key"], []).append(r["v"])
@@ -62,12 +61,6 @@ def test_exact_quantiles(skewed, rows):
         assert got[k]["n"] == len(vals)
 
 
-def test_large_candidate_buckets_are_split_again(skewed, monkeypatch):
-    whole = O.exact_quantiles(skewed, "v", [0.25, 0.75]).first()["q"]
-    monkeypatch.setattr(O, "ONE_PASS_ROWS", 1)
-    assert O.exact_quantiles(skewed, "v", [0.25, 0.75]).first()["q"] == whole
-
-
 def test_timestamp_and_date_keys(spark):
     d = spark.range(500).select("id", (F.lit("2024-03-31").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id") * 7)).alias("t"))
     d = d.withColumns({"z": F.col("t").cast("timestamp"), "d": F.to_date("t")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import iou
 from tidegauge.operators.ordering import running_sums
-from tidegauge.session import settle, settle_counted, small_side
+from tidegauge.session import settle
 
 
 def _cells(box: Column, size: float) -> Column:
@@ -58,9 +58,8 @@ def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thres
 def coco_average_precision(matches: DataFrame, truths: DataFrame, cls: str, thresholds: Sequence[float]) -> DataFrame:
     """101-point interpolated average precision and recall per class and threshold."""
     n = truths.groupBy(cls).agg(F.count(F.lit(1)).alias("num_gt"))
-    n = small_side(n, "class-sizes")
-    matches, size = settle_counted(matches, "matches")
-    r = running_sums(matches, [-F.col("score"), "id"], {"_tp": "tp", "_rank": F.lit(1).cast("long")}, [cls, "thr"], size).join(n, cls)
+    matches = settle(matches, "matches")
+    r = running_sums(matches, [-F.col("score"), "id"], {"_tp": "tp", "_rank": F.lit(1).cast("long")}, [cls, "thr"]).join(n, cls)
     r = r.withColumn("recall", F.col("_tp") / F.col("num_gt")).withColumn("precision", F.col("_tp") / F.col("_rank"))
     # highest recall level a rank reaches; the envelope then runs over at most 101 levels
     lev = r.groupBy(cls, "thr", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("precision").alias("p"), F.max("recall").alias("recall"))

@@ -21,7 +21,7 @@ from tidegauge.operators.features import impute
 from tidegauge.operators.ordering import attach
 from tidegauge.operators.splits import balanced_bags, stratified_folds
 from tidegauge.operators.stats import anova_f
-from tidegauge.session import settle, small_side
+from tidegauge.session import settle
 
 
 def assembled(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
@@ -81,7 +81,7 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = sizes.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))
     w = attach(sizes, total).select(label, (F.col("_s.n") / (F.col("_s.k") * F.col("_c"))).alias(name))
-    return df.join(small_side(w, "class-weights"), label)
+    return df.join(w, label)
 
 
 def majority_baseline(train: DataFrame, label: str) -> DataFrame:

@@ -9,14 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import BROADCAST_ROWS, settle, settle_counted
-
-
-ONE_PASS_ROWS = 200_000  # a table counted to be at most this long is ordered by one plain window
-
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,8 +23,9 @@ def let(value: Column, body) -> Column:
 
 
 def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
-    """Put a one-row aggregate beside every row, as a struct column from a scalar subquery."""
-    return df.withColumn(name, one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar())
+    """Put a one-row aggregate beside every row, as a struct column from a scalar subquery; no such row is an error."""
+    row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar()
+    return df.withColumn(name, F.coalesce(row, F.raise_error(F.lit("the one-row table is empty"))))
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -43,61 +39,35 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inn
 
 
 SAMPLE_PER_BUCKET = 32
-TREE_POINTS = 48
 
 
 def bucket_target(df: DataFrame) -> int:
-    """Number of order buckets; it follows the session's shuffle width, so it grows with the cluster."""
-    return min(max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
-
-
-def _literal(v, kind: str) -> str:
-    """SQL literal of a sampled key value."""
-    if kind in ("string", "timestamp_ntz", "date"):
-        text = f"CAST(X'{str(v).encode().hex()}' AS STRING)"
-        return text if kind == "string" else f"CAST({text} AS {kind})"
-    if kind in ("double", "float"):
-        return f"CAST('{v!r}' AS {kind})"
-    return f"CAST({v} AS {kind})"
+    """Number of order buckets; it follows the session's shuffle width, so it grows with the data the session is set up for."""
+    return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, names: Sequence[str], n: int, rows: int | None = None) -> list[tuple]:
-    """At most ``n - 1`` increasing key tuples from a sample of about 32 rows per bucket, as SQL literals (None for null)."""
+def split_points(df: DataFrame, names: Sequence[str], n: int) -> list[Row]:
+    """At most ``n - 1`` increasing key tuples from a sample of about 32 rows per bucket; dates and plain timestamps as text."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = df.select(*names)
-    rows = keys.count() if rows is None else rows
-    share = min(1.0, SAMPLE_PER_BUCKET * n / max(rows, 1))
+    share = min(1.0, SAMPLE_PER_BUCKET * n / max(keys.count(), 1))
     picked = keys.sample(fraction=share, seed=42) if share < 1.0 else keys
     text = [F.col(c).cast("string").alias(c) if kinds[c] in ("timestamp_ntz", "date") else F.col(c) for c in names]
     sample = picked.orderBy(*names).select(*text).collect()  # bounded by 32 n rows
     out = []
     for i in range(1, n):
         if len(sample) * i // n < len(sample):
-            r = sample[len(sample) * i // n]
-            point = tuple(None if r[c] is None else _literal(r[c], kinds[c]) for c in names)
+            point = sample[len(sample) * i // n]
             if not out or out[-1] != point:
                 out.append(point)
     return out
 
 
-def _at_or_above(names: Sequence[str], point: tuple) -> str:
-    """SQL test that the key is not below a split point, nulls first as in Spark's order."""
-    test = None
-    for c, v in reversed(list(zip(names, point))):
-        if test is None:
-            test = "TRUE" if v is None else f"coalesce({c} >= {v}, FALSE)"
-        elif v is None:
-            test = f"({c} IS NOT NULL OR {test})"
-        else:
-            test = f"(coalesce({c} > {v}, FALSE) OR (coalesce({c} = {v}, FALSE) AND {test}))"
-    return test
-
-
-def order_buckets(df: DataFrame, key: Sequence[Column | str], name: str = "_b", n: int | None = None, rows: int | None = None) -> DataFrame:
+def order_buckets(df: DataFrame, key: Sequence[Column | str], name: str = "_b", n: int | None = None) -> DataFrame:
     """Add an int column that is non-decreasing in the sort key (group columns first, then order).
 
-    The split points are fixed before the plan is built, so all its branches agree on the buckets; they
-    become a balanced tree of comparisons in generated code.
+    The split points are fixed before the plan is built, so all its branches agree on the buckets: they are one
+    literal array, and a row finds its bucket by binary search (nulls first, as in Spark's order).
     """
     n = n or bucket_target(df)
     names = [f"_k{i}" for i in range(len(key))]
@@ -106,30 +76,15 @@ def order_buckets(df: DataFrame, key: Sequence[Column | str], name: str = "_b",
     # a zoned timestamp is compared by its microseconds: its text repeats when clocks go back
     cols = [F.unix_micros(c) if f.dataType.simpleString() == "timestamp" else c for c, f in zip(cols, types.fields)]
     keyed = df.withColumns(dict(zip(names, cols)))
-    points = split_points(keyed, names, n, rows)
-
-    def tree(pts: list[tuple], lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"IF({_at_or_above(names, pts[mid])}, {tree(pts, mid + 1, hi)}, {tree(pts, lo, mid)})"
-
-    if len(points) <= TREE_POINTS:
-        return keyed.withColumn(name, F.expr(tree(points, 0, len(points)))).drop(*names)
-    # a larger tree would exceed what the JVM compiles as one method: a coarse tree picks a run of ``m``
-    # points, a binary search over the literal array finishes inside it
-    m = 1
-    while len(points) // m > TREE_POINTS:
-        m *= 2
-    coarse = points[m - 1::m]
-    kind = {f.name: f.dataType.simpleString() for f in keyed.select(*names).schema.fields}
-    row = lambda pt: "named_struct(" + ", ".join(f"'{c}', " + (f"CAST(NULL AS {kind[c]})" if v is None else v) for c, v in zip(names, pt)) + ")"
-    edges = "array(" + ", ".join(row(pt) for pt in points) + ")"
-    steps = ", ".join(str(m >> i) for i in range(1, m.bit_length()))
-    okey = "named_struct(" + ", ".join(f"'{c}', {c}" for c in names) + ")"
-    keyed = keyed.withColumn("_c", F.expr(tree(coarse, 0, len(coarse))))
-    fine = f"aggregate(array({steps}), _c * {m}, (pos, st) -> IF(coalesce(get({edges}, pos + st - 1) <= {okey}, FALSE), pos + st, pos))"
-    return keyed.withColumn(name, F.expr(fine)).drop("_c", *names)
+    points = split_points(keyed, names, n)
+    if not points:
+        return keyed.withColumn(name, F.lit(0)).drop(*names)
+    kinds = {f.name: f.dataType for f in keyed.select(*names).schema.fields}
+    edges = F.array(*[F.struct(*[F.lit(p[c]).cast(kinds[c]).alias(c) for c in names]) for p in points])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(points).bit_length()))])
+    here = F.struct(*[F.col(c) for c in names])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(edges, at + step - 1) <= here, F.lit(False)), at + step).otherwise(at))
+    return keyed.withColumn(name, found).drop(*names)
 
 
 def running_sums(
@@ -137,17 +92,12 @@ def running_sums(
     order: Sequence[Column | str],
     sums: dict[str, Column | str],
     by: Sequence[str] = (),
-    rows: int | None = None,
 ) -> DataFrame:
     """Inclusive cumulative sums in ``order`` within ``by``, for groups of any size.
 
     ``order`` must identify a row within its group; write a descending numeric key with a minus sign.
-    ``rows``: the table's counted length where the caller knows it; a short table needs no buckets.
     """
     by = list(by)
-    if rows is not None and rows <= ONE_PASS_ROWS:
-        w = Window.partitionBy(*by).orderBy(*[as_col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({o: F.coalesce(F.sum(as_col(c)).over(w), F.lit(0)) for o, c in sums.items()})
     for i, c in enumerate(order):
         df = df.withColumn(f"_o{i}", as_col(c))
     ocols = [f"_o{i}" for i in range(len(order))]
@@ -171,9 +121,9 @@ def running_sums(
     return out.drop("_b", *ocols, *[f"_v{i}" for i in range(len(outs))], *[f"_off{i}" for i in range(len(outs))])
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "rank", by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """``row_number()`` in ``order`` within ``by`` without a single sorting task."""
-    return running_sums(df, order, {name: F.lit(1).cast("long")}, by, rows)
+    return running_sums(df, order, {name: F.lit(1).cast("long")}, by)
 
 
 def carry_last(
@@ -207,7 +157,6 @@ def carry_last(
 
 def exact_quantiles(
     df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q",
-    rows: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: one row with an array ``q`` and the count ``n``.
 
@@ -216,11 +165,7 @@ def exact_quantiles(
     """
     by, probs = list(by), list(probs)
     v = df.select(*by, as_col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if rows is not None and rows <= ONE_PASS_ROWS:
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-        return v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias(name)).where("n > 0")
-    # the first pass only has to narrow the ranks down, so the cheap comparison tree is enough
-    b = order_buckets(v, [*by, "_v"], n=TREE_POINTS, rows=rows)
+    b = order_buckets(v, [*by, "_v"])
     counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_hi", F.sum("_c").over(upto)).withColumn(
@@ -230,20 +175,15 @@ def exact_quantiles(
     ranks = F.array_distinct(F.array(*[f(p) for p in pos for f in (F.floor, F.ceil)]))
     lo = F.col("_hi") - F.col("_c")
     wanted = counts.select(
-        *by, "_b", "n", "_c", lo.alias("_lo"),
+        *by, "_b", "n", lo.alias("_lo"),
         F.filter(ranks, lambda r: (r >= lo) & (r < F.col("_hi"))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
-    wanted, found = settle_counted(wanted, "wanted-ranks")  # at most two rows per group and probability
-    left = wanted.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-    wanted = F.broadcast(wanted.drop("_c")) if found <= BROADCAST_ROWS else wanted.drop("_c")
+    # at most two buckets per group and probability
     cand = same(b, wanted, [*by, "_b"]).groupBy(*by, "_b", "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_lo").alias("_lo"), F.max("n").alias("n"), F.max("_ranks").alias("_ranks")
     )
-    if left <= 10 * ONE_PASS_ROWS:
-        inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        cand = cand.withColumn("_in", F.sum("_c").over(inside))
-    else:  # a bucket that is itself large is ordered through buckets of its own
-        cand = running_sums(settle(cand.withColumnRenamed("_b", "_part"), "candidates"), ["_v"], {"_in": "_c"}, [*by, "_part"])
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_in", F.sum("_c").over(inside))
     cand = cand.withColumn("_cum", F.col("_in") + F.col("_lo"))
     hits = cand.select(
         *by, "n", "_v",

@@ -11,7 +11,6 @@ from tidegauge.functions.hashing import key_hash, unit_hash
 from tidegauge.operators.joins import nearest_donors
 from tidegauge.operators.ordering import attach, row_numbers
 from tidegauge.operators.vectors import top_k
-from tidegauge.session import small_side
 
 
 def random_split(df: DataFrame, keys: Sequence[str], test: float = 0.25, seed: int = 42) -> DataFrame:
@@ -23,8 +22,7 @@ def _hash_ranks(df: DataFrame, key: str, by: Sequence[str], seed: int | Column)
 
 
 def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class; broadcast when the counted number of classes allows it."""
-    return small_side(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.25, seed: int = 42) -> DataFrame:

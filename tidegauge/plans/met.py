@@ -12,7 +12,6 @@ from tidegauge.operators.predicates import in_box
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.tops import RANKED
 from tidegauge.plans.wins import NEAR, neighbours
-from tidegauge.session import small_side
 
 Y, PRED = "l_extendedprice", "(1500.0::DOUBLE*l_quantity+20000*l_discount)"
 
@@ -321,7 +320,7 @@ def met_33(spark, sf):
 def met_34(spark, sf):
     e = table(spark, sf, "embeddings")
     size = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("total"))
-    total = e.select(F.col("vec_id").alias("query_id"), "label").join(small_side(size), "label").select("query_id", "total")
+    total = e.select(F.col("vec_id").alias("query_id"), "label").join(size, "label").select("query_id", "total")
     out = M.recall_and_rr(neighbours(spark, sf), "query_id", "rank", F.col("ql") == F.col("cl"), total, 5)
     return r4(out, "recall", "rr", digits=6, keep=("query_id",))
 

@@ -2,11 +2,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -28,18 +28,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables: ``spark.checkpoint.dir``.
 
-    Where the setting is absent, only a local master may fall back to a folder of this machine: on a
-    cluster another executor could not read it.
+    Where the setting is absent, a session in this one process may use a folder of this machine: on a
+    cluster another executor could not read it, so there it must be set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"tidegauge-{spark.sparkContext.applicationId}")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -48,34 +46,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor never loses a step of an iterative job."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def settle_counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
-    """Write a step to the shared folder and read it back, with its row count (observed while writing).
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step to the shared folder and read it back.
 
     For steps that several branches of a plan need: Spark would compute each branch's copy from the raw
     table. The written step also survives the loss of an executor.
     """
-    path, seen = scratch(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
-
-
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    return settle_counted(df, name)[0]
-
-
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, name: str = "small") -> DataFrame:
-    """An aggregate to join with: broadcast when its counted size allows it, otherwise joined by shuffle."""
-    table, rows = settle_counted(df, name)
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> None:
