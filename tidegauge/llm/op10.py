@@ -20,5 +20,5 @@ select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_remov
 @query("op10_substring_dedup", SQL)
 def op10_substring_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    kept = F.trim(F.regexp_replace(F.coalesce("cut.text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return cut.select(F.col("row.doc_id").alias("doc_id"), "cut.n_words", "cut.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
