@@ -256,7 +256,7 @@ def _verify(threshold: float):
                 common = shared_counts(np.repeat(np.arange(m), size[lo:hi]), flat[at[lo]:at[hi]], m).astype(np.float64)
                 union = size[lo:hi, None] + size[None, lo:hi] - common
                 near = common >= threshold * union - 1e-9
-                np.fill_diagonal(near, False)
+                near &= d[lo:hi, None] != d[None, lo:hi]
                 if not within[lo]:
                     near &= b[lo:hi, None] != b[None, lo:hi]
                 links[lo:hi] = near.sum(1)
@@ -296,7 +296,9 @@ def near_links(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     label = components(meeting.mapInArrow(_candidates(threshold, tolerance), EDGES))
     nb = F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("nb")
     wanted = label.join(label.groupBy("label").agg(nb), "label").select(F.col("v").alias("d"), "label", "nb")
-    sets = rows.join(wanted.hint("merge"), "d").mapInArrow(_shingle_sets(size), SHINGLES)
+    # repeated rows count once: the join has already brought them together
+    once = rows.withColumn("t", F.xxhash64("text")).join(wanted.hint("merge"), "d").dropDuplicates(["d", "t"]).drop("t")
+    sets = once.mapInArrow(_shingle_sets(size), SHINGLES)
     verified = settle(in_blocks(sets, "label", ["s"]).mapInArrow(_verify(threshold), LINKS), "links")
     links = verified.groupBy("d").agg(F.sum("links").alias("n_links"))
     classes = components(verified.where("d <> root").select(F.col("d").alias("u"), F.col("root").alias("v")))
