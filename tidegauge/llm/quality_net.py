@@ -40,9 +40,9 @@ class Net:
 
 
 def padded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, first hop of each text and the end): each text has zeros behind it up to whole hops, at least ``WIDTH``."""
+    """(bytes, first hop of each text and the end): each text has zeros behind it up to whole hops, enough to keep filters and lags inside it."""
     size = np.diff(off)
-    hops = -(-(size + WIDTH) // HOP)
+    hops = -(-(size + max(WIDTH, LAGS[-1])) // HOP)
     first = np.concatenate([[0], np.cumsum(hops)])
     out = np.zeros(first[-1] * HOP, np.uint8)
     out[np.arange(len(raw)) + np.repeat(first[:-1] * HOP - off[:-1], size)] = raw
@@ -62,11 +62,14 @@ def self_match(x: np.ndarray) -> np.ndarray:
     return best.astype(np.float32) / HOP
 
 
-def convolve(net: Net, x: np.ndarray) -> np.ndarray:
+def convolve(net: Net, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(hops, HOP, FILTERS). Windows that would reach into the next text see zeros there."""
     n = len(x)
     out = net.tables[0][x]
     for k in range(1, WIDTH):
         out[:n - k] += net.tables[k][x[k:]]
+    for back in range(1, WIDTH):
+        out[first[1:] * HOP - back] = net.tables[:, 0].sum(0)
     out += net.bias
     return out.reshape(-1, HOP, FILTERS)
 
@@ -86,13 +89,13 @@ def pool(net: Net, hops: np.ndarray, first: np.ndarray) -> dict:
 
 def score_bytes(net: Net, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     x, first = padded(raw, off)
-    hops = np.maximum(convolve(net, x).max(1), 0)
+    hops = np.maximum(convolve(net, x, first).max(1), 0)
     return pool(net, np.concatenate([hops, self_match(x)[:, None]], 1), first)["p"].astype(np.float64)
 
 
 def gradients(net: Net, raw: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Net:
     x, first = padded(raw, off)
-    conv = convolve(net, x)
+    conv = convolve(net, x, first)
     place = conv.argmax(1)
     peak = np.take_along_axis(conv, place[:, None], 1)[:, 0]
     f = pool(net, np.concatenate([np.maximum(peak, 0), self_match(x)[:, None]], 1), first)
@@ -106,10 +109,11 @@ def gradients(net: Net, raw: np.ndarray, off: np.ndarray, y: np.ndarray, weight:
     np.add.at(hop, (np.where(f["second"], f["after"][:, None], np.arange(len(back))[:, None]), np.arange(c)), back)
     back = hop[:, :FILTERS] * (peak > 0)
     at = place + np.arange(len(place))[:, None] * HOP
+    end = first[1:][text, None] * HOP
     tables = np.zeros_like(net.tables)
     filters = np.broadcast_to(np.arange(FILTERS), at.shape)
     for k in range(WIDTH):
-        np.add.at(tables[k], (np.where(at + k < len(x), x[np.minimum(at + k, len(x) - 1)], 0), filters), back)
+        np.add.at(tables[k], (np.where(at + k < end, x[np.minimum(at + k, len(x) - 1)], 0), filters), back)
     return Net(tables, back.sum(0), f["x"].T @ dz, dz.sum(keepdims=True))
 
 
