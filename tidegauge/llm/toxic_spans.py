@@ -73,8 +73,9 @@ class Model:
         return out
 
     def expected(self, score: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log of the number of segments of this score that chance puts into n words."""
-        return np.log(self.scale * np.maximum(n, 1)) - self.rate * score
+        """Log of the number of segments of this score that chance puts into n words; without a segment, of the words themselves."""
+        words = np.log(np.maximum(n, 1))
+        return np.where(score > 0, words + np.log(self.scale) - self.rate * score, words)
 
     def probability(self, log_expected: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.intercept - self.slope * log_expected, -30, 30)))
