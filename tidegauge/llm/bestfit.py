@@ -3,8 +3,8 @@
 Documents are tokenised once; only longer ones are cut. Pieces are packed by best-fit decreasing inside partitions of bounded size.
 A dual-feasible function maps sizes so that no sequence can hold more than 1 of the mapped total; the largest bound over a
 family of such functions is a number of sequences that no packing of the partition can go below. A partition that
-meets its bound is optimal and done. The others keep their full sequences and hand the pieces of the rest to an exchange: these are
-dealt anew over fewer partitions and packed again, until no partition has a gap or a round gains nothing.
+meets its bound is optimal and done. The others hand the pieces of their emptiest sequences to an exchange: these are dealt anew over
+fewer partitions and packed again, until no partition has a gap, one partition is left, or a round gains nothing.
 """
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ from tidegauge.session import settle
 LENGTH, END = 1024, 2
 #: Pieces in one partition of the packing: about 60 MB of a task's memory.
 GROUP = 100_000
-ROUNDS = 6
+ROUNDS = 12
 LONG = T.LongType()
 PIECES = T.StructType([T.StructField(n, LONG) for n in ("doc_id", "copy", "piece", "start", "length", "ids_crc32")])
 
@@ -124,49 +124,57 @@ def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return where, offset, length - np.array(fills, np.int64)[where] if len(sizes) else where
 
 
-PLACED = T.StructType(PIECES.fields + [T.StructField(n, LONG) for n in ("group", "bin", "offset", "room", "gap")])
+PLACED = T.StructType(PIECES.fields + [T.StructField(n, LONG) for n in ("group", "bin", "offset", "moves")])
 
 
-def _pack(length: int):
+def leaving(where: np.ndarray, room: np.ndarray, share: int) -> np.ndarray:
+    """The pieces of the emptiest sequences that are not full, up to one piece in ``share`` (at least one sequence)."""
+    count = np.bincount(where)
+    left = np.zeros(len(count), np.int64)
+    left[where] = room
+    order = np.argsort(-left, kind="stable")
+    go = np.zeros(len(count), bool)
+    go[order] = (np.cumsum(count[order]) <= max(len(where) // share, count[order[0]])) & (left[order] > 0)
+    return go[where]
+
+
+def _pack(length: int, share: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "copy", "piece"], kind="stable")
         size = group["length"].to_numpy(np.int64)
         where, offset, room = best_fit(size, length)
-        gap = int(where.max()) + 1 - dual_bound(np.bincount(size, minlength=length + 1), length)
-        return group.assign(bin=where, offset=offset, room=room, gap=gap)[[f.name for f in PLACED]]
+        certified = int(where.max()) + 1 == dual_bound(np.bincount(size, minlength=length + 1), length)
+        moves = np.zeros(len(size), np.int64) if certified else leaving(where, room, share).astype(np.int64)
+        return group.assign(bin=where, offset=offset, moves=moves)[[f.name for f in PLACED]]
 
     return pack
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int = ROUNDS, share: int = 4) -> DataFrame:
     """Pieces with sequence_id and offset: no sequence holds more than ``length``, and a sequence has no gap before its last piece.
 
-    ``pieces`` has doc_id, copy, piece, start, length, ids_crc32. A partition holds about ``group`` pieces whatever the table's size. Each
+    ``pieces`` has doc_id, copy, piece, start, length, ids_crc32. A partition holds about ``group`` pieces whatever the table's size; each
+    exchange takes one piece in ``share`` at most from every partition with a gap, so the next round has fewer partitions, down to one. Each
     round is a written table. Empty input gives no rows; equal rows are packed each by itself.
     """
     pool = settle(pieces, "pieces")
     total = pool.agg(F.count(F.lit(1))).first()[0]
-    done, sequences, held = [], None, None
+    done, last, sequences = [], None, None
     for r in range(rounds):
         parts = max(1, -(-total // group))
         key = F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(r)), F.lit(parts))
-        placed = settle(pool.withColumn("group", key).groupBy("group").applyInPandas(_pack(length), PLACED), f"round-{r}")
-        bins = placed.where("offset = 0")  # one row per sequence
-        used, loose = bins.agg(F.count(F.lit(1)), F.count(F.when((F.col("gap") > 0) & (F.col("room") > 0), 1))).first()
+        placed = settle(pool.withColumn("group", key).groupBy("group").applyInPandas(_pack(length, share), PLACED), f"round-{r}")
+        first = F.col("offset") == 0  # one row per sequence
+        used, moved, total = placed.agg(F.count_if(first), F.count_if(first & (F.col("moves") == 1)), F.coalesce(F.sum("moves"), F.lit(0))).first()
         if sequences is not None and used >= sequences:
             break  # the exchange gained nothing: the round before stands
-        held = (r, placed)
-        if not loose or parts == 1:
+        if not moved or parts == 1 or r == rounds - 1:
+            last = (r, placed)
             break
-        stay = (F.col("gap") <= 0) | (F.col("room") == 0)
-        done.append((r, placed.where(stay)))
-        pool = placed.where(~stay).select(*[f.name for f in PIECES])
-        sequences, total = loose, pool.agg(F.count(F.lit(1))).first()[0]
-        held = (r, placed.where(~stay))
-    if held is not None:
-        done.append(held)
+        done.append((r, placed.where("moves = 0")))
+        last, pool, sequences = (r, placed.where("moves = 1")), placed.where("moves = 1").select(*[f.name for f in PIECES]), moved
     out = None
-    for r, part in done:  # round, partition and bin as one number: no partition has more bins than pieces
+    for r, part in [*done, last]:  # round, partition and bin as one number: no partition has more bins than pieces
         part = part.select("doc_id", "copy", "piece", "start", "length", "ids_crc32", ((F.lit(r) * 2**28 + F.col("group")) * 2**31 + F.col("bin")).cast("long").alias("sequence_id"), "offset")
         out = part if out is None else out.union(part)
     return out
