@@ -27,17 +27,39 @@ def text(v):
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
+def shown(d):
+    cols = sorted(d.columns)
+    return sorted(tuple(text(x) for x in r) for r in d[cols].itertuples(index=False, name=None))
+
+
 @pytest.mark.parametrize("name", sorted(SQL) if os.environ.get("ALL_QUERIES") else SAMPLE)
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
+    con.sql("SET memory_limit='4GB'; SET threads=4")
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    got = entry_mod.queries()[name](spark, sf).toPandas()
+    got = load_all()[0][name](spark, sf).toPandas()
     want = con.sql(SQL[name]).df()
-    cols = sorted(got.columns)
-    assert cols == sorted(want.columns)
-    rows = lambda d: sorted(tuple(text(x) for x in r) for r in d[cols].itertuples(index=False, name=None))
-    assert rows(got) == rows(want) and len(got)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert shown(got) == shown(want) and len(got)
+
+
+@pytest.mark.skipif(not os.environ.get("ALL_QUERIES"), reason="ALL_QUERIES=1 runs every query twice")
+def test_every_query_runs_in_one_session_in_both_orders(spark, sf):
+    queries = load_all()[0]
+    for names in (sorted(queries), sorted(queries, reverse=True)):
+        for name in names:
+            queries[name](spark, sf).write.format("noop").mode("overwrite").save()
+
+
+#: Queries without a twin: solvers, learned merges, iterative matching. All run in one session, models in both orders.
+BARE = sorted(set(load_all()[0]) - set(SQL))
+
+
+@pytest.mark.parametrize("name", BARE + [n for n in reversed(BARE) if n.startswith(("ml_", "met_2", "txt_8"))])
+def test_bare_query_runs_after_any_other(spark, sf, name):
+    rows = load_all()[0][name](spark, sf)
+    assert rows.columns and rows.count()
 
 
 def test_model_invariants(spark, sf):

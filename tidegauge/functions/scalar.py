@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,18 +108,22 @@ def enum_code(name: Column, names: Mapping[int, str]) -> Column:
     return back[name]
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two token arrays: one table row is folded over ``a``.
+@F.pandas_udf("long")
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence of two token arrays, by bit-parallel rows: one step of a few machine words per token of ``b``.
 
-    The row starts with a zero, so entry j+1 is the length against the first j tokens of ``b``.
+    Memory is one bit per token of ``a`` for each different token.
     """
-    def step(prev, tok):
-        def cell(row, j):
-            left, diag, up = F.element_at(row, -1), F.get(prev, j), F.get(prev, j + 1)
-            return F.concat(row, F.array(F.when(F.get(b, j) == tok, diag + 1).otherwise(F.greatest(left, up))))
+    out = []
+    for x, y in zip(a, b):
+        at: dict = {}
+        for i, token in enumerate(x):
+            at[token] = at.get(token, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        row = full
+        for token in y:
+            hit = row & at.get(token, 0)
+            row = ((row + hit) | (row - hit)) & full
+        out.append(len(x) - row.bit_count())
+    return pd.Series(out, dtype="int64")
 
-        idx = F.sequence(F.lit(0), F.size(b) - 1)
-        return F.aggregate(idx, F.array(F.lit(0)), cell)
-
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, step), -1))

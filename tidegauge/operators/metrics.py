@@ -1,19 +1,18 @@
 """Evaluation metrics: regression, classification, calibration, ranking and text overlap."""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.functions.hashing import key_hash
-from tidegauge.functions.scalar import char_ngrams, word_ngrams
+from tidegauge.functions.scalar import lcs_length
 from tidegauge.operators.aggregates import histogram
 from tidegauge.operators.joins import salted_join
-from tidegauge.operators.ordering import attach, exact_quantiles, let, row_numbers, running_sums
+from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums
 from tidegauge.operators.text import words
 from tidegauge.operators.vectors import top_k
 from tidegauge.session import settle
@@ -238,34 +237,30 @@ def mask_iou(a: DataFrame, b: DataFrame, image: str, x: str, y: str) -> DataFram
 
 # --- text pairs: (key, candidate, reference)
 
-COMMON_GRAMS = 64
+OVERLAP = "array<struct<n: int, matched: bigint, cand: bigint, ref: bigint>>"
 
 
-def gram_overlap(pairs: DataFrame, key: str, cand: dict[int, Column], ref: dict[int, Column]) -> DataFrame:
-    """Clipped matches and totals per pair and order n, from the n-gram arrays of both sides.
+def gram_overlap(pairs: DataFrame, key: str, cand: Column, ref: Column, orders: int) -> DataFrame:
+    """Clipped matches and totals per pair and order n = 1..orders, of two token arrays or of the characters of two strings.
 
-    Only grams that both texts contain can match, so only those are counted in a shuffle; the totals are
-    array lengths. Where the texts share few grams the others are dropped in place.
+    A pair is one row, so its grams are counted inside the row, in Arrow batches: nothing is shuffled.
     """
-    def shared(own: Column, other: Column) -> Column:
-        common = F.array_intersect(own, other)
-        return let(common, lambda m: F.when(F.size(m) == 0, F.array().cast("array<string>")).when(
-            F.size(m) <= COMMON_GRAMS, F.filter(own, lambda g: F.array_contains(m, g))).otherwise(own))
+    def count(c: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(c, r):
+            a, b, rows = list(a), list(b), []
+            for n in range(1, orders + 1):
+                x, y = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))
+                rows.append((n, sum(min(k, y[g]) for g, k in x.items()), max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)))
+            out.append(rows)
+        return pd.Series(out)
 
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), cand[n].alias("c"), ref[n].alias("r")) for n in cand])
-    grams = pairs.select(key, F.inline(rows))
-    tag = lambda side, ci, ri: F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(ci).alias("ci"), F.lit(ri).alias("ri")))
-    both = grams.select(key, "n", F.size("c").alias("cand"), F.size("r").alias("ref"), F.inline_outer(
-        F.concat(tag(shared(F.col("c"), F.col("r")), 1, 0), tag(shared(F.col("r"), F.col("c")), 0, 1))))
-    per = both.where("cand > 0 or ref > 0").groupBy(key, "n", "gram").agg(
-        F.coalesce(F.sum("ci"), F.lit(0)).alias("c"), F.coalesce(F.sum("ri"), F.lit(0)).alias("r"), F.max("cand").alias("cand"), F.max("ref").alias("ref"))
-    return per.groupBy(key, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.max("cand").alias("cand"), F.max("ref").alias("ref"))
+    counted = pairs.select(key, F.explode(F.pandas_udf(count, OVERLAP)(cand, ref)).alias("o"))
+    return counted.select(key, "o.*").where("cand > 0 or ref > 0")
 
 
 def word_overlap(pairs: DataFrame, key: str, max_n: int = 4) -> DataFrame:
-    t = pairs.select(key, F.explode(F.array(F.struct(words("candidate").alias("c"), words("reference").alias("r")))).alias("w"))
-    side = lambda c: {n: word_ngrams(F.col(c), n) for n in range(1, max_n + 1)}
-    return gram_overlap(t, key, side("w.c"), side("w.r"))
+    return gram_overlap(pairs, key, words("candidate"), words("reference"), max_n)
 
 
 def bleu(overlap: DataFrame, pairs: DataFrame, key: str, max_n: int = 4) -> DataFrame:
@@ -281,8 +276,8 @@ def bleu(overlap: DataFrame, pairs: DataFrame, key: str, max_n: int = 4) -> Data
 
 def chrf(pairs: DataFrame, key: str, order: int = 2, beta: float = 2.0) -> DataFrame:
     """Character F score: precision and recall averaged over orders, blanks removed."""
-    side = lambda c: {n: char_ngrams(F.replace(F.col(c), F.lit(" "), F.lit("")), n) for n in range(1, order + 1)}
-    o = gram_overlap(pairs, key, side("candidate"), side("reference"))
+    side = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    o = gram_overlap(pairs, key, side("candidate"), side("reference"), order)
     m = o.groupBy(key).agg((F.sum(ratio(F.col("matched"), F.col("cand"))) / order).alias("precision"), (F.sum(ratio(F.col("matched"), F.col("ref"))) / order).alias("recall"))
     return m.withColumn("chrf", f_beta(F.col("precision"), F.col("recall"), beta))
 
@@ -292,32 +287,9 @@ def rouge_n(overlap: DataFrame, key: str, n: int) -> DataFrame:
     return overlap.where(F.col("n") == n).select(key, p.alias("precision"), r.alias("recall"), f_beta(p, r).alias("f1"))
 
 
-@F.pandas_udf(T.LongType())
-def lcs_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of token arrays: one vector step per token of the first array."""
-    out = []
-    for x, y in zip(a, b):
-        if len(x) == 0 or len(y) == 0:
-            out.append(0)
-            continue
-        code: dict = {}
-        xs = [code.setdefault(t, len(code)) for t in x]
-        ys = np.array([code.setdefault(t, len(code)) for t in y])
-        at = {}
-        for t in set(xs):
-            at[t] = ys == t
-        row = np.zeros(len(ys) + 1, dtype=np.int64)
-        for t in xs:
-            new = row.copy()
-            new[1:][at[t]] = row[:-1][at[t]] + 1
-            row = np.maximum.accumulate(np.maximum(new, row))
-        out.append(int(row[-1]))
-    return pd.Series(out)
-
-
 def rouge_l(pairs: DataFrame, key: str) -> DataFrame:
     t = pairs.select(key, words("candidate").alias("c"), words("reference").alias("r"))
-    t = t.select(key, F.size("c").alias("nc"), F.size("r").alias("nr"), lcs_tokens("c", "r").alias("lcs"))
+    t = t.select(key, F.size("c").alias("nc"), F.size("r").alias("nr"), lcs_length("c", "r").alias("lcs"))
     p, r = ratio(F.col("lcs"), F.col("nc")), ratio(F.col("lcs"), F.col("nr"))
     return t.select(key, "lcs", p.alias("precision"), r.alias("recall"), f_beta(p, r).alias("f1"))
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +34,21 @@ def positive(model_output: DataFrame, name: str = "prob") -> DataFrame:
     return model_output.withColumn(name, vector_to_array("probability")[1])
 
 
+def scored(model, df: DataFrame, features: Sequence[str], prob: str | None = "prob") -> DataFrame:
+    """``df`` with ``prediction`` and the probability of class 1.
+
+    A binary logistic model is applied as an expression: no user function, and nothing of the fitted model's training
+    summary travels with the plan.
+    """
+    if isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        p = sigmoid(linear_expression(model, features))
+        return df.withColumns({**({prob: p} if prob else {}), "prediction": (p > 0.5).cast("double")})
+    out = model.transform(assembled(df, features))
+    if prob:
+        out = positive(out, prob)
+    return out.drop("features", "rawPrediction", "probability")
+
+
 def preparation(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """Scale numeric and one-hot encode categorical columns (unseen levels become their own slot)."""
     stages = [VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="keep"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
@@ -76,6 +92,12 @@ def linear_expression(model, features: Sequence[str]) -> Column:
     return out
 
 
+def fit_all(fits: Sequence[Callable], at_once: int = 4) -> list:
+    """Results of several fits on one written table, a few at a time, in order."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda f: f(), fits))
+
+
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
@@ -113,9 +135,8 @@ def cross_calibrated(resampled: DataFrame, test: DataFrame, key: str, features:
     out = test
     for k in range(folds):
         m = LogisticRegression(labelCol=label).fit(assembled(parts.where(F.col("fold") != k), features))
-        held = positive(m.transform(assembled(parts.where(F.col("fold") == k), features)), "_s").select(label, "_s")
-        scored = positive(m.transform(assembled(out, features)), "_s").drop("features", "rawPrediction", "probability", "prediction")
-        out = isotonic(held, scored, "_s", label, f"_c{k}").drop("_s")
+        held = scored(m, parts.where(F.col("fold") == k), features, "_s").select(label, "_s")
+        out = isotonic(held, scored(m, out, features, "_s").drop("prediction"), "_s", label, f"_c{k}").drop("_s")
     mean = sum((F.col(f"_c{k}") for k in range(1, folds)), F.col("_c0")) / folds
     return out.withColumn("calibrated", mean).drop(*[f"_c{k}" for k in range(folds)])
 
@@ -129,8 +150,7 @@ def bagged_probability(train: DataFrame, test: DataFrame, key: str, features: Se
     """One model per balanced bag; probabilities are averaged per row of ``test``."""
     members = settle(balanced_bags(train.select(key, label, *features), key, label, bags), "bags")
     out = assembled(test, features)
-    for b in range(bags):
-        m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(members.where(F.col("bag") == b), features))
+    for b, m in enumerate(fit_all([lambda b=b: make().setLabelCol(label).setFeaturesCol("features").fit(assembled(members.where(F.col("bag") == b), features)) for b in range(bags)])):
         out = positive(m.transform(out), f"_p{b}").drop("rawPrediction", "probability", "prediction")
     return out.withColumn("prob", sum((F.col(f"_p{b}") for b in range(1, bags)), F.col("_p0")) / bags).drop("features", *[f"_p{b}" for b in range(bags)])
 
@@ -140,9 +160,8 @@ def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str
     parts = df.withColumnRenamed(fold_col, "fold") if fold_col else settle(stratified_folds(df.select(key, label, *features), key, label, folds), "folds")
     d = assembled(parts, features)
     out = None
-    for k in range(folds):
-        m = make().setLabelCol(label).setFeaturesCol("features").fit(d.where(F.col("fold") != k))
-        row = m.transform(d.where(F.col("fold") == k)).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).withColumn("fold", F.lit(k))
+    for k, m in enumerate(fit_all([lambda k=k: make().setLabelCol(label).setFeaturesCol("features").fit(d.where(F.col("fold") != k)) for k in range(folds)])):
+        row = scored(m, parts.where(F.col("fold") == k), features, None).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).withColumn("fold", F.lit(k))
         out = row if out is None else out.unionByName(row)
     return settle(out, "cv-scores")
 
@@ -151,17 +170,15 @@ def cv_mean(df: DataFrame, key: str, features: Sequence[str], label: str, make:
     return cross_validated(df, key, features, label, make, folds).agg(F.avg("accuracy")).first()[0]
 
 
-def family_search(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, families: dict[str, Callable], budget_seconds: float) -> DataFrame:
-    """Fit model families until the budget is used; log-loss leaderboard of those fitted."""
-    start, rows = time.monotonic(), []
+def family_search(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, families: dict[str, Callable], budget: int | None = None) -> DataFrame:
+    """Log-loss leaderboard of the first ``budget`` model families (None: all). The budget counts fits, so a slow cluster gives the same rows."""
+    rows = []
     tr, te = settle(train, "train"), settle(test, "test")
-    for name, make in families.items():
-        if rows and time.monotonic() - start > budget_seconds:
-            break
+    for name, make in list(families.items())[:budget]:
         t0 = time.monotonic()
         m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(tr, features))
         p = F.greatest(F.least(F.col("prob"), F.lit(1 - 1e-6)), F.lit(1e-6))
-        loss = positive(m.transform(assembled(te, features))).agg(F.avg(-F.log(F.when(F.col(label) == 1, p).otherwise(1 - p)))).first()[0]
+        loss = scored(m, te, features).agg(F.avg(-F.log(F.when(F.col(label) == 1, p).otherwise(1 - p)))).first()[0]
         rows.append((name, float(loss), time.monotonic() - t0))
     board = train.sparkSession.createDataFrame(rows, "family string, log_loss double, seconds double")
     return board.withColumn("place", F.row_number().over(Window.orderBy("log_loss", "family")))  # one row per family
@@ -309,8 +326,6 @@ def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, k:
 
 def sequential_selection(df: DataFrame, key: str, features: Sequence[str], label: str, k: int, make: Callable, forward: bool = True, folds: int = 3) -> list[str]:
     """Greedy selection by cross-validated accuracy; the candidate fits of a step run side by side."""
-    from concurrent.futures import ThreadPoolExecutor
-
     d = settle(stratified_folds(df.select(key, label, *features), key, label, folds), "selection")
 
     def value(fs: list[str]) -> float:
@@ -318,7 +333,7 @@ def sequential_selection(df: DataFrame, key: str, features: Sequence[str], label
         total = None
         for i in range(folds):
             m = make().setLabelCol(label).setFeaturesCol("features").fit(x.where(F.col("fold") != i))
-            hit = m.transform(x.where(F.col("fold") == i)).select((F.col("prediction") == F.col(label)).cast("double").alias("h"))
+            hit = scored(m, d.where(F.col("fold") == i), fs, None).select((F.col("prediction") == F.col(label)).cast("double").alias("h"))
             total = hit if total is None else total.unionByName(hit)
         return total.agg(F.avg("h")).first()[0]
 
@@ -340,7 +355,7 @@ def filter_curve(df: DataFrame, key: str, features: Sequence[str], label: str, m
         order = [r["feature"] for r in anova_f(train, label, features).orderBy(F.desc("f"), "feature").collect()]
         for k in range(1, len(order) + 1):
             m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, order[:k]))
-            hit = m.transform(assembled(d.where(F.col("fold") == i), order[:k])).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+            hit = scored(m, d.where(F.col("fold") == i), order[:k], None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
             rows.append((k, i, float(hit)))
     return df.sparkSession.createDataFrame(rows, "k int, fold int, accuracy double").groupBy("k").agg(F.avg("accuracy").alias("mean_score"))
 
@@ -356,7 +371,7 @@ def selection_leak(df: DataFrame, key: str, label: str, noise: int, k: int, make
         train, test = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
         for how, chosen in (("selected on all rows", outside), ("selected inside the fold", best(train))):
             m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, chosen))
-            hit = m.transform(assembled(test, chosen)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+            hit = scored(m, test, chosen, None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
             rows.append((how, i, float(hit)))
     return df.sparkSession.createDataFrame(rows, "selection string, fold int, accuracy double")
 

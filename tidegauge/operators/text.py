@@ -1,7 +1,7 @@
 """Text operators: chunks, n-grams, byte-pair merges, field extraction."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordering import running_sums
@@ -30,14 +30,8 @@ def with_running_ids(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.join(start, key).withColumn("chunk_id", F.col("_start") + F.col("ordinal")).drop("_start")
 
 
-# fixed text: the answer prompt
-PROMPT = """Answer the question using ONLY the context below. Cite the chunk id(s) and page number(s) you used. If the context does not contain the answer, say so -- do not guess.
-
-Context:
-{context}
-
-Question: {question}
-"""
+#: A template of our own for ``prompt``; pass another where it does not suit.
+PROMPT = "Read the passages. Reply from them alone and name the chunks you used; if they don't hold the answer, say that.\n\nPassages:\n{context}\n\nQuestion: {question}\n"
 
 
 def assemble_context(hits: DataFrame, query: str, rank: str, chunk: str, page: str, score: str, text: str) -> DataFrame:
@@ -47,8 +41,8 @@ def assemble_context(hits: DataFrame, query: str, rank: str, chunk: str, page: s
     return g.select(query, F.array_join(F.col("_b.b"), "\n\n").alias("context"))
 
 
-def prompt(context: Column, question: Column) -> Column:
-    head, rest = PROMPT.split("{context}")
+def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
+    head, rest = template.split("{context}")
     mid, tail = rest.split("{question}")
     return F.concat(F.lit(head), context, F.lit(mid), question, F.lit(tail))
 
@@ -124,10 +118,11 @@ ITEM_HEADER = "Description Qty Unit Price Amount"
 def document_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Trimmed non-empty lines with their number and the in-table flag (between odd and even separators)."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & (s != ITEM_HEADER))
-    l = df.select(key, F.posexplode(lines).alias("line_no", "line"))  # noqa: E741
-    sep = F.col("line").rlike(SEPARATOR)
-    w = Window.partitionBy(key).orderBy("line_no")  # one document's lines
-    return l.withColumn("_sep", sep).withColumn("in_items", F.sum(F.col("_sep").cast("int")).over(w) % 2 == 1).where("not _sep").drop("_sep")
+    rows = df.select(key, F.explode(F.array(lines)).alias("_l"))  # a generator keeps the array from being pasted into each use
+    marks = F.array_compact(F.transform("_l", lambda s, i: F.when(s.rlike(SEPARATOR), i)))
+    rows = rows.select(key, marks.alias("_marks"), F.posexplode("_l").alias("line_no", "line"))
+    before = F.size(F.filter("_marks", lambda i: i < F.col("line_no")))
+    return rows.where(~F.col("line").rlike(SEPARATOR)).select(key, "line_no", "line", (before % 2 == 1).alias("in_items"))
 
 
 def extract_fields(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.operators.ordering import as_col, attach, let
 
@@ -57,14 +58,21 @@ def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, met
     batch meets each block once, as a matrix product that keeps only its own k best per query. What is
     shuffled is k rows per query and batch, never a row per pair.
     """
+    for side in (queries, corpus):
+        if not isinstance(side.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            raise TypeError(f"top_k needs an integer key, not {side.schema[key].dataType.simpleString()}")
     group = F.col(by) if by else F.lit("all")
     q = queries.select(group.cast("string").alias("g"), F.col(key).cast("long").alias("qid"), F.col(vec).alias("qv"))
-    blocks = q.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)), F.lit(1)).cast("int").alias("n"))
-    # about QUERY_BLOCK queries meet in one row, also when one group owns them all
-    qb = attach(q, blocks).withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("_s.n")).cast("int")).groupBy("g", "blk").agg(
+    # about QUERY_BLOCK queries of a group meet in one row, also when one group owns them all
+    blocks = q.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("n"))
+    qb = q.join(blocks, "g").withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("n")).cast("int")).groupBy("g", "blk").agg(
         F.collect_list(F.struct("qid", "qv")).alias("qs"))
     qb = qb.select("g", "blk", F.col("qs.qid").alias("qids"), F.transform(F.flatten("qs.qv"), lambda x: x.cast("double")).alias("qmat"))
-    cb = attach(_pack(corpus, key, vec, group), blocks).select("g", "ids", "mat", F.explode(F.sequence(F.lit(0), F.col("_s.n") - 1)).alias("blk"))
+    # a block goes to the corpus batches, which are spread over all tasks by a salt
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qb = qb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cb = _pack(corpus, key, vec, group).join(blocks, "g").select(
+        "g", "ids", "mat", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("blk"))
 
     def scaled(m):
         length = np.linalg.norm(m, axis=1)
@@ -94,7 +102,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, met
                     out = out.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
                     yield out.groupby("query_id", sort=False).head(k)
 
-    hits = cb.join(qb, ["g", "blk"]).select("ids", "mat", "qids", "qmat").mapInPandas(best, "query_id long, key long, score double")
+    hits = cb.join(qb, ["g", "blk", "salt"]).select("ids", "mat", "qids", "qmat").mapInPandas(best, "query_id long, key long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 

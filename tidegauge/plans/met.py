@@ -176,14 +176,14 @@ def met_18(spark, sf):
 
 
 @query("met_19", f"""with e as (select event_id, value y, json_extract(props,'$.k')::DOUBLE k, user_id::DOUBLE u, row_number() over (order by event_id) rk from events),
- h as (select event_id, k sk, u su, rep, row_number() over (partition by rep order by ('0x'||substr(md5(concat_ws('|',event_id::VARCHAR,rep::VARCHAR,'42')),1,8))::BIGINT, event_id) rk from e, range(3) r(rep)),
+ h as (select event_id, k sk, u su, rep, row_number() over (partition by rep order by ('0x'||substr(md5(concat_ws('|',event_id::VARCHAR,rep::VARCHAR,'42')),1,8))::BIGINT, event_id) rk from e, range(10) r(rep)),
  b as (select sqrt(avg(pow(y-(20+0.5::DOUBLE*k+0.1::DOUBLE*u),2))) r from e), j as (select e.*, sk, su, rep from e join h using (rk))
  select 'k' feature, rep::INT as repeat, round(sqrt(avg(pow(y-(20+0.5::DOUBLE*sk+0.1::DOUBLE*u),2)))-any_value(r),6) loss from j, b group by 2
  union all select 'u', rep::INT, round(sqrt(avg(pow(y-(20+0.5::DOUBLE*k+0.1::DOUBLE*su),2)))-any_value(r),6) from j, b group by 2""")
 def met_19(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("value").alias("y"), F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("user_id").cast("double").alias("u"))
     score = lambda c: F.lit(20.0) + 0.5 * c["k"] + 0.1 * c["u"]
-    return M.permutation_importance(e, "event_id", ["k", "u"], "y", score, 3).withColumn("loss", rnd("loss"))
+    return M.permutation_importance(e, "event_id", ["k", "u"], "y", score, 10).withColumn("loss", rnd("loss"))
 
 
 TOL = [0.005, 0.01, 0.02, 0.03]  # fixed values: tolerances of the sensitivity table

@@ -88,12 +88,12 @@ def ml_6(spark, sf):
 @query("ml_7")
 def ml_7(spark, sf):
     """One model per tag over one assembled, settled table."""
-    d = settle(M.assembled(docs(spark, sf), DOC_FEATS).select("doc_id", "quality", "toxic", "features"), "tags")
-    out = d.select("doc_id", "quality", "toxic", "features")
+    d = settle(M.assembled(docs(spark, sf), DOC_FEATS).select("doc_id", "quality", "toxic", *DOC_FEATS, "features"), "tags")
+    out = d.drop("features")
     for tag in ("quality", "toxic"):
         m = M.LogisticRegression(labelCol=tag, maxIter=20).fit(d)
-        out = m.transform(out).withColumn(f"pred_{tag}", F.col("prediction").cast("int")).drop("prediction", "probability", "rawPrediction")
-    return out.drop("features")
+        out = M.scored(m, out, DOC_FEATS, None).withColumn(f"pred_{tag}", F.col("prediction").cast("int")).drop("prediction")
+    return out.select("doc_id", "quality", "toxic", "pred_quality", "pred_toxic")
 
 
 @query("ml_8", "select doc_id, toxic, round(count(*) over () / (2 * count(*) over (partition by toxic)),6) weight, 1 fitted from labels")
@@ -153,7 +153,7 @@ def ml_13(spark, sf):
 def ml_14(spark, sf):
     cal, test = slices(spark, sf)
     under = S.undersample(cal, "doc_id", "toxic")
-    out = M.cross_calibrated(under, test, "doc_id", ["log_n", "is_en"], "toxic", 3)
+    out = M.cross_calibrated(under, test, "doc_id", ["log_n", "is_en"], "toxic")
     return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("calibrated")).alias("mean_calibrated"), rnd(F.avg("toxic")).alias("true_rate"))
 
 
@@ -168,34 +168,52 @@ def ml_15(spark, sf):
 def ml_16(spark, sf):
     """Balanced bagging of trees and the boosted variant (re-aimed: boosted trees per bag)."""
     cal, test = slices(spark, sf)
-    a = M.bagged_probability(cal, test, "doc_id", DOC_FEATS, "toxic", 3, lambda: M.DecisionTreeClassifier(maxDepth=3, seed=42)).withColumnRenamed("prob", "bagging")
-    b = M.bagged_probability(cal, a, "doc_id", DOC_FEATS, "toxic", 3, lambda: M.GBTClassifier(maxIter=3, maxDepth=2, seed=42))
+    a = M.bagged_probability(cal, test, "doc_id", DOC_FEATS, "toxic", 25, lambda: M.DecisionTreeClassifier(maxDepth=3, seed=42)).withColumnRenamed("prob", "bagging")
+    b = M.bagged_probability(cal, a, "doc_id", DOC_FEATS, "toxic", 10, lambda: M.GBTClassifier(maxIter=3, maxDepth=2, seed=42))
     return b.select("doc_id", "toxic", rnd("bagging").alias("bagging"), rnd("prob").alias("boosted"))
 
 
-@query("ml_17", f"with f as (select quality, ((row_number() over (partition by quality order by ('0x'||substr(md5(concat_ws('|',doc_id::VARCHAR,'42')),1,8))::BIGINT, doc_id)-1)%5)::INT fold from labels) select fold, count(*) n, true as in_bounds from f group by 1")
+@query("ml_17")
 def ml_17(spark, sf):
+    """Accuracy of each stratified fold, with the mean and the standard deviation over the folds."""
     cv = M.cross_validated(docs(spark, sf), "doc_id", DOC_FEATS, "quality", lambda: M.LogisticRegression(maxIter=10))
-    return cv.select("fold", "n", F.col("accuracy").between(0, 1).alias("in_bounds"))
+    total = cv.agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("sd"))
+    return attach(cv, total).select("fold", "n", rnd("accuracy").alias("accuracy"), rnd("_s.mean").alias("mean"), rnd("_s.sd").alias("sd"))
+
+
+@query("ml_17_folds", f"with f as (select quality, ((row_number() over (partition by quality order by ('0x'||substr(md5(concat_ws('|',doc_id::VARCHAR,'42')),1,8))::BIGINT, doc_id)-1)%5)::INT fold from labels) select fold, count(*) n, sum(quality)::BIGINT good from f group by 1")
+def ml_17_folds(spark, sf):
+    """The folds themselves: rows and positives of each."""
+    return S.stratified_folds(docs(spark, sf), "doc_id", "quality").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
 
 
 @query("ml_18")
 def ml_18(spark, sf):
     d = lines(spark, sf)
-    return M.random_search(d, NUM, "l_extendedprice", F.col("u"), {"maxDepth": [2, 3, 4], "numTrees": [3, 5]}, 2, lambda **kw: M.RandomForestRegressor(seed=42, **kw), 3).withColumn("rmse", rnd("rmse", 2))
+    return M.random_search(d, NUM, "l_extendedprice", F.col("u"), {"maxDepth": [2, 3, 4], "numTrees": [3, 5]}, 6, lambda **kw: M.RandomForestRegressor(seed=42, **kw), 3).withColumn("rmse", rnd("rmse", 2))
 
 
 @query("ml_19")
 def ml_19(spark, sf):
     cal, test = slices(spark, sf)
     fam = {"logistic": lambda: M.LogisticRegression(maxIter=10), "tree": lambda: M.DecisionTreeClassifier(maxDepth=3, seed=42), "forest": lambda: M.RandomForestClassifier(numTrees=5, maxDepth=3, seed=42)}
-    return M.family_search(cal, test, DOC_FEATS, "quality", fam, 120.0).select("place", "family", rnd("log_loss").alias("log_loss"))
+    return M.family_search(cal, test, DOC_FEATS, "quality", fam).select("place", "family", rnd("log_loss").alias("log_loss"))
+
+
+LAG_SETS = {"1": [1], "1,2,3": [1, 2, 3], "1,12": [1, 12], "1,2,12": [1, 2, 12]}
 
 
 @query("ml_20")
 def ml_20(spark, sf):
-    b = M.lag_backtest(settle(monthly(table(spark, sf, "orders")), "monthly"), "series", "m", "y", [1, 2, 12])
-    return b.select("series", "fold", rnd("rmse", 2).alias("rmse"))
+    """Backtest error of each lag set per series, and the set that wins (ties: first by name)."""
+    m = settle(monthly(table(spark, sf, "orders")), "monthly")
+    out = None
+    for name, lags in LAG_SETS.items():
+        b = M.lag_backtest(m, "series", "m", "y", lags).withColumn("lags", F.lit(name))
+        out = b if out is None else out.unionByName(b)
+    mean = settle(out.groupBy("series", "lags").agg(F.avg("rmse").alias("mean_rmse"), F.count(F.lit(1)).alias("folds")), "lag-sets")
+    best = mean.groupBy("series").agg(F.min(F.struct("mean_rmse", "lags")).alias("b"))
+    return mean.join(best, "series").select("series", "lags", "folds", rnd("mean_rmse", 2).alias("mean_rmse"), (F.col("lags") == F.col("b.lags")).alias("picked"))
 
 
 @query("ml_21")
@@ -219,9 +237,9 @@ def ml_22(spark, sf):
 def ml_23(spark, sf):
     """Train and validation RMSE by polynomial degree; the degrees are a short driver loop."""
     x = F.col("l_quantity") / 50
-    d = settle(lines(spark, sf).select("u", "l_extendedprice", *[F.pow(x, F.lit(i)).alias(f"x{i}") for i in range(1, 9)]), "powers")
+    d = settle(lines(spark, sf).select("u", "l_extendedprice", *[F.pow(x, F.lit(i)).alias(f"x{i}") for i in range(1, 16)]), "powers")
     out = None
-    for deg in (1, 2, 3, 5, 8):
+    for deg in range(1, 16):
         feats = [f"x{i}" for i in range(1, deg + 1)]
         m = M.linear(d.where("u >= 0.3"), feats, "l_extendedprice")
         e = d.withColumn("p", M.linear_expression(m, feats)).groupBy((F.col("u") < 0.3).alias("validation")).agg(rnd(F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("p"), 2))), 3).alias("rmse")).withColumn("degree", F.lit(deg))
@@ -362,7 +380,7 @@ def txt_8(spark, sf):
     from tidegauge.operators.ordering import row_numbers
     cal, _ = slices(spark, sf)
     m = M.LogisticRegression(labelCol="quality", maxIter=20).fit(M.assembled(cal, DOC_FEATS))
-    p = M.positive(m.transform(M.assembled(docs(spark, sf), DOC_FEATS)))
+    p = M.scored(m, docs(spark, sf), DOC_FEATS)
     p = p.select("doc_id", "quality", F.col("prediction").cast("int").alias("pred"), F.greatest("prob", 1 - F.col("prob")).alias("confidence"))
     r = row_numbers(settle(p, "classified"), ["doc_id"], "pos")
     return r.select("doc_id", "quality", "pred", rnd("confidence").alias("confidence"), (F.col("quality") == F.col("pred")).alias("correct"), F.floor((F.col("pos") - 1) / 128).alias("chunk"))

@@ -90,9 +90,9 @@ def split_10(spark, sf):
     return j.select("vec_id", "copy", "label", "neighbour", rnd("gap").alias("gap"), on_line.alias("between_parents"))
 
 
-@query("split_11", f"""with b as (select bag, doc_id, toxic, row_number() over (partition by bag, toxic order by {h_sql('doc_id', 'bag')}, doc_id) rk from labels, range(5) t(bag)) select bag::INT bag, doc_id, toxic from b, {SIZES} where rk <= lo""")
+@query("split_11", f"""with b as (select bag, doc_id, toxic, row_number() over (partition by bag, toxic order by {h_sql('doc_id', 'bag')}, doc_id) rk from labels, range(25) t(bag)) select bag::INT bag, doc_id, toxic from b, {SIZES} where rk <= lo""")
 def split_11(spark, sf):
-    return P.balanced_bags(table(spark, sf, "labels"), "doc_id", "toxic", 5).select("bag", "doc_id", "toxic")
+    return P.balanced_bags(table(spark, sf, "labels"), "doc_id", "toxic", 25).select("bag", "doc_id", "toxic")
 
 
 @query("split_12", f"""with e as (select *, {u_sql('doc_id', 'copy', seed=7)} < 0.25 t from {OVER}) select 'resample then split' as "order", count(*) leaked from e where t and doc_id in (select doc_id from e where not t)

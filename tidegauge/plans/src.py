@@ -77,13 +77,13 @@ def src_7(spark, sf):
     return S.append_once(incoming, store, "o_orderkey", "seq", F.col("o_totalprice") > 2000).select("o_orderkey", "seq", "status")
 
 
-@query("src_8", """select o_orderkey, o_orderstatus, 0::DOUBLE page, string_agg(l_linenumber||':'||l_partkey||'x'||l_quantity::INT, ';' order by l_linenumber, l_partkey, l_quantity) items
+@query("src_8", """select o_orderkey, o_orderstatus, string_agg(l_linenumber||':'||l_partkey||'x'||l_quantity::INT, ';' order by l_linenumber, l_partkey, l_quantity) items
  from orders left join lineitem on l_orderkey=o_orderkey group by 1,2 having count(l_partkey)>0
- union all select o_orderkey, o_orderstatus, null, null from orders where o_orderkey not in (select l_orderkey from lineitem)""")
+ union all select o_orderkey, o_orderstatus, null from orders where o_orderkey not in (select l_orderkey from lineitem)""")
 def src_8(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     nested = S.nest_children(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), li, "o_orderkey",
                              ["l_linenumber", "l_partkey", "l_quantity"], ["l_linenumber", "l_partkey", "l_quantity"])
     text = F.array_join(F.transform("items", lambda i: F.concat(
         i["l_linenumber"].cast("string"), F.lit(":"), i["l_partkey"].cast("string"), F.lit("x"), i["l_quantity"].cast("int").cast("string"))), ";")
-    return nested.select("o_orderkey", "o_orderstatus", F.col("page").cast("double").alias("page"), text.alias("items"))
+    return nested.select("o_orderkey", "o_orderstatus", text.alias("items"))

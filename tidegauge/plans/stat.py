@@ -193,12 +193,14 @@ def stat_17(spark, sf):
     return a.select("series", "lag", rnd("acf").alias("acf"), rnd("band").alias("band"))
 
 
-@query("stat_18", f"""with r as (select series, max(n) n, max(acf) filter (lag=1)*max(n)/(max(n)-1) r1, max(acf) filter (lag=2)*max(n)/(max(n)-2) r2, max(acf) filter (lag=3)*max(n)/(max(n)-3) r3 from {ACF} group by 1)
- select series, 1 as lag, round(r1,6)+0.0 pacf from r union all select series, 2, round((r2-r1*r1)/(1-r1*r1),6)+0.0 from r
- union all select series, 3, round((r3 + r1*r1*r1 + r1*r2*r2 - 2*r1*r2 - r1*r1*r3)/(1+2*r1*r1*r2-r2*r2-2*r1*r1),6)+0.0 from r""")
+@query("stat_18", f"""with recursive r as (select series, list(acf*n/(n-lag) order by lag) r from {ACF} group by 1),
+ d(series, r, k, phi, a) as (select series, r, 1, [r[1]], r[1] from r union all select series, r, k+1,
+  list_concat([phi[i]-t*phi[k+1-i] for i in range(1, k+1)], [t]), t from
+  (select *, (r[k+1]-list_sum([phi[i]*r[k+1-i] for i in range(1, k+1)]))/(1-list_sum([phi[i]*r[i] for i in range(1, k+1)])) t from d where k < len(r)))
+ select series, k as lag, round(a,6)+0.0 pacf from d""")
 def stat_18(spark, sf):
     a = S.autocorrelation(monthly(table(spark, sf, "orders")), "series", "m", "y")
-    return S.partial_autocorrelation(a, "series").where("lag <= 3").select("series", "lag", rnd("pacf").alias("pacf"))
+    return S.partial_autocorrelation(a, "series").select("series", "lag", rnd("pacf").alias("pacf"))
 
 
 @query("stat_19", f"""with a as (select series, m, y-lag(y) over w dy, lag(y) over w y1 from {MONTHLY} window w as (partition by series order by m)),
@@ -219,20 +221,20 @@ def stat_20(spark, sf):
     return d.select("size", "samples", rnd("mean").alias("mean"), rnd("sd").alias("sd"), rnd("expected_se").alias("expected_se"))
 
 
-@query("stat_21", f"""with w as (select rep, value, {poisson_sql(u_sql('event_id', 'rep'))} w from events, range(1,41) r(rep)), m as (select rep, sum(w*value)/sum(w) mean from w group by 1)
+@query("stat_21", f"""with w as (select rep, value, {poisson_sql(u_sql('event_id', 'rep'))} w from events, range(1,401) r(rep)), m as (select rep, sum(w*value)/sum(w) mean from w group by 1)
  select round(avg(mean),6) mean, round(stddev_samp(mean),6) sd, round(quantile_cont(mean,0.025),6) low, round(quantile_cont(mean,0.975),6) high from m""")
 def stat_21(spark, sf):
-    m = S.bootstrap_interval(S.bootstrap_means(table(spark, sf, "events"), "event_id", "value", 40))
+    m = S.bootstrap_interval(S.bootstrap_means(table(spark, sf, "events"), "event_id", "value", 400))
     return m.select(*[rnd(c).alias(c) for c in ("mean", "sd", "low", "high")])
 
 
 @query("stat_22", f"""with s as (select avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_discount) md, stddev_pop(l_discount) sd from lineitem),
- z as (select rep, (l_quantity-mq)/sq a, (l_discount-md)/sd b, l_extendedprice y, {poisson_sql(u_sql(*LI_KEYS, 'rep'))}::DOUBLE w from lineitem, s, range(1,11) r(rep)),
+ z as (select rep, (l_quantity-mq)/sq a, (l_discount-md)/sd b, l_extendedprice y, {poisson_sql(u_sql(*LI_KEYS, 'rep'))}::DOUBLE w from lineitem, s, range(1,301) r(rep)),
  m as (select rep, sum(w) w, sum(w*a)/sum(w) ma, sum(w*b)/sum(w) mb, sum(w*y)/sum(w) my, sum(w*a*a) aa, sum(w*b*b) bb, sum(w*a*b) ab, sum(w*a*y) ay, sum(w*b*y) by_ from z group by 1),
  c as (select rep, aa-w*ma*ma aa, bb-w*mb*mb bb, ab-w*ma*mb ab, ay-w*ma*my ay, by_-w*mb*my by_ from m)
  select rep::INT rep, 'l_quantity' feature, round((ay*bb-by_*ab)/(aa*bb-ab*ab),4) coef from c union all select rep, 'l_discount', round((by_*aa-ay*ab)/(aa*bb-ab*ab),4) from c""")
 def stat_22(spark, sf):
-    out = S.bootstrap_coefficients(table(spark, sf, "lineitem"), LI_KEYS, ["l_quantity", "l_discount"], "l_extendedprice", 10)
+    out = S.bootstrap_coefficients(table(spark, sf, "lineitem"), LI_KEYS, ["l_quantity", "l_discount"], "l_extendedprice", 300)
     return out.withColumn("coef", rnd("coef", 4))
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tidegauge.operators import aggregates as A
 from tidegauge.operators import search as IVF
 from tidegauge.operators import text as T
-from tidegauge.operators.ordering import row_numbers
 from tidegauge.operators.vectors import top_k_cosine, unit
 from tidegauge.plans.aggs import DEBATES, OUTCOME, TALLY, debates
 from tidegauge.plans.common import cents
@@ -46,12 +45,16 @@ def hits3(spark, sf):
     return h.join(e.select("vec_id", "label"), "vec_id").join(d, "vec_id")
 
 
+_PROMPT = "'" + T.PROMPT.replace("'", "''").replace("{context}", "'||context||'").replace("{question}", "'||'Which passages resemble document '||query_id||'?'||'") + "'"
+
+
 @query("txt_4", f"""with h as (select query_id, rank, vec_id, cl, raw, text from {NEAR} join documents on doc_id=vec_id where rank <= 3),
  c as (select query_id, string_agg('[chunk '||vec_id||', page '||cl||', similarity '||printf('%.4f',raw)||']'||chr(10)||text, chr(10)||chr(10) order by rank) context from h group by 1)
- select query_id, md5(context) digest, length(context) chars from c""")
+ select query_id, md5(context) digest, length(context) chars, md5({_PROMPT}) prompt_digest from c""")
 def txt_4(spark, sf):
     c = T.assemble_context(hits3(spark, sf), "query_id", "rank", "vec_id", "label", "score", "text")
-    return c.select("query_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("chars"))
+    asked = T.prompt(F.col("context"), F.concat(F.lit("Which passages resemble document "), F.col("query_id").cast("string"), F.lit("?")))
+    return c.select("query_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("chars"), F.md5(asked).alias("prompt_digest"))
 
 
 @query("txt_5")
@@ -69,23 +72,19 @@ def txt_6(spark, sf):
 
 
 def invoices(spark, sf):
-    """Invoice texts laid out from orders and their lines (orders without lines lack the table; some lack the tax line).
-
-    An order with very many lines becomes several invoices of 1,000 lines.
-    """
+    """One invoice text per order, laid out from the order and its lines (orders without lines lack the table; some lack the tax line)."""
     money = lambda c: F.format_number((c / 100).cast("decimal(18,2)"), 2)
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity", cents("l_extendedprice").alias("c"))
     line = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" "),
                     money(F.floor(F.col("c") / F.col("l_quantity"))), F.lit(" "), money(F.col("c")))
-    pos = row_numbers(li, ["l_linenumber", "l_partkey", "l_quantity", "c"], "pos", ["o_orderkey"]).withColumn("page", F.floor((F.col("pos") - 1) / 1000))
-    rows = pos.groupBy("o_orderkey", "page").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("s")))).alias("rows"), F.sum("c").alias("sub"))
+    rows = li.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "c", line.alias("s")))).alias("rows"), F.sum("c").alias("sub"))
     o = table(spark, sf, "orders").join(rows, "o_orderkey", "left").withColumn("sub", F.coalesce("sub", F.lit(0)))
     tax = F.floor(F.col("sub") / 10)
     parts = [F.lit("Acme Trading"), F.concat(F.lit(" Street "), F.col("o_custkey").cast("string")), F.concat(F.lit("Invoice Number: INV-"), F.col("o_orderkey").cast("string")),
              F.concat(F.lit("Invoice Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("Bill To: Customer "), F.col("o_custkey").cast("string")), F.lit(T.ITEM_HEADER),
              F.when(F.col("rows").isNotNull(), F.concat(F.lit("-----\n"), F.array_join(F.col("rows.s"), "\n"), F.lit("\n-----"))), F.concat(F.lit("Subtotal: "), money(F.col("sub"))),
              F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("Tax (10%): "), money(tax))), F.concat(F.lit("Total Due: "), money(F.col("sub") + tax))]
-    return o.select(F.concat_ws("-", "o_orderkey", F.coalesce("page", F.lit(0))).alias("doc"), F.concat_ws("\n", *parts).alias("text"))
+    return o.select(F.col("o_orderkey").alias("doc"), F.concat_ws("\n", *parts).alias("text"))
 
 
 @query("txt_7", """with l as (select l_orderkey, count(*) n, sum(round(l_extendedprice*100)::BIGINT)::BIGINT sub, sum(l_quantity)::BIGINT q from lineitem group by 1)
@@ -95,7 +94,7 @@ def invoices(spark, sf):
 def txt_7(spark, sf):
     head, items = T.extract_fields(settle(invoices(spark, sf), "invoices"), "doc", "text")
     s = items.groupBy("doc").agg(F.sum("quantity").alias("quantity"), F.sum("amount").alias("items_sum"))
-    out = head.join(s, "doc", "left").withColumn("o_orderkey", F.split("doc", "-")[0].cast("long"))
+    out = head.join(s, "doc", "left").withColumn("o_orderkey", F.col("doc"))
     return out.select("o_orderkey", "invoice_number", "invoice_date", "bill_to", F.col("subtotal").cast("double").alias("subtotal"), F.col("total").cast("double").alias("total"), "n_items",
                       F.coalesce("quantity", F.lit(0)).alias("quantity"), F.coalesce(F.col("items_sum").cast("double"), F.lit(0.0)).alias("items_sum"), F.array_join("errors", ",").alias("errors"))
 

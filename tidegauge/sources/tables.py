@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.operators.ordering import row_numbers
 from tidegauge.session import scratch
 
 
@@ -110,16 +109,11 @@ def append_once(incoming: DataFrame, store_path: str, key: str, seq: str, valid:
     return status
 
 
-def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str],
-                  page_rows: int = 1000) -> DataFrame:
-    """Parents with their children nested in order.
+def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Parents with all their children nested in order (``order``, then the fields); null without children.
 
-    A parent with more than ``page_rows`` children gets several numbered pages, so no row and no task
-    grows with the largest parent.
+    One parent is one row, so its children meet in one task: where a parent may have more of them than fit a row, read the
+    children as rows instead.
     """
-    pos = row_numbers(children.select(key, *dict.fromkeys([*order, *fields])), order, "_pos", [key])
-    paged = pos.withColumn("page", F.floor((F.col("_pos") - 1) / page_rows).cast("int"))
-    nested = paged.groupBy(key, "page").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias("items")
-    )
-    return parents.join(nested, key, "left")
+    item = F.struct(F.struct(*order, *fields).alias("_pos"), *fields)
+    return parents.join(children.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")), key, "left")
