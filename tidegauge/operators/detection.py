@@ -43,8 +43,8 @@ def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thres
     open_ = settle(pairs.withColumn("thr", thr).select(*keys, "thr", "a_id", "a_score", "b_id", "iou"), "candidates")
     claims = None
     while not open_.isEmpty():
-        best = open_.groupBy("thr", "a_id").agg(F.max_by("b_id", F.struct("iou", -F.col("b_id"))).alias("b_id"))
-        first = open_.groupBy("thr", "b_id").agg(F.max_by("a_id", F.struct("a_score", -F.col("a_id"))).alias("a_id"))
+        best = open_.groupBy("thr", "a_id").agg(F.min_by("b_id", F.struct(-F.col("iou"), "b_id")).alias("b_id"))
+        first = open_.groupBy("thr", "b_id").agg(F.min_by("a_id", F.struct(-F.col("a_score"), "a_id")).alias("a_id"))
         won = settle(best.join(first, ["thr", "a_id", "b_id"]), "claims")
         claims = won if claims is None else claims.unionByName(won)
         open_ = settle(open_.join(won.select("thr", "a_id"), ["thr", "a_id"], "left_anti").join(won.select("thr", "b_id"), ["thr", "b_id"], "left_anti"), "candidates")

@@ -5,6 +5,7 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, RandomForestClassifier)
@@ -12,7 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,15 +113,36 @@ def majority_baseline(train: DataFrame, label: str) -> DataFrame:
     return attach(train.agg(F.avg(label).alias("mean")), top).select("_s.majority", "mean")
 
 
-def isotonic(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated") -> DataFrame:
-    """Monotone map from score to rate fitted on the calibration slice; scores outside are clipped to its ends.
+ISOTONIC_BINS = 1024
 
-    The fit runs on the mean label per distinct score with its count as the weight: the same solution,
-    and a hot score is one row.
+
+def isotonic(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated", bins: int = ISOTONIC_BINS) -> DataFrame:
+    """Monotone map from a score in [0, 1] to a rate: least squares over the calibration slice, as a step function of score bins.
+
+    Scores are counted in ``bins`` bins of equal width, so what is pooled is one short row whatever the data's size. A score takes the value
+    of its bin, or of the nearest filled bin below it (the lowest one, if there is none). Pooling keeps the mean.
     """
-    agg = calibrate.groupBy(F.col(score).alias("_x")).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    m = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w").fit(VectorAssembler(inputCols=["_x"], outputCol="_f").transform(agg))
-    return m.transform(VectorAssembler(inputCols=[score], outputCol="_f").transform(test)).withColumn(name, F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).drop("_f", "prediction")
+    where = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * bins).cast("int")
+    counted = calibrate.groupBy(where(score).alias("b")).agg(F.sum(F.col(label).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+    row = counted.where("b is not null").agg(F.array_sort(F.collect_list(F.struct("b", "s", "w"))).alias("bins"))
+
+    def pool(all_bins: pd.Series) -> pd.Series:
+        out = []
+        for entries in all_bins:
+            blocks: list[list] = []  # [first bin, sum, weight], values rising
+            for e in entries:
+                blocks.append([e["b"], e["s"], e["w"]])
+                while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+                    _, s, w = blocks.pop()
+                    blocks[-1][1] += s
+                    blocks[-1][2] += w
+            out.append([(b, s / w) for b, s, w in blocks])
+        return pd.Series(out)
+
+    steps = row.select(F.pandas_udf(pool, "array<struct<b: int, v: double>>")("bins").alias("steps"))
+    below = F.filter("_iso.steps", lambda x: x["b"] <= where(score))
+    value = F.coalesce(F.try_element_at(below, F.lit(-1)), F.get("_iso.steps", F.lit(0)))["v"]
+    return attach(test, steps, "_iso").withColumn(name, F.when(F.col(score).isNotNull(), value)).drop("_iso")
 
 
 def platt(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated") -> DataFrame:

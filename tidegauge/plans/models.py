@@ -137,7 +137,13 @@ def slices(spark, sf):
     return d.where("u < 0.5"), d.where("u >= 0.5")
 
 
-@query("ml_12")
+_CAL = f"(select *, {u_sql('doc_id')} u from {LABELLED})"
+
+
+@query("ml_12", f"""with g as (select floor(p*1024)::INT b, sum(quality)::DOUBLE s, count(*)::DOUBLE w from {_CAL} where u < 0.5 group by 1),
+ k as (select b, sum(s) over (order by b) s1, sum(w) over (order by b) w1, sum(s) over (order by b) - s s0, sum(w) over (order by b) - w w0 from g),
+ m as (select a.b a, i.b i, min((c.s1-a.s0)/(c.w1-a.w0)) v from k a join k i on a.b <= i.b join k c on c.b >= i.b group by 1, 2), v as (select i b, max(v) v from m group by 1)
+ select doc_id, p, round((select coalesce(max_by(v.v, v.b) filter (v.b <= floor(t.p*1024)), min_by(v.v, v.b)) from v), 6)+0.0 calibrated from {_CAL} t where u >= 0.5""")
 def ml_12(spark, sf):
     cal, test = slices(spark, sf)
     return M.isotonic(cal, test, "p", "quality").select("doc_id", "p", rnd("calibrated").alias("calibrated"))

@@ -38,21 +38,24 @@ def str_2(spark, sf):
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n", rnd("rate").alias("rate"))
 
 
-@query("str_3", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1")
+@query("str_3", """with l as (select user_id, event_id, value, ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1)
+ select user_id, event_id, value from l where ts >= (select max(ts) from events) - interval 3 hours""")
 def str_3(spark, sf):
-    s = S.latest_values(events_stream(spark, sf), "user_id", ["ts", "event_id"], ["event_id", "value"])
-    return S.newest(S.drain_to_table(s, "update", "fast-features"), ["user_id"], ["event_id", "value"])
+    """The newest event of each user, served for three hours."""
+    s = S.latest_values(events_stream(spark, sf), "ts", "user_id", ["ts", "event_id"], ["event_id", "value"], "3 hours", "40 days")
+    return S.unexpired(S.drain_to_table(s, "update", "fast-features"), "ts", "user_id", ["ts", "event_id"], ["event_id", "value"], "3 hours")
 
 
 @query("str_4", "select event_id, user_id, value from events where value > 0.05")
 def str_4(spark, sf):
-    """The same events arrive twice, in two files; the store ends with each valid one once."""
+    """The same events arrive twice, one delivery after the other; the store ends with each valid one once."""
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     src, store = scratch(spark, "replayed"), scratch(spark, "event-store")
-    e.coalesce(1).write.parquet(src)
-    e.coalesce(1).write.mode("append").parquet(src)
+    e.write.parquet(src)
+    files = len(spark.read.parquet(src).inputFiles())
+    e.write.mode("append").parquet(src)
     e.where("false").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(store)
-    S.ingest_once(S.file_stream(spark, src, e, files_per_batch=1), "ts", "event_id", store, F.col("value") > 0.05, "ingest", "40 days")
+    S.ingest_once(S.file_stream(spark, src, e, files_per_batch=files), "ts", "event_id", store, F.col("value") > 0.05, "ingest", "40 days")
     return spark.read.parquet(store).select("event_id", "user_id", "value")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ordering import attach
 from tidegauge.operators.stats import bin_index
 from tidegauge.session import scratch
 from tidegauge.sources.tables import append_once
@@ -67,9 +68,22 @@ def windowed_metrics(stream: DataFrame, ts: str, key: str, aggs: dict[str, Colum
     return s.groupBy(w.alias("window"), key).agg(*[c.alias(n) for n, c in aggs.items()]).select(key, F.col("window.start").alias("start"), *aggs)
 
 
-def latest_values(stream: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Newest values per key, kept current (update mode)."""
-    return stream.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_l")).select(key, "_l.*")
+def latest_values(stream: DataFrame, ts: str, key: str, order: list[str], columns: list[str], ttl: str, delay: str = "1 day") -> DataFrame:
+    """Newest values per key and event-time span of ``ttl``, kept current (update mode), with the start of the span.
+
+    A span leaves the state once the watermark has passed it, so the state holds the keys of the last ``ttl`` + ``delay``, not every
+    key ever seen. Read the result with ``unexpired``.
+    """
+    s = with_event_time(stream, ts, delay)
+    newest_of = F.max_by(F.struct(ts, *columns), F.struct(*order)).alias("_l")
+    return s.groupBy(F.window(ts, ttl).alias("window"), key).agg(newest_of).select(key, F.col("window.start").alias("start"), "_l.*")
+
+
+def unexpired(updates: DataFrame, ts: str, key: str, order: list[str], columns: list[str], ttl: str) -> DataFrame:
+    """The value of each key as of the newest event read, if it is not older than ``ttl``."""
+    spans = newest(updates, [key, "start"], [ts, *columns])
+    last = spans.groupBy(key).agg(F.max_by(F.struct(ts, *columns), F.struct(*order)).alias("_l")).select(key, "_l.*")
+    return attach(last, last.agg(F.max(ts).alias("now"))).where(F.col(ts) >= F.col("_s.now") - F.expr(f"interval {ttl}")).select(key, *columns)
 
 
 def ingest_once(stream: DataFrame, ts: str, key: str, store: str, valid: Column, name: str, delay: str = "2 days") -> dict:
