@@ -346,7 +346,32 @@ def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, k:
     return keep
 
 
-def sequential_selection(df: DataFrame, key: str, features: Sequence[str], label: str, k: int, make: Callable, forward: bool = True, folds: int = 3) -> list[str]:
+def elimination_curve(df: DataFrame, key: str, features: Sequence[str], label: str, make: Callable, folds: int = 5) -> list[tuple[list[str], float]]:
+    """(features kept, cross-validated accuracy) from all features down to one, dropping the weakest each time."""
+    keep, out = list(features), []
+    d = settle(df.select(key, label, *features), "rfe")
+    while keep:
+        out.append((list(keep), cv_mean(d, key, keep, label, make, folds)))
+        if len(keep) == 1:
+            break
+        keep.remove(rank_once(d, keep, label))
+    return out
+
+
+def outer_selection(df: DataFrame, key: str, features: Sequence[str], label: str, k: int, make: Callable, forward: bool = True, inner: int = 5, outer: int = 3) -> list[tuple[int, list[str], float]]:
+    """(outer fold, features chosen on its training part, accuracy on its held part): the selection never sees the rows that score it."""
+    d = settle(stratified_folds(df.select(key, label, *features), key, label, outer, seed=43).withColumnRenamed("fold", "outer"), "outer")
+    out = []
+    for i in range(outer):
+        train, held = d.where(F.col("outer") != i), d.where(F.col("outer") == i)
+        chosen = sequential_selection(train, key, features, label, k, make, forward, inner)
+        m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, chosen))
+        hit = scored(m, held, chosen, None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        out.append((i, chosen, float(hit)))
+    return out
+
+
+def sequential_selection(df: DataFrame, key: str, features: Sequence[str], label: str, k: int, make: Callable, forward: bool = True, folds: int = 5) -> list[str]:
     """Greedy selection by cross-validated accuracy; the candidate fits of a step run side by side."""
     d = settle(stratified_folds(df.select(key, label, *features), key, label, folds), "selection")
 
@@ -368,7 +393,7 @@ def sequential_selection(df: DataFrame, key: str, features: Sequence[str], label
     return chosen
 
 
-def filter_curve(df: DataFrame, key: str, features: Sequence[str], label: str, make: Callable, folds: int = 3) -> DataFrame:
+def filter_curve(df: DataFrame, key: str, features: Sequence[str], label: str, make: Callable, folds: int = 5) -> DataFrame:
     """Accuracy for the k best features, k = 1..all; the F scores are computed inside each training fold."""
     d = settle(stratified_folds(df.select(key, label, *features), key, label, folds), "knee")
     rows = []
@@ -382,20 +407,26 @@ def filter_curve(df: DataFrame, key: str, features: Sequence[str], label: str, m
     return df.sparkSession.createDataFrame(rows, "k int, fold int, accuracy double").groupBy("k").agg(F.avg("accuracy").alias("mean_score"))
 
 
-def selection_leak(df: DataFrame, key: str, label: str, noise: int, k: int, make: Callable, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Accuracy on pure noise when features are chosen on all rows, and when inside each training fold."""
-    names = [f"noise_{i}" for i in range(noise)]
-    d = df.select(key, label, *[unit_hash(key, seed=seed + i).alias(n) for i, n in enumerate(names)])
-    d = settle(stratified_folds(d, key, label, folds), "noise")
+def selection_leak(df: DataFrame, key: str, label: str, make: Callable, noise: int = 500, k: int = 20, repeats: int = 20, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Accuracy on pure noise when features are chosen on all rows, and when inside each training fold; noise drawn anew each repeat."""
+    names, rows = [f"noise_{i}" for i in range(noise)], []
+    parts = settle(stratified_folds(df.select(key, label), key, label, folds), "noise-folds")
     best = lambda t: [r["feature"] for r in anova_f(t, label, names).orderBy(F.desc("f"), "feature").limit(k).collect()]
-    outside, rows = best(d), []
-    for i in range(folds):
-        train, test = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-        for how, chosen in (("selected on all rows", outside), ("selected inside the fold", best(train))):
-            m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, chosen))
-            hit = scored(m, test, chosen, None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-            rows.append((how, i, float(hit)))
-    return df.sparkSession.createDataFrame(rows, "selection string, fold int, accuracy double")
+    for r in range(repeats):
+        d = settle(parts.withColumns({n: unit_hash(key, seed=seed + r * noise + i) for i, n in enumerate(names)}), "noise")
+        outside = best(d)
+
+        def fold(i: int, d=d, outside=outside, r=r) -> list[tuple]:
+            train, test = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
+            got = []
+            for how, chosen in (("selected on all rows", outside), ("selected inside the fold", best(train))):
+                m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, chosen))
+                hit = scored(m, test, chosen, None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+                got.append((how, r, i, float(hit)))
+            return got
+
+        rows += [x for part in fit_all([lambda i=i: fold(i) for i in range(folds)]) for x in part]
+    return df.sparkSession.createDataFrame(rows, "selection string, repeat int, fold int, accuracy double")
 
 
 __all__ = ["ALS", "DecisionTreeClassifier", "GBTClassifier", "GBTRegressor", "OneVsRest", "PCA", "RandomForestClassifier", "RandomForestRegressor"]

@@ -346,26 +346,29 @@ def quick():
 
 @query("met_21")
 def met_21(spark, sf):
-    return M.filter_curve(docs(spark, sf), "doc_id", DOC_FEATS, "quality", quick, 2).withColumn("mean_score", rnd("mean_score"))
+    return M.filter_curve(docs(spark, sf), "doc_id", DOC_FEATS, "quality", quick).withColumn("mean_score", rnd("mean_score"))
 
 
 @query("met_22")
 def met_22(spark, sf):
-    kept = M.recursive_elimination(docs(spark, sf), [*DOC_FEATS, "u"], "quality", 2)
-    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "place int, feature string")
+    """The elimination curve: features kept at each size, their cross-validated accuracy, and the best size (ties to the smaller)."""
+    curve = M.elimination_curve(docs(spark, sf), "doc_id", [*DOC_FEATS, "u"], "quality", quick)
+    best = max(curve, key=lambda c: (c[1], -len(c[0])))[0]
+    return spark.createDataFrame([(len(f), ",".join(f), float(a), f == best) for f, a in curve], "k int, features string, mean_score double, is_best boolean").withColumn("mean_score", rnd("mean_score"))
 
 
 @query("met_23")
 def met_23(spark, sf):
-    d = docs(spark, sf)
-    f = M.sequential_selection(d, "doc_id", DOC_FEATS, "quality", 2, quick, True, 2)
-    b = M.sequential_selection(d, "doc_id", DOC_FEATS, "quality", 2, quick, False, 2)
-    return spark.createDataFrame([("forward", x) for x in f] + [("backward", x) for x in b], "direction string, feature string")
+    """Two features by forward and by backward selection, in an outer cross-validation."""
+    rows = [(how, i, ",".join(f), a) for how, forward in (("forward", True), ("backward", False))
+            for i, f, a in M.outer_selection(docs(spark, sf), "doc_id", DOC_FEATS, "quality", 2, quick, forward)]
+    return spark.createDataFrame(rows, "direction string, outer_fold int, features string, accuracy double").withColumn("accuracy", rnd("accuracy"))
 
 
 @query("met_24")
 def met_24(spark, sf):
-    return M.selection_leak(docs(spark, sf), "doc_id", "toxic", 20, 3, quick, 3).withColumn("accuracy", rnd("accuracy"))
+    """The leak test with 60 noise columns and 3 draws (the operator's defaults are 500 and 20)."""
+    return M.selection_leak(docs(spark, sf), "doc_id", "toxic", quick, 60, 5, 3, 3).withColumn("accuracy", rnd("accuracy"))
 
 
 @query("src_9", f"select count(*) n, count(distinct strftime(l_shipdate,'%Y-%m')) as months, round(sum(a+b*l_quantity)/1e6,3) total_m from lineitem, {LINE}")
