@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidegauge.session import local_session  # noqa: E402
+from tidegauge.session import local_session, sweep  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,6 +15,7 @@ def spark():
     s = local_session("8", 4, "8g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    sweep(s)
     s.stop()
 
 

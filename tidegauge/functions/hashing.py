@@ -20,7 +20,11 @@ def unit_hash(*keys: Column | str, seed: int | Column = 42) -> Column:
     return key_hash(*keys, seed=seed) / F.lit(SPAN)
 
 
-def poisson1(u: Column, top: int = 10) -> Column:
+#: A Poisson(1) count exceeds 13 with probability 6e-12, less than the step of a 32-bit draw: no draw is cut.
+POISSON_TOP = 13
+
+
+def poisson1(u: Column, top: int = POISSON_TOP) -> Column:
     """Poisson(1) count by inverting a uniform draw (bootstrap weights)."""
     out, cdf, p = F.lit(0), 0.0, 2.718281828459045 ** -1
     for k in range(top):

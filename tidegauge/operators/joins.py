@@ -97,11 +97,10 @@ def parity(offline: DataFrame, online: DataFrame, key: str, column: str, toleran
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join that spreads a hot key of the big side over ``salts`` tasks; the small side is repeated."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [key, "_salt"], how).drop("_salt")
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join with a side that has one row per key. A hot key of the big side is split by adaptive execution, and only that key:
+    the join keeps Spark's own exchanges, so nothing stands in the way."""
+    return big.join(small, key, how)
 
 
 def lookup_with_global_mean(df: DataFrame, train: DataFrame, key: str, target: str, name: str) -> DataFrame:
@@ -109,7 +108,7 @@ def lookup_with_global_mean(df: DataFrame, train: DataFrame, key: str, target: s
     sums = train.groupBy(key).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"))
     means = sums.select(key, (F.col("_sum") / F.col("_n")).alias("_mean"))
     overall = sums.agg((F.sum("_sum") / F.sum("_n")).alias("mean"))
-    out = attach(salted_join(df, means, key, "left"), overall, "_g")
+    out = attach(lookup_join(df, means, key, "left"), overall, "_g")
     return out.withColumn(name, F.coalesce("_mean", F.col("_g.mean"))).drop("_mean", "_g")
 
 
@@ -127,7 +126,7 @@ def order_totals(lines: DataFrame, products: DataFrame, line_product: str, produ
                  quantity: str, price_cents: Column) -> DataFrame:
     """Integer-cent total per order: quantity times product price."""
     p = products.select(F.col(product_key).alias(line_product), price_cents.alias("_cents"))
-    return salted_join(lines.select(order_key, line_product, quantity), p, line_product).groupBy(order_key).agg(
+    return lookup_join(lines.select(order_key, line_product, quantity), p, line_product).groupBy(order_key).agg(
         F.sum(F.col(quantity).cast("long") * F.col("_cents")).alias("total_cents"), F.count(F.lit(1)).alias("lines"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.hashing import key_hash
 from tidegauge.functions.scalar import lcs_length
 from tidegauge.operators.aggregates import histogram
-from tidegauge.operators.joins import salted_join
+from tidegauge.operators.joins import lookup_join
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums
 from tidegauge.operators.text import words
 from tidegauge.operators.vectors import top_k
@@ -307,13 +307,12 @@ def greedy_vector_match(candidates: DataFrame, references: DataFrame, key: str,
 def perplexity(df: DataFrame, key: str, text: str) -> DataFrame:
     """exp(mean negative log probability) under a corpus unigram model with add-one counts (re-aimed).
 
-    Tokens are counted per document before the counts meet, and the join on words is salted: one word
-    may make up a third of all tokens.
+    Tokens are counted per document before the counts meet: one word may make up a third of all tokens.
     """
     t = df.select(key, F.explode(words(text)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
     counts = t.groupBy("w").agg(F.sum("n").alias("c"))
     total = counts.agg((F.sum("c") + F.count(F.lit(1))).alias("d"))
-    logs = attach(salted_join(t, counts, "w"), total)
+    logs = attach(lookup_join(t, counts, "w"), total)
     lp = F.log((F.col("c") + 1) / F.col("_s.d"))
     return logs.groupBy(key).agg(F.sum("n").alias("tokens"), F.exp(-F.sum(F.col("n") * lp) / F.sum("n")).alias("perplexity"))
 

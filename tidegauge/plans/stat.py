@@ -1,6 +1,7 @@
 """Statistics queries."""
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import POISSON_TOP
 from tidegauge.operators import stats as S
 from tidegauge.plans.common import DAILY, LI_KEYS, MONTHLY, daily, monthly, u_sql
 from tidegauge.plans.registry import query, rnd, table
@@ -50,7 +51,7 @@ def stat_5(spark, sf):
 def poisson_sql(u: str) -> str:
     """SQL text of the Poisson(1) inversion."""
     terms, cdf, p = [], 0.0, 2.718281828459045 ** -1
-    for k in range(10):
+    for k in range(POISSON_TOP):
         cdf += p
         terms.append(f"({u} >= {cdf!r}::DOUBLE)::INT")
         p /= k + 1
