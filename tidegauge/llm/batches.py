@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 6 << 20
+LIMIT = 4 << 20
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
@@ -24,3 +24,4 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # workers are reused: what a batch needed is not kept
