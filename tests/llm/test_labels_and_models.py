@@ -147,3 +147,11 @@ def test_toxic_passages_are_found_in_long_texts(spark, prose):
     assert X.passages(docs.limit(0), model).count() == 0
     none = X.fit(docs, known.limit(0))
     assert X.passages(docs, none).where("score >= 0.5").count() == 0
+
+
+def test_a_rare_word_that_no_clean_text_holds_is_significant(spark, prose):
+    words = {i: "scum" if i % 100 == 0 else "insult" for i in range(0, 1000, 10)}  # scum: in 1 % of the texts
+    docs = spark.createDataFrame([(i, prose(30, i) + " " + words.get(i, "plain")) for i in range(1000)], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(i, int(i in words)) for i in range(1000)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in X.passages(docs, model).collect()}
+    assert [i for i in words if got[i] < 0.5] == [] and sum(got[i] >= 0.5 for i in got if i not in words) <= 5

@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated as extreme values.
 
 A token is a word (A-Z lower-cased) or its stem, the first ``STEM`` code points. Its weight is the log-odds ratio between toxic and other
-training documents (identical texts count once) under an informative Dirichlet prior (the corpus rates, worth ``PRIOR`` documents).
+training documents (identical texts count once) under an informative Dirichlet prior (the training rates, worth ``PRIOR`` documents). It is
+significant by the greater of the log-odds over their error and the root of the likelihood ratio; the error grows without bound where
+the clean count is 0 and the prior small, the likelihood ratio only falls with each clean document.
 A significant token scores its weight less ``SHIFT``, every other word ``DRIFT``, so random text drifts down. One pass over
 a text finds all maximal scoring segments. A segment's expected count by chance in n words is K n exp(-lambda S); lambda and K come
 from the segments of the non-toxic training documents (exponential tail), and a logistic curve over the best segment's expected count,
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +122,15 @@ def segments(model: Model, column) -> tuple[np.ndarray, list[list[tuple[int, int
     return w.counts, out
 
 
+def likelihood_root(a: Column, b: Column, toxic: float, other: float) -> Column:
+    """Root of the likelihood ratio that a token in a of ``toxic`` and b of ``other`` documents has two rates, not one."""
+    n = toxic + other
+    share = (a + b) / n
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    total = term(a, share * toxic) + term(b, share * other) + term(toxic - a, (1 - share) * toxic) + term(other - b, (1 - share) * other)
+    return F.sqrt(F.greatest(2 * total, F.lit(0.0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, least_z: float = LEAST_Z) -> Model:
     """Learn from at most ``rows`` labelled documents. Without any, or without a toxic one, every document scores low."""
     sample = settle(training_texts(docs, labels, label, rows).groupBy("text").agg(F.max("y").alias("y")), "train-once")
@@ -132,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20
     alpha = (F.col("a") + F.col("b") + 0.5) / all_docs * PRIOR
     x, y = F.col("a") + alpha, F.col("b") + alpha
     odds = F.log(x / (toxic + PRIOR - F.col("a"))) - F.log(y / (other + PRIOR - F.col("b")))
-    z = odds / F.sqrt(1 / x + 1 / y)
+    z = F.greatest(odds / F.sqrt(1 / x + 1 / y), likelihood_root(F.col("a"), F.col("b"), toxic, other))  # w > SHIFT: the toxic rate is the higher one
     # significant in a bounded sample: a few thousand tokens at most
     best = counted.select("token", odds.alias("w"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("w") > SHIFT)).toPandas()
     token = best["token"].to_numpy(np.int64).view(np.uint64)
