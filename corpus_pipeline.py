@@ -43,7 +43,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as sequences of at most 1024 tokens; one row per piece."""
-    return pack_documents(docs.select("doc_id", "text")).drop("copy")
+    return pack_documents(docs.select("doc_id", "text"), added=True).drop("copy")
 
 
 STAGES = [

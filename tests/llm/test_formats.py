@@ -83,6 +83,25 @@ def test_pieces_and_sequences(docs_of, prose):
     assert assert_packed(rows) <= -(-sum(r["length"] for r in rows) // 1024) + 1
 
 
+def test_query_and_pipeline_read_the_added_token(spark, tmp_path):
+    import __spark_entry__
+    import corpus_pipeline
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 1030, "<|endoftext", None, "", "é<|endoftext|><|endoftext|>\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for k, (a, z) in enumerate([(0, first), *((s, s + 1024) for s in range(first, len(ids), 1024))]):
+            want[i, k] = (a, z - a, zlib.crc32(ids[a:z].tobytes()))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (__spark_entry__.queries()["op4_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out.collect()} == want
+
+
 def test_exchange_rounds_and_repeated_rows(spark):
     r = random.Random(4)
     sizes = [r.choice([r.randrange(1, 1025), r.randrange(300, 700), 1024]) for _ in range(3000)]

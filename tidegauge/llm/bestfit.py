@@ -13,7 +13,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from tidegauge.llm.batches import bounded
 from tidegauge.session import settle
 
 LENGTH, END = 1024, 2
+#: The added token of ``byte_bpe_50k.json``.
+ADDED = {"<|endoftext|>": 50256}
 #: Pieces in one partition of the packing: about 60 MB of a task's memory.
 GROUP = 100_000
 ROUNDS = 12
@@ -40,7 +42,7 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     """The byte-level BPE of ``byte_bpe_50k.json``, read from its file of ranks: same ids, less time."""
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -49,15 +51,17 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, length) for s in range(first, n, length)]
 
 
-def tokenised(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end: int = END, added: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, copy, piece, start, length, ids_crc32 (of the piece's ids, little-endian unsigned 32-bit).
 
     ``copy`` tells rows of one doc_id with different texts apart (64-bit hash of the text). A null text is an empty one: its only token is ``end``.
+    With ``added``, an added token's string inside a text is that token, as the vocabulary's json says; without, it is split as any other text.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(str(vocabulary)).encode_ordinary
+        bpe = encoder(str(vocabulary))
+        encode = partial(bpe.encode, allowed_special="all") if added else bpe.encode_ordinary
         for batch in bounded(batches):
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -180,6 +184,6 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: in
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end: int = END, added: bool = False) -> DataFrame:
     """Tokenise and pack whole documents; one row per piece. See ``tokenised`` and ``pack``."""
-    return pack(tokenised(docs, vocabulary, length, end), length)
+    return pack(tokenised(docs, vocabulary, length, end, added), length)
