@@ -94,6 +94,16 @@ def test_decontamination_equals_brute_force(spark, docs_of, part_windows):
         assert all(a < z for a, z in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("part_windows", [D.PART_WINDOWS, 10])
+def test_parts_keep_rows_that_share_an_id_apart(spark, part_windows):
+    items = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(8))) for i in range(6)], "item_id long, text string")
+    one, two = (" ".join(f"b{i}x{j}" for j in range(8)) for i in (1, 2))
+    docs = [(None, one), (None, two), (None, "w " * 8), (4, one), (4, two), (4, one), (5, None), (5, "")]
+    found = D.find_items(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), items, 4, part_windows).collect()
+    want = [(d, 8 if t else 0, [[0, 8]] if t in (one, two) else [], [1] if t == one else [2] if t == two else []) for d, t in docs]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["spans"], r["items"])) for r in found)
+
+
 def test_contamination_rule_and_edges(spark, docs_of):
     item = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(13)))], "item_id long, text string")
     text = item.first()["text"]

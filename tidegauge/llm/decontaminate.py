@@ -10,6 +10,7 @@ into stretches of starting positions, and one numpy operation moves every stretc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.batches import bounded
 from tidegauge.llm.bytewords import ALNUM, LOWER, U64, mix, runs, split_words, text_buffer
+from tidegauge.session import settle
 
 BLOCK = 8
 STRETCH = 512
@@ -162,6 +164,8 @@ HITS = T.StructType([
 
 
 def _search_part(docs: DataFrame, windows: pd.DataFrame, size: int) -> DataFrame:
+    """Hits of one part for every row of ``docs``: its columns but the text, then n_words, spans and items."""
+    kept = [c for c in docs.columns if c != "text"]
     finder_data = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +177,11 @@ def _search_part(docs: DataFrame, windows: pd.DataFrame, size: int) -> DataFrame
                 a, z = runs(hit[n.first[r]:n.first[r + 1]])
                 spans[r] = [[int(s), int(e)] for s, e in zip(a, z)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n.counts.astype(np.int64)), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                *(batch.column(c) for c in kept), pa.array(n.counts.astype(np.int64)), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 pa.array([sorted(items.get(r, ())) for r in range(len(n.counts))], pa.list_(pa.int64())),
-            ], names=["doc_id", "n_words", "spans", "items"])
+            ], names=[*kept, "n_words", "spans", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, HITS)
+    return docs.select(*kept, "text").mapInArrow(scan, T.StructType([T.StructField(c, T.LongType()) for c in kept] + HITS.fields[1:]))
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = 13, part_windows: int = PART_WINDOWS) -> DataFrame:
@@ -186,28 +190,29 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 13, part_windows:
     Returns one row per document row: doc_id, n_words, ``spans`` (word ranges ``[from, to)`` inside any occurrence, disjoint,
     in order), ``items`` (sorted ids with an occurrence). A null or empty text has no words and no hits; null item texts, and
     items without words, match nothing; repeated documents are searched each by itself; other columns are ignored. An empty
-    ``items`` gives documents without hits; empty ``docs`` gives no rows. doc_id need not be unique unless there are so
-    many test strings that they are searched in parts: then rows of one doc_id and word count are joined.
+    ``items`` gives documents without hits; empty ``docs`` gives no rows. doc_id need not be unique: where there are so many
+    test strings that they are searched in parts, the documents are written with a number for each row, and the parts are joined on it.
     """
     spark = docs.sparkSession
     typed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # at most one window for each two characters; parts by hash of the id keep each below the bound whatever the table's size
     room = typed.agg(F.sum(F.length("text") / 2)).first()[0] or 0
     parts = max(1, -(-int(room) // part_windows))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if parts > 1:
+        slim = settle(slim.withColumn("row", F.monotonically_increasing_id()), "numbered")
     found = []
     for p in range(parts):
         rows = typed.where(F.pmod(F.hash("item_id"), F.lit(parts)) == p).toPandas() if parts > 1 else typed.toPandas()
         w = item_windows(rows, size)
         if len(w):
-            found.append(_search_part(docs, w, size))
+            found.append(_search_part(slim, w, size))
     if not found:
-        found.append(_search_part(docs, pd.DataFrame({"pattern": [" \x00 "], "n": [1], "item_id": [-1]}), size))  # counts words only
-    if len(found) == 1:
+        found.append(_search_part(slim, pd.DataFrame({"pattern": [" \x00 "], "n": [1], "item_id": [-1]}), size))  # counts words only
+    if parts == 1:
         return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    joined = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"),
+                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.aggregate(
         F.array_sort("s"), F.expr("cast(array() as array<array<bigint>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]),
