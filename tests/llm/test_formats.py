@@ -226,3 +226,13 @@ def test_licence_lines_equal_brute_force(spark, docs_of):
         assert [(m["line"], m["licence"], m["dice"]) for m in got[i]["matches"]] == brute_licences(t), t
         assert got[i]["n_lines"] == (0 if t is None else len(t.split("\n")))
     assert L.scan_licences(docs_of([None]).limit(0)).count() == 0
+
+
+def test_templates_of_several_lines_match_runs_however_wrapped(docs_of):
+    body = ["Permission is hereby granted free of charge to any person", "obtaining a copy of this software to deal in it", "without restriction subject to these conditions"]
+    full, words = "\n".join(body), " ".join(body).split()
+    wrapped = "\n".join(" ".join(words[i:i + 5]) for i in range(0, len(words), 5))
+    texts = ["before\n\n" + full + "\nafter that", "x y\n" + wrapped, full + "\n" + L.TEMPLATES["MIT"] + "\n" + full.upper(), body[0], None, "", "a\n\n", " ".join(words), full.replace("copy", "piece"),
+             "Released under\n\n" + full + "\nx"]
+    got = {r["doc_id"]: [(m["line"], m["licence"]) for m in r["matches"]] for r in L.scan_licences(docs_of(texts), {"full": full, "MIT": L.TEMPLATES["MIT"]}).collect()}
+    assert got == {0: [(2, "full")], 1: [(1, "full")], 2: [(0, "full"), (3, "MIT"), (4, "full")], 3: [], 4: [], 5: [], 6: [], 7: [(0, "full")], 8: [(0, "full")], 9: [(2, "full")]}

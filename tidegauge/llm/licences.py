@@ -2,8 +2,9 @@
 
 A line's words are normalised (A-Z lower-cased, everything but letters, digits and non-ASCII dropped). Its similarity with a template is
 2 |A and B| / (|A| + |B|) over the multisets of word bigrams. To reach ``t``, the line's bigram count must lie between
-t / (2 - t) and (2 - t) / t of the template's: templates outside these bounds are never compared. A template's text is matched to every
-run of as many consecutive lines as the template has.
+t / (2 - t) and (2 - t) / t of the template's: templates outside these bounds are never compared. A template
+of one line is compared with single lines, as in the SQL twin; one of several lines with every run of whole lines inside its size
+bounds, as one text, however the run is wrapped. A one-line notice that is wrapped, or shares its line with prose, is not found.
 """
 from __future__ import annotations
 
@@ -39,6 +40,15 @@ TEMPLATES = {
 LEAST = 0.85
 
 
+def text_bigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bigram hash at each word but the last, first word of each line, first word of each text); bigrams cross line breaks."""
+    raw, off, _ = text_buffer(column)
+    w = split_words(LOWER[raw], off, ALNUM)
+    starts = np.sort(np.concatenate([off[:-1], np.flatnonzero(raw == 10) + 1]))  # a text's first line, and one after each break
+    grams = mix(w.hashes[:-1] * U64(0x9E3779B97F4A7C15) + w.hashes[1:]) if len(w.hashes) > 1 else np.zeros(0, np.uint64)
+    return grams, np.concatenate([np.searchsorted(w.start, starts), [len(w.start)]]), w.first
+
+
 def bigrams_of(text: str) -> list[int]:
     _, _, grams, _ = line_bigrams(pa.array([text]))
     return grams.tolist()
@@ -59,17 +69,52 @@ def line_bigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return line_text, np.bincount(line, minlength=len(line_text)), grams[same], line[:-1][same] if len(line) > 1 else line[:0]
 
 
+def runs_of_lines(grams: list[int], first: list[int], known: Counter, least: float) -> list[tuple[float, int, int]]:
+    """(coefficient, from, to) of the runs of lines that reach ``least``: the best ones first, none overlapping a better one.
+
+    ``grams[j]`` joins words j and j + 1 of one text; line i has the words ``first[i]:first[i + 1]``.
+    """
+    size = sum(known.values())
+    low, high = least / (2 - least) * size, (2 - least) / least * size
+    if 2 * sum((Counter(grams) & known).values()) < least * (size + low):
+        return []  # not even the whole text shares enough
+    reach = []
+    for a in range(len(first) - 1):
+        # a run that begins with a line of which it shares nothing is better without that line
+        if not any(g in known for g in grams[first[a]:first[a + 1]]):
+            continue
+        own, shared, at = Counter(), 0, first[a]
+        for z in range(a + 1, len(first)):
+            n = first[z] - first[a] - 1
+            if n > high:
+                break
+            for g in grams[at:first[z] - 1]:
+                own[g] += 1
+                shared += own[g] <= known[g]
+            at = max(at, first[z] - 1)
+            if first[z] > first[z - 1] and n >= low and 2 * shared >= least * (n + size):
+                reach.append((2 * shared / (n + size), a, z))
+    out: list[tuple[float, int, int]] = []
+    for dice, a, z in sorted(reach, key=lambda r: (-r[0], r[1], r[2])):
+        if all(z <= b or y <= a for _, b, y in out):
+            out.append((dice, a, z))
+    return out
+
+
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()),
                       T.StructField("matches", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType())])))])
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, n_lines, matches): for each line that reaches ``least`` with a template, its number, the best template (ties: first by
-    name) and the coefficient. Null texts have 0 lines, an empty text 1; lines of fewer than two words have no bigrams and match
+    name) and the coefficient. A template of several lines is matched to runs of lines (see ``runs_of_lines``) and named at the first
+    line of the run, beside what single lines match; of overlapping runs the best template's stands. Null texts have 0 lines, an empty text 1; lines of fewer than two words have no bigrams and match
     nothing. One row per document row; other columns are ignored.
     """
-    names = sorted(templates or TEMPLATES)
-    known = [Counter(bigrams_of((templates or TEMPLATES)[n])) for n in names]
+    given = templates or TEMPLATES
+    tall = {n: Counter(text_bigrams(pa.array([given[n]]))[0].tolist()) for n in sorted(given) if "\n" in given[n].strip()}
+    names = sorted(given.keys() - tall.keys())
+    known = [Counter(bigrams_of(given[n])) for n in names]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_grams = np.unique(np.array([g for k in known for g in k], np.uint64))
@@ -93,6 +138,19 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, leas
                 if best[0] >= least:
                     text = line_text[at]
                     matches[text].append({"line": int(at - first[text]), "licence": names[-best[1]], "dice": float(best[0])})
+            if tall:
+                every, first_word, text_first = text_bigrams(batch.column("text"))
+                for text in np.flatnonzero(valid):
+                    lo, hi = text_first[text], text_first[text + 1]
+                    own, begins = every[lo:max(hi - 1, lo)].tolist(), (first_word[first[text]:first[text + 1] + 1] - lo).tolist()
+                    begins[-1] = int(hi - lo)
+                    found = sorted((-dice, a, n, z) for n, k in tall.items() for dice, a, z in runs_of_lines(own, begins, k, least))
+                    taken: list[tuple[int, int]] = []
+                    for dice, a, n, z in found:
+                        if all(z <= b or y <= a for b, y in taken):
+                            taken.append((a, z))
+                            matches[text].append({"line": a, "licence": n, "dice": float(-dice)})
+                    matches[text].sort(key=lambda m: m["line"])
             kind = pa.list_(pa.struct([("line", pa.int64()), ("licence", pa.string()), ("dice", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(valid, np.diff(first), 0).astype(np.int64)), pa.array(matches, kind)], names=["doc_id", "n_lines", "matches"])
 
