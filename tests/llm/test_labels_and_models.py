@@ -155,3 +155,18 @@ def test_a_rare_word_that_no_clean_text_holds_is_significant(spark, prose):
     model = X.fit(docs, spark.createDataFrame([(i, int(i in words)) for i in range(1000)], "doc_id long, toxic int"))
     got = {r["doc_id"]: r["score"] for r in X.passages(docs, model).collect()}
     assert [i for i in words if got[i] < 0.5] == [] and sum(got[i] >= 0.5 for i in got if i not in words) <= 5
+
+
+def test_labels_of_absent_documents_use_up_no_bound(spark):
+    from tidegauge.llm.labelled import training_texts
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 400, 40)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(400)], "doc_id long, quality int")
+    assert {r["d"] for r in training_texts(docs, labels, "quality", 10).collect()} == set(range(0, 400, 40))
+    assert training_texts(docs, labels, "quality", 4).count() == 4
+
+
+def test_nothing_learned_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(sample(40, 4))], "doc_id long, text string")
+    for labels in ([], [(900, 1)], [(1, 0), (2, 0), (3, 0)]):  # none, of no document, of one class
+        net = Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert Q.keep_good(docs, net).count() == 40

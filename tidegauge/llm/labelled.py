@@ -19,6 +19,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     texts drop out. The sample's ids are the only thing that is broadcast: at most ``rows`` of them.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("d"), F.col(label).cast("double").alias("y")).where("d is not null and y is not null")
-    ids = ids.groupBy("d").agg(F.max("y").alias("y")).orderBy(F.xxhash64("d"), "d").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where("text is not null")
+    ids = ids.join(texts.select("d"), "d", "left_semi")  # before the bound, so that absent documents use up none of it
+    ids = ids.groupBy("d").agg(F.max("y").alias("y")).orderBy(F.xxhash64("d"), "d").limit(rows)
     return settle(texts.join(F.broadcast(ids), "d"), f"train-{label}")

@@ -31,6 +31,7 @@ class Net:
     bias: np.ndarray  # (FILTERS,)
     weights: np.ndarray  # mean and maximum of FILTERS + 1 channels
     offset: np.ndarray  # (1,)
+    learned = False  # from texts of both classes
 
     @staticmethod
     def start(seed: int = 5) -> Net:
@@ -141,6 +142,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 5, batch: int = 24, r
                 m[n] += 0.1 * (g - m[n])
                 v[n] += 0.002 * (g * g - v[n])
                 getattr(net, n)[...] -= now * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.998**step)) + 1e-7)
+    net.learned = bool(y.min() < y.max())
     return net
 
 
@@ -166,7 +168,9 @@ def scores(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
-    """Documents that score at least ``threshold``; all columns, whatever their names and types."""
+    """Documents that score at least ``threshold``; all columns, whatever their names and types. A net that learned nothing rejects none."""
+    if not net.learned:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def judge(text: pa.Array) -> pa.Array:
