@@ -30,9 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words and more that a document with a smaller doc_id holds are cut; n_chars follows the text.
-    Documents of which nothing is left go; documents without words to begin with stay."""
-    cut = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))}
+    No document goes: one of which no word is left stays with an empty text."""
+    cut = remove_repeats(docs)
+    text = F.when((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words")), "").otherwise(F.col("text"))  # nor its blanks
+    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars").cast("long"))}
     return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 

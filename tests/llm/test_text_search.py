@@ -104,6 +104,14 @@ def test_parts_keep_rows_that_share_an_id_apart(spark, part_windows):
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["spans"], r["items"])) for r in found)
 
 
+def test_stage_keeps_documents_that_repeats_cover_whole(spark):
+    import corpus_pipeline
+    whole = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, whole, 99), (2, "  " + whole, 99), (3, whole + " own", 99), (4, None, 5), (5, "", 0)], "doc_id long, text string, n_chars long").coalesce(1)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got == {1: (whole, 99), 2: ("", 0), 3: ("own", 3), 4: (None, 5), 5: ("", 0)}
+
+
 def test_contamination_rule_and_edges(spark, docs_of):
     item = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(13)))], "item_id long, text string")
     text = item.first()["text"]
