@@ -15,7 +15,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_mod.queries()) and set(SQL) <= set(entry_mod.oracle_sql())
 
 
