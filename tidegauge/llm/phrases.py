@@ -1,14 +1,15 @@
 """Phrase collocations by set-oriented relational mining (SETM).
 
 The occurrence relation R_k holds (piece, position, phrase) of every frequent phrase of k words. It is written sorted by position, in blocks of
-about ``BLOCK_BYTES`` of text: one row a block with a column of positions, a column of phrase numbers and the block's list of phrases. Positions
+about ``BLOCK_BYTES`` of text: one row a block with its positions and phrase numbers (compressed) and the block's list of phrases. Positions
 step over piece ends, so neighbouring numbers lie in one piece. One level:
 
 1. merge-join: an occurrence at p and one at p + 1 (both frequent) are an occurrence of the phrase one word longer, named by the pair;
 2. group-count: a block's counts of its pairs are summed over all blocks; pairs below the least count go;
 3. semi-join: frequent pairs go back to the blocks that hold them, by (block, number in the block), and only their occurrences are written.
 
-So what moves is one row per block and distinct pair, not one per occurrence; a very common phrase meets as one row a block. Phrases are compared
+So what moves is one row per block and distinct pair, once, not one per occurrence; the commonest phrase has one row a block, which is fewer
+than an average task's rows. Phrases are compared
 as words once (level 1, by text) and as pairs of numbers afterwards, never by hash values. A frequent phrase's parts are all
 frequent, so their counts come down the levels with it: ``heads`` and ``tails`` are the counts of its first and last 1, 2, ... words.
 """
@@ -28,16 +29,18 @@ from tidegauge.llm.batches import bounded
 from tidegauge.llm.bytewords import LOWER, U64, mix, split_words, text_buffer
 from tidegauge.session import settle
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes between words: blanks, and the ends of pieces ``[.,;:!?\x0A-\x0D]``.
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~PIECE_END
 WORD[[0x20, 0x09]] = False
 
-INTS, LONGS, STRINGS = (T.ArrayType(t) for t in (T.IntegerType(), T.LongType(), T.StringType()))
-OCCURRENCES = [T.StructField("block", T.LongType()), T.StructField("pos", INTS), T.StructField("code", INTS)]
-FIRST = T.StructType([*OCCURRENCES, T.StructField("lang", STRINGS), T.StructField("word", STRINGS), T.StructField("n", LONGS)])
+LONGS = T.ArrayType(T.LongType())
+OCCURRENCES = [T.StructField("block", T.LongType()), T.StructField("size", T.LongType()), T.StructField("pos", T.BinaryType()), T.StructField("code", T.BinaryType())]
+#: ``tongue``: for each word the number of its lang in ``langs``.
+FIRST = T.StructType([*OCCURRENCES, T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("tongue", T.ArrayType(T.IntegerType())), T.StructField("word", T.ArrayType(T.StringType())),
+                      T.StructField("n", LONGS), T.StructField("totals", LONGS)])
 BLOCKS = T.StructType([*OCCURRENCES, T.StructField("ids", LONGS)])
 PAIRS = T.StructType([T.StructField("block", T.LongType()), T.StructField("local", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -48,11 +51,18 @@ def slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
 
 
+def _as_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, same: np.ndarray, some: int = 1 << 16) -> bool:
+    """Whether every slice equals slice ``same`` byte for byte."""
+    size = end - start
+    if (size != size[same]).any():
+        return False
+    return all((slices(raw, start[z], size[z]) == slices(raw, start[same[z]], size[z])).all() for z in (slice(k, k + some) for k in range(0, len(start), some)))
+
+
 def vocabulary(raw: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each word's (group, bytes), one word of each number). Hashes find equal words, their bytes decide."""
     _, one, code = np.unique(mix(h ^ (group.astype(np.uint64) * U64(0x9E3779B97F4A7C15))), return_index=True, return_inverse=True)
-    size, same = end - start, one[code]
-    if (size == size[same]).all() and (group == group[same]).all() and (slices(raw, start, size) == slices(raw, start[same], size)).all():
+    if (group == group[one[code]]).all() and _as_bytes(raw, start, end, one[code]):
         return code, one
     seen: dict = {}  # two words share a hash
     blob = raw.tobytes()
@@ -60,13 +70,18 @@ def vocabulary(raw: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.nd
     return code, np.unique(code, return_index=True)[1]
 
 
-def _row(values: list, schema: T.StructType) -> pa.RecordBatch:
-    def column(v):
-        if not isinstance(v, pa.Array):
-            return pa.array([v], pa.int64())
-        return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(b: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, 4 * size, codec="zstd", asbytes=True), np.int32)
+
 
-    return pa.RecordBatch.from_arrays([column(v) for v in values], names=[f.name for f in schema])
+def _row(block: int, pos: np.ndarray, code: np.ndarray, lists: list[pa.Array], schema: T.StructType) -> pa.RecordBatch:
+    columns = [pa.array([block]), pa.array([len(pos)]), pa.array([_packed(np.diff(pos, prepend=0))], pa.binary()), pa.array([_packed(code)], pa.binary())]
+    columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+    return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +101,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, one = vocabulary(raw, w.start, w.end, group, w.hashes)
         size = w.end[one] - w.start[one]
         text = pa.Array.from_buffers(pa.large_string(), len(one), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(slices(raw, w.start[one], size))]).cast(pa.string())
-        langs = lang.dictionary.take(pa.array(group[one]))
-        yield _row([block, pa.array(pos.astype(np.int32)), pa.array(code.astype(np.int32)), langs, text, pa.array(np.bincount(code, minlength=len(one)))], FIRST)
+        yield _row(block, pos, code, [lang.dictionary, pa.array(group[one].astype(np.int32)), text, pa.array(np.bincount(code, minlength=len(one))),
+                                     pa.array(np.bincount(group, minlength=len(lang.dictionary)))], FIRST)
         block += 1
 
 
@@ -96,7 +111,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarra
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i] for n in batch.schema.names}
-            yield row, row["pos"].values.to_numpy(zero_copy_only=False), row["code"].values.to_numpy(zero_copy_only=False)
+            size = row["size"].as_py()
+            yield row, np.cumsum(_unpacked(row["pos"].as_py(), size)), _unpacked(row["code"].as_py(), size)
+        pa.default_memory_pool().release_unused()
 
 
 def merge_join(pos: np.ndarray, code: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +149,7 @@ def _keep(joined: bool):
             number[local] = np.arange(len(local), dtype=np.int32)
             new = number[code]
             on = new >= 0
-            yield _row([row["block"].as_py(), pa.array(pos[on]), pa.array(new[on]), kept.field("id")], BLOCKS)
+            yield _row(row["block"].as_py(), pos[on], new[on], [kept.field("id")], BLOCKS)
 
     return scan
 
@@ -143,32 +160,40 @@ def _semi_join(blocks: DataFrame, found: DataFrame, joined: bool) -> DataFrame:
     return settle(blocks.join(kept, "block").mapInArrow(_keep(joined), BLOCKS), "occurrences")
 
 
+def _group_count(counts: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(key, f, block, local) of the groups whose counts come to ``least``, settled. One shuffle: a key has one row a block at most."""
+    summed = counts.withColumn("f", F.sum("n").over(Window.partitionBy(*key)))
+    return settle(summed.where(F.col("f") >= least).select(*key, "f", "block", "local"), "hits")
+
+
+def _numbered(hits: DataFrame, key: list[str]) -> DataFrame:
+    return settle(hits.groupBy(*key).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), "groups")
+
+
 def levels(docs: DataFrame, least: int = 100, words: int = 5) -> tuple[list[DataFrame], DataFrame]:
     """(C_1 ... C_words, totals). C_k (id, lang, phrase, last, f, heads, tails; from C_2 on a, b: the ids of its first and last k - 1
     words) holds every phrase of k words with f >= least; totals (lang, total) counts all words."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = settle(rows.mapInArrow(_split, FIRST), "words")
-    single = blocks.select("block", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("local", "w")).select("block", "local", "w.*")
-    counts = settle(single.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("total"))
-    c = settle(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                                        F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases")
+    entries = blocks.select("block", "langs", F.posexplode(F.arrays_zip("tongue", "word", "n")).alias("local", "w"))
+    single = entries.select("block", "local", F.get("langs", F.col("w.tongue")).alias("lang"), "w.word", "w.n")
+    totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("g")).groupBy(F.col("g.langs").alias("lang")).agg(F.sum("g.totals").alias("total"))
+    hits = _group_count(single, ["lang", "word"], least)
+    named = _numbered(hits, ["lang", "word"])
+    c = named.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     out = [c]
-    found = single.join(c.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("block", "local", "id")
-    occurrences = _semi_join(blocks.select("block", "pos", "code"), found, False)
+    occurrences = _semi_join(blocks.select("block", "size", "pos", "code"), hits.join(named.select("id", "lang", "word"), ["lang", "word"]).select("block", "local", "id"), False)
     for k in range(2, words + 1):
-        pairs = occurrences.mapInArrow(_pairs, PAIRS)
-        frequent = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = settle(frequent.select(F.monotonically_increasing_id().alias("id"), "a", "b", "f"), "pairs")
+        hits = _group_count(occurrences.mapInArrow(_pairs, PAIRS), ["a", "b"], least)
+        frequent = _numbered(hits, ["a", "b"])
         front = c.select(F.col("id").alias("a"), "lang", "phrase", "heads")
         back = c.select(F.col("id").alias("b"), "last", "tails")
-        named = frequent.join(front, "a").join(back, "b")
-        longer = settle(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("heads"),
-                                     F.concat("tails", F.array("f")).alias("tails"), "a", "b"), "phrases")
+        longer = settle(frequent.join(front, "a").join(back, "b").select(
+            "id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("heads"),
+            F.concat("tails", F.array("f")).alias("tails"), "a", "b"), "phrases")
         out.append(longer)
         if k < words:
-            found = pairs.join(frequent.select("a", "b", "id"), ["a", "b"]).select("block", "local", "id")
-            occurrences = _semi_join(occurrences, found, True)
+            occurrences = _semi_join(occurrences, hits.join(frequent.select("a", "b", "id"), ["a", "b"]).select("block", "local", "id"), True)
         c = longer
     return out, totals
 
