@@ -161,13 +161,11 @@ def _semi_join(blocks: DataFrame, found: DataFrame, joined: bool) -> DataFrame:
 
 
 def _group_count(counts: DataFrame, key: list[str], least: int) -> DataFrame:
-    """(key, f, block, local) of the groups whose counts come to ``least``, settled. One shuffle: a key has one row a block at most."""
-    summed = counts.withColumn("f", F.sum("n").over(Window.partitionBy(*key)))
-    return settle(summed.where(F.col("f") >= least).select(*key, "f", "block", "local"), "hits")
-
-
-def _numbered(hits: DataFrame, key: list[str]) -> DataFrame:
-    return settle(hits.groupBy(*key).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), "groups")
+    """(key, f, block, local, id, head) of the groups whose counts come to ``least``, settled: an id for each group, ``head`` on one of its
+    rows. One shuffle and one sort: a key has one row a block at most."""
+    group = Window.partitionBy(*key)
+    summed = counts.withColumn("f", F.sum("n").over(group)).where(F.col("f") >= least).withColumn("row", F.monotonically_increasing_id())
+    return settle(summed.withColumn("id", F.min("row").over(group)).select(*key, "f", "block", "local", "id", (F.col("row") == F.col("id")).alias("head")), "hits")
 
 
 def levels(docs: DataFrame, least: int = 100, words: int = 5) -> tuple[list[DataFrame], DataFrame]:
@@ -179,21 +177,19 @@ def levels(docs: DataFrame, least: int = 100, words: int = 5) -> tuple[list[Data
     single = entries.select("block", "local", F.get("langs", F.col("w.tongue")).alias("lang"), "w.word", "w.n")
     totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("g")).groupBy(F.col("g.langs").alias("lang")).agg(F.sum("g.totals").alias("total"))
     hits = _group_count(single, ["lang", "word"], least)
-    named = _numbered(hits, ["lang", "word"])
-    c = named.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+    c = hits.where("head").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     out = [c]
-    occurrences = _semi_join(blocks.select("block", "size", "pos", "code"), hits.join(named.select("id", "lang", "word"), ["lang", "word"]).select("block", "local", "id"), False)
+    occurrences = _semi_join(blocks.select("block", "size", "pos", "code"), hits, False)
     for k in range(2, words + 1):
         hits = _group_count(occurrences.mapInArrow(_pairs, PAIRS), ["a", "b"], least)
-        frequent = _numbered(hits, ["a", "b"])
         front = c.select(F.col("id").alias("a"), "lang", "phrase", "heads")
         back = c.select(F.col("id").alias("b"), "last", "tails")
-        longer = settle(frequent.join(front, "a").join(back, "b").select(
+        longer = settle(hits.where("head").join(front, "a").join(back, "b").select(
             "id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("heads"),
             F.concat("tails", F.array("f")).alias("tails"), "a", "b"), "phrases")
         out.append(longer)
         if k < words:
-            occurrences = _semi_join(occurrences, hits.join(frequent.select("a", "b", "id"), ["a", "b"]).select("block", "local", "id"), True)
+            occurrences = _semi_join(occurrences, hits, True)
         c = longer
     return out, totals
 
