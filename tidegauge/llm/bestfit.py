@@ -13,13 +13,14 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,23 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+@lru_cache(maxsize=2)
+def plain_encoder(vocabulary: str, added: bool) -> tokenizers.Tokenizer:
+    """The vocabulary's json, which lies beside its file of ranks."""
+    bpe = tokenizers.Tokenizer.from_file(f"{vocabulary.removesuffix('.tiktoken')}.json")
+    bpe.encode_special_tokens = not added
+    return bpe
+
+
+def token_ids(text: str, vocabulary: str, added: bool) -> list[int]:
+    """Ids of a text. Runs of very many blanks are beyond the regular expressions of the fast encoder; the json's own takes such texts."""
+    bpe = encoder(vocabulary)
+    try:
+        return bpe.encode(text, allowed_special="all") if added else bpe.encode_ordinary(text)
+    except ValueError:
+        return plain_encoder(vocabulary, added).encode(text, add_special_tokens=False).ids
+
+
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole sequences from the end, the remainder first."""
     first = n % length or length
@@ -60,12 +78,10 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(str(vocabulary))
-        encode = partial(bpe.encode, allowed_special="all") if added else bpe.encode_ordinary
         for batch in bounded(batches):
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = array("I", encode(text) if text else ())
+                ids = array("I", token_ids(text, str(vocabulary), added) if text else ())
                 ids.append(end)
                 data = memoryview(ids.tobytes())
                 for k, (s, n) in enumerate(cuts(len(ids), length)):

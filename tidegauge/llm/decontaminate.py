@@ -229,6 +229,8 @@ def report(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """Documents that are not contaminated, with all their columns. Null doc_ids can't be matched back and stay."""
-    bad = report(docs, items, size, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that are not contaminated, with all their columns. Each row is judged by its own text, whatever its doc_id: rows are
+    written with a number of their own and matched back by it."""
+    numbered = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    bad = report(numbered.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), items, size, share).where("contaminated").select(F.col("doc_id").alias("at"))
+    return numbered.join(bad, "at", "left_anti").select("row.*")

@@ -310,7 +310,14 @@ def near_links(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """The document with the least doc_id of each class; all columns. Of rows that repeat a doc_id one stays; rows without a doc_id stay."""
-    keep = near_links(docs, threshold, size).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each class of near duplicates, that of the least doc_id; all columns. Rows without a doc_id stay.
+
+    Rows are told apart by a number of their own, written with them, not by doc_id: different texts under one doc_id stay, and of repeated
+    rows one stays. Null texts are like nothing and stay.
+    """
+    numbered = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    named = numbered.where("row.doc_id is not null")
+    found = near_links(named.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), threshold, size).select(F.col("doc_id").alias("at"), "class_id")
+    first = found.join(named.select("at", F.col("row.doc_id").cast("long").alias("d")), "at").groupBy("class_id").agg(F.min(F.struct("d", "at")).alias("first"))
+    kept = numbered.join(first.select(F.col("first.at").alias("at")), "at", "left_semi")
+    return kept.union(numbered.where("row.doc_id is null")).select("row.*")

@@ -153,22 +153,19 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str = "ve
     """The k nearest found for each query: query_id, rank (from 1), vec_id, score (cosine on the given vectors, double precision).
 
     Nearest first, ties to the smaller id; all other candidates if there are fewer than k. A row is no candidate of a query with its own id.
-    Unusable vectors take no part (see ``usable``), nor do vectors of a dimension other than the most common one. Rows that repeat an id and
-    a vector count once as candidates and as queries. Empty tables give no rows. Other columns are ignored.
+    Unusable vectors take no part (see ``usable``). A query meets the candidates of its own dimension. Rows that repeat an id and a vector count
+    once as candidates and as queries. Empty tables give no rows. Other columns are ignored.
     """
-    c = usable(corpus, id_col, vec_col)
-    q = usable(queries, id_col, vec_col)
-    sizes = c.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
-    n_q = q.count()
-    if sizes is None or not n_q:
-        return c.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks, groups = -(-sizes["rows"] // CANDIDATES), -(-n_q // QUERIES)
-    here = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dim = F.size("v") == sizes["n"]
-    left = q.where(dim).select("id", "v", here(groups).alias("g"), side(blocks).alias("b"))
-    right = c.where(dim).select("id", "v", here(blocks).alias("b"), side(groups).alias("g"))
-    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(_search(k, dims, sure, seed), FOUND)
+    c = usable(corpus, id_col, vec_col).withColumn("n", F.size("v"))
+    q = usable(queries, id_col, vec_col).withColumn("n", F.size("v"))
+    parts = lambda df, most, name: df.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    # one row for each dimension: fewer than the square root of twice the components, however many vectors there are
+    sizes = F.broadcast(parts(c, CANDIDATES, "blocks").join(parts(q, QUERIES, "groups"), "n"))
+    here = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(sizes, "n").select("n", "id", "v", here("groups").alias("g"), side("blocks").alias("b"))
+    right = c.join(sizes, "n").select("n", "id", "v", here("blocks").alias("b"), side("groups").alias("g"))
+    found = left.groupBy("n", "g", "b").cogroup(right.groupBy("n", "g", "b")).applyInArrow(_search(k, dims, sure, seed), FOUND)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # at most k rows a block
     top = found.groupBy("query_id").agg(best.alias("top")).select("query_id", F.posexplode("top").alias("p", "x"))
     return top.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
