@@ -320,4 +320,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFram
     found = near_links(named.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), threshold, size).select(F.col("doc_id").alias("at"), "class_id")
     first = found.join(named.select("at", F.col("row.doc_id").cast("long").alias("d")), "at").groupBy("class_id").agg(F.min(F.struct("d", "at")).alias("first"))
     kept = numbered.join(first.select(F.col("first.at").alias("at")), "at", "left_semi")
-    return kept.union(numbered.where("row.doc_id is null")).select("row.*")
+    return kept.select("row.*").union(numbered.where("row.doc_id is null").select("row.*"))
