@@ -17,11 +17,14 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), n
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sd (n-1), min, exact quartiles and max per column."""
+    """count, mean, sd (n-1), min, exact quartiles and max per column, with its dtype and the table's shape."""
     long = long_form(df, columns)
     basic = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+    kinds = dict(df.dtypes)
+    basic = basic.withColumn("dtype", F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(kinds[c]))])[F.col("column")])
+    basic = attach(basic, df.agg(F.count(F.lit(1)).alias("n"))).withColumns({"n_rows": F.col("_s.n"), "n_columns": F.lit(len(df.columns))}).drop("_s")
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column"])
     return basic.join(q.select("column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")), "column", "left")
 

@@ -33,13 +33,20 @@ def regression_columns(y: Column, pred: Column) -> list[Column]:
     """Aggregate columns mse, rmse, mae, r2 for any ``groupBy``."""
     sq = F.pow(y - pred, 2)
     return [F.count(y).alias("n"), F.avg(sq).alias("mse"), F.sqrt(F.avg(sq)).alias("rmse"), F.avg(F.abs(y - pred)).alias("mae"),
-            (1 - F.sum(sq) / (F.var_pop(y) * F.count(y))).alias("r2")]
+            (1 - F.try_divide(F.sum(sq), F.var_pop(y) * F.count(y))).alias("r2")]
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*regression_columns(F.col(y), F.col(pred)))
 
 
+def stage_lift(df: DataFrame, y: str, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of the later of two model stages, the earlier one's RMSE, and ``lift``: the share of that RMSE that the stage takes away."""
+    was = F.sqrt(F.avg(F.pow(F.col(y) - F.col(before), 2))).alias("rmse_before")
+    out = df.groupBy(*by).agg(*regression_columns(F.col(y), F.col(after)), was)
+    return out.withColumn("lift", F.try_divide(F.col("rmse_before") - F.col("rmse"), F.col("rmse_before")))
+
+
 def outlier_sensitivity(df: DataFrame, y: str, pred: str, factor: float = 10.0) -> DataFrame:
     """RMSE and MAE when the label of the row nearest to the median is multiplied by ``factor``."""
     med = exact_quantiles(df, y, [0.5]).select(F.col("q")[0].alias("m"))
@@ -58,6 +65,11 @@ def residuals(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.withColumn("residual", F.col(y) - F.col(pred))
 
 
+def residual_table(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
+    """One row per prediction: fitted against residual, and against the actual value (parity)."""
+    return df.select(*keys, F.col(pred).alias("fitted"), F.col(y).alias("actual"), (F.col(y) - F.col(pred)).alias("residual"))
+
+
 def residual_histogram(df: DataFrame, y: str, pred: str, bins: int = 40) -> DataFrame:
     return histogram(residuals(df, y, pred), "residual", bins)
 

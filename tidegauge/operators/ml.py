@@ -5,6 +5,7 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.hashing import unit_hash
 from tidegauge.functions.scalar import logit, sigmoid
 from tidegauge.operators.features import impute
-from tidegauge.operators.ordering import attach
+from tidegauge.operators.ordering import attach, bucket_target, carry_last, order_buckets
 from tidegauge.operators.splits import balanced_bags, stratified_folds
 from tidegauge.operators.stats import anova_f
 from tidegauge.session import settle
@@ -113,36 +114,73 @@ def majority_baseline(train: DataFrame, label: str) -> DataFrame:
     return attach(train.agg(F.avg(label).alias("mean")), top).select("_s.majority", "mean")
 
 
-ISOTONIC_BINS = 1024
+STACK = "b int, lo double, hi double, s double, w double"
 
 
-def isotonic(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated", bins: int = ISOTONIC_BINS) -> DataFrame:
-    """Monotone map from a score in [0, 1] to a rate: least squares over the calibration slice, as a step function of score bins.
+def pool_adjacent(lo: np.ndarray, hi: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring blocks (score range, sum, weight; in order) pooled until their means rise strictly."""
+    top = np.zeros(len(lo) + 1, np.int64)  # the stack: where each block begins
+    total, weight, n = s.astype(float).copy(), w.astype(float).copy(), 0
+    for i in range(len(lo)):
+        top[n], total[n], weight[n] = i, s[i], w[i]
+        while n and total[n - 1] * weight[n] >= total[n] * weight[n - 1]:
+            n -= 1
+            total[n] += total[n + 1]
+            weight[n] += weight[n + 1]
+        n += 1
+    top[n] = len(lo)
+    return lo[top[:n]], hi[top[1:n + 1] - 1], total[:n], weight[:n]
 
-    Scores are counted in ``bins`` bins of equal width, so what is pooled is one short row whatever the data's size. A score takes the value
-    of its bin, or of the nearest filled bin below it (the lowest one, if there is none). Pooling keeps the mean.
+
+def isotonic_steps(calibrate: DataFrame, score: str, label: str, fan: int = 8) -> DataFrame:
+    """(x0, v0, x1, v1), settled: the thresholds of the least-squares monotone fit, in order, each with its right neighbour (null after the last).
+
+    Parallel pool-adjacent-violators: labels are summed per distinct score, scores go to order buckets, and each bucket pools its own blocks.
+    ``fan`` neighbouring stacks merge at a time until one is left; pooling stacks gives the blocks of pooling all rows. A stack is what a task
+    holds: its means rise strictly, so n rows with 0/1 labels leave about n^(2/3) blocks at most. Null scores and labels take no part.
+    """
+    rows = calibrate.select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y")).where("x is not null and not isnan(x) and y is not null")
+    counted = settle(rows.groupBy("x").agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("w")), "scores")
+    stacks = order_buckets(counted, ["x"], "b").select("b", F.col("x").alias("lo"), F.col("x").alias("hi"), "s", "w")
+
+    def pooled(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo")
+        out = pool_adjacent(*(rows[c].to_numpy() for c in ("lo", "hi", "s", "w")))
+        return pd.DataFrame({"b": rows["b"].iloc[0], **dict(zip(("lo", "hi", "s", "w"), out))})
+
+    left = bucket_target(counted)
+    stacks = stacks.groupBy("b").applyInPandas(pooled, STACK)
+    while left > 1:
+        stacks, left = stacks.withColumn("b", F.floor(F.col("b") / fan).cast("int")).groupBy("b").applyInPandas(pooled, STACK), -(-left // fan)
+
+    def thresholds(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo")
+        v = (rows["s"] / rows["w"]).to_numpy()
+        ends = np.stack([rows["lo"].to_numpy(), rows["hi"].to_numpy()], 1)
+        once = np.stack([np.ones(len(v), bool), ends[:, 0] < ends[:, 1]], 1).ravel()
+        x, v = ends.ravel()[once], np.repeat(v, 2)[once]
+        return pd.DataFrame({"x0": x, "v0": v, "x1": np.append(x[1:], np.nan), "v1": np.append(v[1:], np.nan)})
+
+    return settle(stacks.groupBy("b").applyInPandas(thresholds, "x0 double, v0 double, x1 double, v1 double"), "thresholds")
+
+
+def isotonic(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated") -> DataFrame:
+    """Monotone map from a score to a rate: the exact least-squares fit over the calibration slice (``isotonic_steps``).
+
+    Between two thresholds the rate is interpolated linearly, outside them it is that of the nearest one. A null score, or an empty calibration
+    slice, gives null. Tied scores have one rate. Thresholds are carried to the test scores in one ordered pass.
     """
-    where = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * bins).cast("int")
-    counted = calibrate.groupBy(where(score).alias("b")).agg(F.sum(F.col(label).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
-    row = counted.where("b is not null").agg(F.array_sort(F.collect_list(F.struct("b", "s", "w"))).alias("bins"))
-
-    def pool(all_bins: pd.Series) -> pd.Series:
-        out = []
-        for entries in all_bins:
-            blocks: list[list] = []  # [first bin, sum, weight], values rising
-            for e in entries:
-                blocks.append([e["b"], e["s"], e["w"]])
-                while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                    _, s, w = blocks.pop()
-                    blocks[-1][1] += s
-                    blocks[-1][2] += w
-            out.append([(b, s / w) for b, s, w in blocks])
-        return pd.Series(out)
-
-    steps = row.select(F.pandas_udf(pool, "array<struct<b: int, v: double>>")("bins").alias("steps"))
-    below = F.filter("_iso.steps", lambda x: x["b"] <= where(score))
-    value = F.coalesce(F.try_element_at(below, F.lit(-1)), F.get("_iso.steps", F.lit(0)))["v"]
-    return attach(test, steps, "_iso").withColumn(name, F.when(F.col(score).isNotNull(), value)).drop("_iso")
+    steps = isotonic_steps(calibrate, score, label)
+    lowest = steps.agg(F.min_by("v0", "x0").alias("v"))
+    at = F.struct("x0", "v0", F.nanvl("x1", F.lit(None)).alias("x1"), F.nanvl("v1", F.lit(None)).alias("v1"))
+    rows = steps.select(F.col("x0").alias("_x"), F.lit(0).alias("_kind"), at.alias("_at"), F.lit(None).cast(test.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    asked = test.select(F.struct("*").alias("_row")).select(F.col(f"_row.`{score}`").cast("double").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).alias("_at"), "_row")
+    both = rows.union(asked)
+    known = attach(carry_last(both, ["_x", "_kind"], {"_at": "_near"}).where("_kind = 1"), lowest, "_low")
+    gap = (F.col("_x") - F.col("_near.x0")) / (F.col("_near.x1") - F.col("_near.x0"))
+    value = F.when(F.col("_near").isNull(), F.col("_low.v")).otherwise(
+        F.coalesce(F.col("_near.v0") + (F.col("_near.v1") - F.col("_near.v0")) * gap, F.col("_near.v0")))
+    return known.select("_row.*", F.when(F.col("_x").isNotNull() & ~F.isnan("_x"), value).alias(name))
 
 
 def platt(calibrate: DataFrame, test: DataFrame, score: str, label: str, name: str = "calibrated") -> DataFrame:
@@ -159,6 +197,7 @@ def cross_calibrated(resampled: DataFrame, test: DataFrame, key: str, features:
         m = LogisticRegression(labelCol=label).fit(assembled(parts.where(F.col("fold") != k), features))
         held = scored(m, parts.where(F.col("fold") == k), features, "_s").select(label, "_s")
         out = isotonic(held, scored(m, out, features, "_s").drop("prediction"), "_s", label, f"_c{k}").drop("_s")
+        out = settle(out, "calibrated")  # else each fold's ordered pass would run all earlier ones again
     mean = sum((F.col(f"_c{k}") for k in range(1, folds)), F.col("_c0")) / folds
     return out.withColumn("calibrated", mean).drop(*[f"_c{k}" for k in range(folds)])
 

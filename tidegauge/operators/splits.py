@@ -77,10 +77,17 @@ def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
 
 
 def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """Every class repeated up to the size of the largest; ``copy`` numbers the repeats."""
+    """Every class filled up to the size of the largest by draws from its rows with replacement; ``copy`` numbers a row's repeats, 1 is the row.
+
+    Row i of a class of n makes the draws i, i + n, ... that the class still needs, so draws are made where the rows are; they are counted before
+    they meet the rows they hit.
+    """
     r = attach(_hash_ranks(df, key, [label], seed).join(_class_sizes(df, label), label), _smallest_and_largest(df, label))
-    times = F.floor(F.col("_s.hi") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_s.hi") % F.col("_n"), 1).otherwise(0)
-    return r.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_rank", "_n", "_s")
+    lacking = F.col("_s.hi") - F.col("_n")
+    draws = r.where(F.col("_rank") <= lacking).select(label, "_n", F.explode(F.sequence(F.col("_rank"), lacking, F.col("_n"))).alias("_draw"))
+    hit = draws.select(label, (F.floor(unit_hash(label, "_draw", seed=seed) * F.col("_n")) + 1).alias("_rank")).groupBy(label, "_rank").agg(F.count(F.lit(1)).alias("_more"))
+    out = r.join(hit, [label, "_rank"], "left")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.coalesce("_more", F.lit(0))))).select(*df.columns, "copy")
 
 
 def bootstrap(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -94,6 +101,14 @@ def bootstrap(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return ranked.join(draws.groupBy("_rank").agg(F.count(F.lit(1)).alias("copies")), "_rank").drop("_rank")
 
 
+def resample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """``size`` draws from the table with replacement, as rows with their number of ``copies``. Draws are counted before they meet the rows."""
+    ranked = row_numbers(df, [key], "_rank")
+    draws = attach(df.sparkSession.range(1, size + 1).toDF("_draw"), df.agg(F.count(F.lit(1)).alias("n")))
+    hit = draws.select((F.floor(unit_hash("_draw", seed=seed) * F.col("_s.n")) + 1).alias("_rank")).groupBy("_rank").agg(F.count(F.lit(1)).alias("copies"))
+    return ranked.join(hit, "_rank").drop("_rank")
+
+
 def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows for the smaller classes: a point between a row and one of its k nearest of its class."""
     sizes = _class_sizes(df, label)

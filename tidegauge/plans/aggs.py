@@ -12,10 +12,11 @@ LONG = "(" + " union all ".join(f"select '{c}' as \"column\", {c} as value from
 
 
 @query("agg_1", f"""select "column", count(value) as count, round(avg(value),6) mean, round(stddev_samp(value),6) std, min(value) min, max(value) max,
- round(quantile_cont(value,0.25),6) q25, round(quantile_cont(value,0.5),6) q50, round(quantile_cont(value,0.75),6) q75 from {LONG} group by 1""")
+ round(quantile_cont(value,0.25),6) q25, round(quantile_cont(value,0.5),6) q50, round(quantile_cont(value,0.75),6) q75, lower(any_value(typeof(value))) dtype,
+ (select count(*) from lineitem) n_rows, (select count(*) from (describe lineitem))::INT n_columns from {LONG} group by 1""")
 def agg_1(spark, sf):
     p = A.numeric_profile(table(spark, sf, "lineitem"), NUM)
-    return p.select("column", "count", rnd("mean").alias("mean"), rnd("std").alias("std"), "min", "max", *[rnd(c).alias(c) for c in ("q25", "q50", "q75")])
+    return p.select("column", "count", rnd("mean").alias("mean"), rnd("std").alias("std"), "min", "max", *[rnd(c).alias(c) for c in ("q25", "q50", "q75")], "dtype", "n_rows", "n_columns")
 
 
 def gappy_orders(spark, sf):

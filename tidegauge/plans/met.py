@@ -34,11 +34,14 @@ def met_1(spark, sf):
     return m.select("n", rnd(F.col("mse") / 1e6, 4).alias("mse_m"), rnd("rmse", 4).alias("rmse"), rnd("mae", 4).alias("mae"), rnd("r2").alias("r2"))
 
 
-@query("met_2", f"select lat1 between 40.70::DOUBLE and 40.79::DOUBLE and lon1 between -74.02::DOUBLE and -73.96::DOUBLE inside, count(*) n, {REG} from {LI_GEO} group by 1")
+@query("met_2", f"""select *, round((rmse_all-was_all)/-was_all,6) lift from (select inside, n, rmse, mae, r2, rmse_before, full_rmse rmse_all, full_before was_all from (
+ select lat1 between 40.70::DOUBLE and 40.79::DOUBLE and lon1 between -74.02::DOUBLE and -73.96::DOUBLE inside, count(*) n, {REG}, round(sqrt(avg(pow({Y}-1500.0::DOUBLE*l_quantity,2))),4) rmse_before,
+ sqrt(avg(pow({Y}-{PRED},2))) full_rmse, sqrt(avg(pow({Y}-1500.0::DOUBLE*l_quantity,2))) full_before from {LI_GEO} group by 1))""".replace("select *, round", "select inside, n, rmse, mae, r2, rmse_before, round"))
 def met_2(spark, sf):
-    d = predicted(spark, sf).withColumn("inside", in_box(F.col("lat1"), F.col("lon1"), ZONE))
-    m = M.regression_metrics(d, Y, "pred", ["inside"])
-    return m.select("inside", "n", rnd("rmse", 4).alias("rmse"), rnd("mae", 4).alias("mae"), rnd("r2").alias("r2"))
+    """Inside and outside the zone: the model with the discount, and what that feature adds to quantity alone."""
+    d = predicted(spark, sf).withColumns({"inside": in_box(F.col("lat1"), F.col("lon1"), ZONE), "plain": F.lit(1500.0) * F.col("l_quantity")})
+    m = M.stage_lift(d, Y, "plain", "pred", ["inside"])
+    return m.select("inside", "n", rnd("rmse", 4).alias("rmse"), rnd("mae", 4).alias("mae"), rnd("r2").alias("r2"), rnd("rmse_before", 4).alias("rmse_before"), rnd("lift").alias("lift"))
 
 
 @query("met_3", f"""with d as (select {Y} y, {PRED} p from lineitem), m as (select quantile_cont(y,0.5) m from d), b as (select y y0, p p0 from d, m order by abs(y-m), y, p limit 1),
@@ -49,9 +52,14 @@ def met_3(spark, sf):
 
 
 @query("met_4", f"""with r as (select {Y}-{PRED} v from lineitem), e as (select min(v) lo, max(v) hi from r), c as (select least(floor((v-lo)/((hi-lo)/40)),39)::INT bin, count(*) n from r, e group by 1)
- select b::INT bin, round(lo+b*((hi-lo)/40),4) as left, coalesce(n,0) n from range(40) r(b) cross join e left join c on bin=b""")
+ select 'bin ' || b part, null::DOUBLE fitted, null::DOUBLE actual, null::DOUBLE residual, round(lo+b*((hi-lo)/40),4) as left, coalesce(n,0)::DOUBLE n from range(40) r(b) cross join e left join c on bin=b
+ union all select 'line ' || l_orderkey || ' ' || l_linenumber, round({PRED},4), {Y}, round({Y}-{PRED},4)+0.0, null, null from lineitem""")
 def met_4(spark, sf):
-    return M.residual_histogram(predicted(spark, sf), Y, "pred").withColumn("left", rnd("left", 4))
+    """Every line's fitted value, actual value (parity) and residual, and the histogram of the residuals."""
+    d, empty = predicted(spark, sf), lambda t, c: F.lit(None).cast(t).alias(c)
+    bins = M.residual_histogram(d, Y, "pred").select(F.concat(F.lit("bin "), "bin").alias("part"), *[empty("double", c) for c in ("fitted", "actual", "residual")], rnd("left", 4).alias("left"), F.col("n").cast("double").alias("n"))
+    points = M.residual_table(d, ["l_orderkey", "l_linenumber"], Y, "pred")
+    return bins.union(points.select(F.concat_ws(" ", F.lit("line"), "l_orderkey", "l_linenumber"), rnd("fitted", 4), "actual", rnd("residual", 4), empty("double", "left"), empty("double", "n")))
 
 
 def judged(spark, sf):

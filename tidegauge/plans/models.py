@@ -73,9 +73,11 @@ def vectors(spark, sf):
 @query("ml_5")
 def ml_5(spark, sf):
     v = vectors(spark, sf)
-    m = M.LogisticRegression(family="auto", regParam=0.01, maxIter=50).fit(v.where("u >= 0.25"))
-    p = m.transform(v.where("u < 0.25"))
-    return p.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("accuracy"))
+    def held_out(d, family):
+        p = M.LogisticRegression(family="auto", regParam=0.01, maxIter=50).fit(d.where("u >= 0.25")).transform(d.where("u < 0.25"))
+        return p.agg(F.lit(family).alias("family"), F.count(F.lit(1)).alias("n"), rnd(F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("accuracy"))
+
+    return held_out(v, "multinomial").union(held_out(v.withColumn("label", (F.col("label") == 0).cast("double")), "binary"))
 
 
 @query("ml_6")
@@ -121,15 +123,18 @@ def ml_10(spark, sf):
     return spark.createDataFrame(rows, "feature string, lasso boolean, l1_logistic boolean")
 
 
-@query("ml_11", f"""with v as (select query_id, cl, count(*) c, max(raw) m from {NEAR} where rank <= 5 group by 1,2), p as (select query_id, cl pred from v qualify row_number() over (partition by query_id order by c desc, cl)=1),
- a as (select query_id, avg(cl) mean from {NEAR} where rank<=5 group by 1)
- select p.query_id, label, pred, round(mean,6) mean from p join embeddings on vec_id=query_id join a on a.query_id=p.query_id""")
+NEAR_15 = NEAR.replace("rank <= 10", "rank <= 15")
+
+
+@query("ml_11", f"""with n as (select k, query_id, cl from {NEAR_15}, (values (1), (15)) t(k) where rank <= k), v as (select k, query_id, cl, count(*) c from n group by all),
+ p as (select k, query_id, cl pred from v qualify row_number() over (partition by k, query_id order by c desc, cl)=1), a as (select k, query_id, avg(cl) mean from n group by all)
+ select k, p.query_id, label, pred, round(mean,6) mean from p join embeddings on vec_id=query_id join a using (k, query_id)""")
 def ml_11(spark, sf):
-    """Vote (ties to the smaller class) and mean of the five nearest other vectors."""
-    n = neighbours(spark, sf, 5)
-    votes = n.groupBy("query_id", "ql", "cl").agg(F.count(F.lit(1)).alias("c"))
-    pred = votes.groupBy("query_id", "ql").agg(F.max_by("cl", F.struct("c", -F.col("cl"))).alias("pred"), (F.sum(F.col("cl") * F.col("c")) / F.sum("c")).alias("mean"))
-    return pred.select("query_id", F.col("ql").alias("label"), "pred", rnd("mean").alias("mean"))
+    """Vote (ties to the smaller class) and mean of the 15 nearest other vectors, and of the nearest one."""
+    n = neighbours(spark, sf, 15).withColumn("k", F.explode(F.when(F.col("rank") == 1, F.array(F.lit(1), F.lit(15))).otherwise(F.array(F.lit(15)))))
+    votes = n.groupBy("k", "query_id", "ql", "cl").agg(F.count(F.lit(1)).alias("c"))
+    pred = votes.groupBy("k", "query_id", "ql").agg(F.max_by("cl", F.struct("c", -F.col("cl"))).alias("pred"), (F.sum(F.col("cl") * F.col("c")) / F.sum("c")).alias("mean"))
+    return pred.select("k", "query_id", F.col("ql").alias("label"), "pred", rnd("mean").alias("mean"))
 
 
 def slices(spark, sf):
@@ -140,10 +145,12 @@ def slices(spark, sf):
 _CAL = f"(select *, {u_sql('doc_id')} u from {LABELLED})"
 
 
-@query("ml_12", f"""with g as (select floor(p*1024)::INT b, sum(quality)::DOUBLE s, count(*)::DOUBLE w from {_CAL} where u < 0.5 group by 1),
- k as (select b, sum(s) over (order by b) s1, sum(w) over (order by b) w1, sum(s) over (order by b) - s s0, sum(w) over (order by b) - w w0 from g),
- m as (select a.b a, i.b i, min((c.s1-a.s0)/(c.w1-a.w0)) v from k a join k i on a.b <= i.b join k c on c.b >= i.b group by 1, 2), v as (select i b, max(v) v from m group by 1)
- select doc_id, p, round((select coalesce(max_by(v.v, v.b) filter (v.b <= floor(t.p*1024)), min_by(v.v, v.b)) from v), 6)+0.0 calibrated from {_CAL} t where u >= 0.5""")
+# the fit at a score is the largest over all beginnings of the least over all ends of the mean between them
+@query("ml_12", f"""with g as (select p x, sum(quality)::DOUBLE s, count(*)::DOUBLE w from {_CAL} where u < 0.5 group by 1),
+ k as (select x, sum(s) over (order by x) s1, sum(w) over (order by x) w1, sum(s) over (order by x) - s s0, sum(w) over (order by x) - w w0 from g),
+ m as (select a.x a, i.x i, min((c.s1-a.s0)/(c.w1-a.w0)) v from k a join k i on a.x <= i.x join k c on c.x >= i.x group by 1, 2), v as (select i x, max(v) v from m group by 1),
+ t as (select doc_id, p, (select max(x) from v where x <= p) x0, (select min(x) from v where x >= p) x1 from {_CAL} where u >= 0.5)
+ select doc_id, p, round(case when x0 is null then b.v when x1 is null or x0 = x1 then a.v else a.v + (b.v-a.v)*(p-x0)/(x1-x0) end, 6)+0.0 calibrated from t left join v a on a.x = x0 left join v b on b.x = x1""")
 def ml_12(spark, sf):
     cal, test = slices(spark, sf)
     return M.isotonic(cal, test, "p", "quality").select("doc_id", "p", rnd("calibrated").alias("calibrated"))

@@ -60,8 +60,10 @@ def split_7(spark, sf):
     return P.undersample(table(spark, sf, "labels"), "doc_id", "toxic").select("doc_id", "toxic")
 
 
-OVER = f"""(with r as (select doc_id, toxic, row_number() over (partition by toxic order by {H}, doc_id) rk, count(*) over (partition by toxic) n from labels)
- select doc_id, toxic, unnest(range(1, (hi//n + case when rk <= hi%n then 1 else 0 end + 1)::BIGINT)) as copy from r, {SIZES})"""
+OVER = f"""(with r as (select doc_id, toxic, row_number() over (partition by toxic order by {H}, doc_id) rk, count(*) over (partition by toxic) n from labels),
+ i as (select toxic, n, unnest(range(1, (hi - n + 1)::BIGINT)) draw from (select distinct toxic, n from r), {SIZES}),
+ d as (select toxic, floor({u_sql('toxic', 'draw')}*n)::BIGINT + 1 rk, count(*) more from i group by all)
+ select doc_id, toxic, unnest(range(1, (2 + coalesce(more, 0))::BIGINT)) as copy from r left join d using (toxic, rk))"""
 
 
 @query("split_8", f"select doc_id, toxic, copy from {OVER}")

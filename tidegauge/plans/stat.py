@@ -58,17 +58,24 @@ def poisson_sql(u: str) -> str:
     return "(" + "+".join(terms) + ")"
 
 
-@query("stat_6", f"""with r as (select o_orderkey, o_totalprice v, o_orderstatus s, rep from orders, range(1,11) t(rep)),
- w as (select *, {poisson_sql(u_sql('o_orderkey', 'rep'))} w from (select * from r)),
- m as (select sum(w) filter (s='F') na, sum(w) filter (s='O') nb, sum(w*v) filter (s='F') sa, sum(w*v) filter (s='O') sb, sum(w*v*v) filter (s='F') qa, sum(w*v*v) filter (s='O') qb from w),
- v as (select *, sa/na ma, sb/nb mb, (qa-sa*sa/na)/(na-1) va, (qb-sb*sb/nb)/(nb-1) vb from m)
- select na::BIGINT na, nb::BIGINT nb, round((ma-mb)/sqrt(va/na+vb/nb),5) t, round((ma-mb)/sqrt(((na-1)*va+(nb-1)*vb)/(na+nb-2)),6) cohens_d from v""")
+ROWS_6 = 50_000
+
+
+@query("stat_6", f"""with o as (select row_number() over (order by o_orderkey) rk, count(*) over () n, o_totalprice v, o_orderstatus s from orders),
+ d as (select floor({u_sql('i')}*n)::BIGINT+1 rk, count(*) w from range(1,{ROWS_6 + 1}) t(i), (select count(*) n from orders) group by 1),
+ w as (select 'as given' sample, 1 w, v, s from o union all select 'resampled', w, v, s from o join d using (rk)),
+ g as (select sample, sum(w) rows, sum(w) filter (s='F') na, sum(w) filter (s='O') nb, sum(w*v) filter (s='F') sa, sum(w*v) filter (s='O') sb, sum(w*v*v) filter (s='F') qa, sum(w*v*v) filter (s='O') qb from w group by 1),
+ m as (select *, sa/na ma, sb/nb mb, (qa-sa*sa/na)/(na-1) va, (qb-sb*sb/nb)/(nb-1) vb from g),
+ v as (select sample, rows, na, nb, (ma-mb)/sqrt(va/na+vb/nb) t, power(va/na+vb/nb,2)/(power(va/na,2)/(na-1)+power(vb/nb,2)/(nb-1)) df, (ma-mb)/sqrt(((na-1)*va+(nb-1)*vb)/(na+nb-2)) d from m)
+ select sample, rows::BIGINT n, na::BIGINT na, nb::BIGINT nb, round(t,5) t, round({T_TAIL},6) p, round(d,6) cohens_d from v""")
 def stat_6(spark, sf):
-    """The same effect on a table resampled to ten times its size: t grows, d stays."""
-    from tidegauge.functions.hashing import poisson1, unit_hash
-    big = table(spark, sf, "orders").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("w", poisson1(unit_hash("o_orderkey", "rep")))
-    out = S.two_group_test(big, "o_totalprice", "o_orderstatus", "F", "O", weight=F.col("w"))
-    return out.select(F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), rnd("t", 5).alias("t"), rnd("cohens_d").alias("cohens_d"))
+    """The same effect on the table and on 50,000 draws from it with replacement: t grows and p falls, d stays."""
+    from tidegauge.operators.splits import resample
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    both = orders.select(F.lit("as given").alias("sample"), "o_totalprice", "o_orderstatus", F.lit(1).cast("long").alias("w")).union(
+        resample(orders, "o_orderkey", ROWS_6).select(F.lit("resampled"), "o_totalprice", "o_orderstatus", "copies"))
+    out = S.two_group_test(both, "o_totalprice", "o_orderstatus", "F", "O", ["sample"], F.col("w")).join(both.groupBy("sample").agg(F.sum("w").alias("n")), "sample")
+    return out.select("sample", "n", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), rnd("t", 5).alias("t"), rnd("p").alias("p"), rnd("cohens_d").alias("cohens_d"))
 
 
 WEEKED = "(select *, datediff('day', timestamp '2024-01-01', ts)//7 wk from events)"
