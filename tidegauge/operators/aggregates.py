@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordering import attach, exact_quantiles, same
+from tidegauge.session import settle
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column", value: str = "value") -> DataFrame:
@@ -150,6 +151,48 @@ def contribution(df: DataFrame, dims: Sequence[str], metric: Column, is_test: Co
         "difference": F.col("test") - F.col("control")}).drop("_s")
 
 
+def frequent_contribution(df: DataFrame, dims: Sequence[str], metric: Column, is_test: Column, support: float = 0.01) -> DataFrame:
+    """``contribution`` for the cells that hold at least the share ``support`` of the rows, with their row count ``n``; level by level instead of the cube.
+
+    Rows are counted per combination of all dimensions once. At each level a combination offers only those subsets of dimensions whose cells
+    one dimension smaller are all frequent for it, so a rare value costs nothing beyond the first level. Each subset has at most 1 / support
+    frequent cells, which bounds the list of a level that goes back to the combinations. ``grouping`` is Spark's and SQL's: the first dimension has the
+    highest bit, which is 1 where the dimension is summed over. A null value is a value like any other; an empty table has no cells.
+    """
+    dims = list(dims)
+    bit = {d: 1 << (len(dims) - 1 - i) for i, d in enumerate(dims)}
+    t = df.select(*dims, F.lit(1).cast("long").alias("_n"), F.when(is_test, metric).otherwise(0).alias("_t"), F.when(is_test, 0).otherwise(metric).alias("_c"))
+    base = settle(t.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ("_n", "_t", "_c")]), "combinations")
+    whole = settle(base.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "_t", "_c")]), "totals")
+
+    def cell(mask: int) -> Column:  # the mask's dimensions by name and value; nulls are kept
+        return F.to_json(F.struct(F.lit(mask).alias("_"), *[F.col(d) for d in dims if mask & bit[d]]), {"ignoreNullFields": "false"})
+
+    rows, out = base.withColumn("_alive", F.array(F.lit(0))), []
+    everything = whole.select(*[F.lit(None).cast(base.schema[d].dataType).alias(d) for d in dims], F.lit(0).alias("_mask"), "_n", "_t", "_c").where("_n > 0")
+    for k in range(1, len(dims) + 1):
+        offers = []
+        for chosen in combinations(dims, k):
+            mask = sum(bit[d] for d in chosen)
+            smaller = F.array(*[F.lit(mask ^ bit[d]) for d in chosen])
+            shown = F.struct(*[(F.col(d) if mask & bit[d] else F.lit(None).cast(base.schema[d].dataType)).alias(d) for d in dims], F.lit(mask).alias("_mask"), cell(mask).alias("_cell"))
+            offers.append(F.when(F.forall(smaller, lambda m: F.array_contains("_alive", m)), shown))
+        offered = rows.withColumn("_offers", F.array_compact(F.array(*offers)))
+        counted = offered.select(F.explode("_offers").alias("x"), "_n", "_t", "_c").groupBy(*[F.col(f"x.{c}").alias(c) for c in (*dims, "_mask", "_cell")]).agg(
+            *[F.sum(c).alias(c) for c in ("_n", "_t", "_c")])
+        level = settle(attach(counted, whole, "_all").where(F.col("_n") >= F.col("_all._n") * F.lit(support)).drop("_all"), "cells")
+        out.append(level.select(*dims, "_mask", "_n", "_t", "_c"))
+        found = level.agg(F.collect_list("_cell").alias("cells"))
+        alive = F.transform(F.filter("_offers", lambda x: F.array_contains("_found.cells", x["_cell"])), lambda x: x["_mask"])
+        rows = settle(attach(offered, found, "_found").withColumn("_alive", alive).where(F.size("_alive") > 0).select(*base.columns, "_alive"), "alive")
+    cells = everything
+    for level in out:
+        cells = cells.union(level)
+    return attach(cells, whole).select(
+        *dims, (F.lit((1 << len(dims)) - 1) - F.col("_mask")).cast("long").alias("grouping"), F.col("_n").alias("n"), F.col("_t").alias("test"), F.col("_c").alias("control"),
+        F.try_divide("_t", "_s._t").alias("test_share"), F.try_divide("_c", "_s._c").alias("control_share"), (F.col("_t") - F.col("_c")).alias("difference"))
+
+
 def with_total(df: DataFrame, item: str, aggs: Sequence[Column], label: str = "TOTAL") -> DataFrame:
     """Aggregates per item with a totals row."""
     return df.rollup(item).agg(F.grouping(item).alias("_g"), *aggs).withColumn(

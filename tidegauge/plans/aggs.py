@@ -149,6 +149,20 @@ def agg_16(spark, sf):
     return c.withColumns({x: rnd(x) for x in ("test_share", "control_share")})
 
 
+DIMS_16 = "l_returnflag,l_linestatus,l_linenumber,l_tax,l_discount"
+
+
+@query("agg_16_frequent", f"""with t as (select *, round(l_extendedprice*100)::BIGINT m, l_shipdate >= timestamp '1999-01-01' test from lineitem),
+ w as (select count(*) n, sum(m) filter (test) t, sum(m) filter (not test) c from t)
+ select {DIMS_16.replace("l_linenumber", "l_linenumber::DOUBLE l_linenumber")}, grouping_id({DIMS_16})::BIGINT as "grouping", count(*) n, sum(case when test then m else 0 end)::BIGINT test, sum(case when test then 0 else m end)::BIGINT control,
+ round(sum(case when test then m else 0 end)/any_value(w.t),6) test_share, round(sum(case when test then 0 else m end)/any_value(w.c),6) control_share,
+ (sum(case when test then m else 0 end)-sum(case when test then 0 else m end))::BIGINT difference from t, w group by cube({DIMS_16}) having count(*) >= 0.02::DOUBLE*any_value(w.n)""")
+def agg_16_frequent(spark, sf):
+    """Contribution over five dimensions, cells of at least two in a hundred rows only."""
+    c = A.frequent_contribution(table(spark, sf, "lineitem"), DIMS_16.split(","), F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"), 0.02)
+    return c.select(*[F.col(d).cast("double").alias(d) if d == "l_linenumber" else d for d in DIMS_16.split(",")], "grouping", "n", "test", "control", rnd("test_share").alias("test_share"), rnd("control_share").alias("control_share"), "difference")
+
+
 @query("agg_17", """select coalesce(p_brand,'TOTAL') p_brand, count(*) parts, sum(p_size)::BIGINT sizes, max(p_retailprice) top_price from part group by rollup(p_brand)""")
 def agg_17(spark, sf):
     return A.with_total(table(spark, sf, "part"), "p_brand", [F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("sizes"), F.max("p_retailprice").alias("top_price")])
