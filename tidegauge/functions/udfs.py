@@ -5,8 +5,10 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def register_linear(spark: SparkSession, name: str, intercept: float, coefficients: Sequence[float]) -> None:
@@ -29,6 +31,34 @@ def score_query(spark: SparkSession, model: PipelineModel, sql: str, label: str)
     return model.transform(df).select(*df.columns, f"predicted_{label}")
 
 
+def register_table_scorer(spark: SparkSession, name: str, intercept: float, coefficients: Mapping[str, float], label: str) -> None:
+    """Register the table function ``name(TABLE(query))`` for SQL: the query's columns and ``predicted_<label>`` of a linear model.
+
+    The output schema follows from the query (``analyze``); a query that lacks a feature column, or has the predicted one, is refused before it runs. Rows
+    are scored where they lie. A null feature gives a null prediction. Functions with a schema of their own take row after row:
+    ``score_query`` is the faster way where the query need not stand inside other SQL.
+    """
+    weights, start, out = dict(coefficients), float(intercept), f"predicted_{label}"
+
+    class Score:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError(f"{name} takes TABLE(query)")
+            fields = rows.dataType.fieldNames()
+            if lacking := [c for c in weights if c not in fields]:
+                raise ValueError(f"{name}: the query has no column {', '.join(lacking)}")
+            if out in fields:
+                raise ValueError(f"{name}: the query already has a column {out}")
+            return AnalyzeResult(schema=StructType([*rows.dataType.fields, StructField(out, DoubleType())]))
+
+        def eval(self, row: Row):
+            values = [row[c] for c in weights]
+            yield *row, None if None in values else start + sum(w * float(v) for w, v in zip(weights.values(), values))
+
+    spark.udtf.register(name, F.udtf(Score))
+
+
 def apply_policies(df: DataFrame, which: str, policies: Mapping[str, Callable[[pd.DataFrame], pd.Series]], name: str = "action") -> DataFrame:
     """Let a pluggable policy choose an action for each observation row.
 

@@ -95,6 +95,15 @@ def udf_2(spark, sf):
     return out.select(*LI_KEYS, "l_quantity", rnd("predicted_l_extendedprice", 3).alias("predicted"))
 
 
+@query("udf_2_table", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(a+b*l_quantity,3) predicted from lineitem, {LINE}")
+def udf_2_table(spark, sf):
+    """The same scores by a table function that takes any query."""
+    m = M.linear(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
+    U.register_table_scorer(spark, "tg_score_lines", m.intercept, {"l_quantity": float(m.coefficients[0])}, "price")
+    table(spark, sf, "lineitem").createOrReplaceTempView("tg_lines")
+    return spark.sql(f"SELECT {', '.join(LI_KEYS)}, l_quantity, round(predicted_price, 3) + 0D AS predicted FROM tg_score_lines(TABLE(SELECT {', '.join(LI_KEYS)}, l_quantity FROM tg_lines))")
+
+
 @query("udf_3", "select event_type, case when event_type='click' then case when value>50 then 'bid' else 'pass' end when event_type='view' then 'pass' end as action, count(*) n from events group by 1,2")
 def udf_3(spark, sf):
     policies = {"click": lambda d: d["value"].gt(50).map({True: "bid", False: "pass"}), "view": lambda d: d["value"].map(lambda _: "pass")}
