@@ -49,19 +49,52 @@ def _pack(df: DataFrame, key: str, vec: str, group: Column) -> DataFrame:
     return cols.mapInPandas(run, "g string, ids array<long>, mat array<double>")
 
 
+def block_best(ids, mat, qids, qmat, k: int, metric: str, exclude_self: bool) -> Iterator[pd.DataFrame]:
+    """The k best of one corpus block for each query of one query block, as (query_id, key, score)."""
+    ids, qids = np.asarray(ids), np.asarray(qids)
+    cm = np.asarray(mat).reshape(len(ids), -1)
+    qm = np.asarray(qmat).reshape(len(qids), -1)
+
+    def scaled(m):
+        length = np.linalg.norm(m, axis=1)
+        return m / np.where(length > 0, length, 1.0)[:, None]
+
+    if metric == "cosine":
+        cm, qm = scaled(cm), scaled(qm)
+    c2 = (cm * cm).sum(axis=1)
+    for lo in range(0, len(qids), 256):
+        part = qm[lo:lo + 256]
+        s = part @ cm.T
+        if metric == "euclid":
+            s = -np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + c2[None, :] - 2 * s, 0.0))
+        want = min(len(ids), k + 1 if exclude_self else k)
+        # all scores at or above the k-th best, so that ties are settled by key below
+        cut = np.partition(s, s.shape[1] - want, axis=1)[:, s.shape[1] - want]
+        qi, ci = np.nonzero(s >= cut[:, None] - 1e-12)
+        out = pd.DataFrame({"query_id": qids[lo + qi], "key": ids[ci], "score": s[qi, ci]})
+        if exclude_self:
+            out = out[out["query_id"] != out["key"]]
+        out = out.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
+        yield out.groupby("query_id", sort=False).head(k)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, metric: str = "cosine",
           exclude_self: bool = False, by: str | None = None) -> DataFrame:
     """Exact top-k per query: (query_id, key, score, rank), ties to the smaller key.
 
-    ``metric`` is ``cosine`` (larger is nearer) or ``euclid`` (score is minus the distance); ``by`` restricts
-    the search to the query's own group. Queries are packed into blocks of bounded size and each corpus
-    batch meets each block once, as a matrix product that keeps only its own k best per query. What is
-    shuffled is k rows per query and batch, never a row per pair.
+    ``metric`` is ``cosine`` (larger is nearer) or ``euclid`` (score is minus the distance). The whole corpus is searched through the cells of a
+    metric tree (``metric_tree``, which runs jobs when called). ``by`` restricts the search to the query's own group instead: queries are packed
+    into blocks of bounded size and each corpus batch of the group meets each block once, as a matrix product that keeps only its own k best
+    per query. What is shuffled is k rows per query and batch, never a row per pair.
     """
     for side in (queries, corpus):
         if not isinstance(side.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             raise TypeError(f"top_k needs an integer key, not {side.schema[key].dataType.simpleString()}")
-    group = F.col(by) if by else F.lit("all")
+    if by is None:
+        from tidegauge.operators.metric_tree import MetricIndex
+
+        return MetricIndex(corpus, key, vec, metric).top_k(queries, k, exclude_self)
+    group = F.col(by)
     q = queries.select(group.cast("string").alias("g"), F.col(key).cast("long").alias("qid"), F.col(vec).alias("qv"))
     # about QUERY_BLOCK queries of a group meet in one row, also when one group owns them all
     blocks = q.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("n"))
@@ -74,33 +107,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, met
     cb = _pack(corpus, key, vec, group).join(blocks, "g").select(
         "g", "ids", "mat", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("blk"))
 
-    def scaled(m):
-        length = np.linalg.norm(m, axis=1)
-        return m / np.where(length > 0, length, 1.0)[:, None]
-
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                ids, qids = np.asarray(r.ids), np.asarray(r.qids)
-                cm = np.asarray(r.mat).reshape(len(ids), -1)
-                qm = np.asarray(r.qmat).reshape(len(qids), -1)
-                if metric == "cosine":
-                    cm, qm = scaled(cm), scaled(qm)
-                c2 = (cm * cm).sum(axis=1)
-                for lo in range(0, len(qids), 256):
-                    part = qm[lo:lo + 256]
-                    s = part @ cm.T
-                    if metric == "euclid":
-                        s = -np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + c2[None, :] - 2 * s, 0.0))
-                    want = min(len(ids), k + 1 if exclude_self else k)
-                    # all scores at or above the k-th best, so that ties are settled by key below
-                    cut = np.partition(s, s.shape[1] - want, axis=1)[:, s.shape[1] - want]
-                    qi, ci = np.nonzero(s >= cut[:, None] - 1e-12)
-                    out = pd.DataFrame({"query_id": qids[lo + qi], "key": ids[ci], "score": s[qi, ci]})
-                    if exclude_self:
-                        out = out[out["query_id"] != out["key"]]
-                    out = out.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
-                    yield out.groupby("query_id", sort=False).head(k)
+                yield from block_best(r.ids, r.mat, r.qids, r.qmat, k, metric, exclude_self)
 
     hits = cb.join(qb, ["g", "blk", "salt"]).select("ids", "mat", "qids", "qmat").mapInPandas(best, "query_id long, key long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
