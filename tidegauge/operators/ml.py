@@ -18,7 +18,6 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.hashing import unit_hash
 from tidegauge.functions.scalar import logit, sigmoid
 from tidegauge.operators.features import impute
 from tidegauge.operators.ordering import attach, bucket_target, carry_last, order_buckets
@@ -446,26 +445,4 @@ def filter_curve(df: DataFrame, key: str, features: Sequence[str], label: str, m
     return df.sparkSession.createDataFrame(rows, "k int, fold int, accuracy double").groupBy("k").agg(F.avg("accuracy").alias("mean_score"))
 
 
-def selection_leak(df: DataFrame, key: str, label: str, make: Callable, noise: int = 500, k: int = 20, repeats: int = 20, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Accuracy on pure noise when features are chosen on all rows, and when inside each training fold; noise drawn anew each repeat."""
-    names, rows = [f"noise_{i}" for i in range(noise)], []
-    parts = settle(stratified_folds(df.select(key, label), key, label, folds), "noise-folds")
-    best = lambda t: [r["feature"] for r in anova_f(t, label, names).orderBy(F.desc("f"), "feature").limit(k).collect()]
-    for r in range(repeats):
-        d = settle(parts.withColumns({n: unit_hash(key, seed=seed + r * noise + i) for i, n in enumerate(names)}), "noise")
-        outside = best(d)
-
-        def fold(i: int, d=d, outside=outside, r=r) -> list[tuple]:
-            train, test = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-            got = []
-            for how, chosen in (("selected on all rows", outside), ("selected inside the fold", best(train))):
-                m = make().setLabelCol(label).setFeaturesCol("features").fit(assembled(train, chosen))
-                hit = scored(m, test, chosen, None).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-                got.append((how, r, i, float(hit)))
-            return got
-
-        rows += [x for part in fit_all([lambda i=i: fold(i) for i in range(folds)]) for x in part]
-    return df.sparkSession.createDataFrame(rows, "selection string, repeat int, fold int, accuracy double")
-
-
 __all__ = ["ALS", "DecisionTreeClassifier", "GBTClassifier", "GBTRegressor", "OneVsRest", "PCA", "RandomForestClassifier", "RandomForestRegressor"]

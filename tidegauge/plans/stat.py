@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import POISSON_TOP
 from tidegauge.operators import stats as S
+from tidegauge.operators.unit_root import augmented_dickey_fuller
 from tidegauge.plans.common import DAILY, LI_KEYS, MONTHLY, daily, monthly, u_sql
 from tidegauge.plans.registry import query, rnd, table
 
@@ -221,6 +222,13 @@ def stat_19(spark, sf):
     return out.select("series", "n", rnd("stat", 5).alias("stat"), "stationary")
 
 
+@query("stat_19_aic")
+def stat_19_aic(spark, sf):
+    """Lag order by information criterion, the statistic at that order, and its tail probability."""
+    out = augmented_dickey_fuller(monthly(table(spark, sf, "orders")), "series", "m", "y")
+    return out.select("series", "n", "lags", rnd("stat", 5).alias("stat"), rnd("p").alias("p"), "stationary")
+
+
 @query("stat_20", f"""with p as (select value x, row_number() over (order by {u_sql('event_id')}, event_id) pos from events),
  m as (select size, (pos-1)//size s, avg(x) m, count(*) c from p, (select unnest([10,30,100]) size) group by 1,2 having c=size)
  select size, count(*) samples, round(avg(m),6) mean, round(stddev_samp(m),6) sd, round((select stddev_pop(value) from events)/sqrt(size),6) expected_se from m group by 1""")
