@@ -11,6 +11,7 @@ from tidegauge.plans.models import LINE, sql_model
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.stat import PSI
 from tidegauge.session import scratch, settle
+from tidegauge.streaming import expiry as X
 from tidegauge.streaming import streams as S
 
 
@@ -38,14 +39,27 @@ def str_2(spark, sf):
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n", rnd("rate").alias("rate"))
 
 
-@query("str_3", """with l as (select user_id, event_id, value, ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1)
- select user_id, event_id, value from l where ts >= (select max(ts) from events) - interval 3 hours""")
+FRESH = """with l as (select user_id, event_id, value, ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1)
+ select user_id, event_id, value from l where ts >= (select max(ts) from events) - interval 3 hours"""
+
+
+@query("str_3", FRESH)
 def str_3(spark, sf):
     """The newest event of each user, served for three hours."""
     s = S.latest_values(events_stream(spark, sf), "ts", "user_id", ["ts", "event_id"], ["event_id", "value"], "3 hours", "40 days")
     return S.unexpired(S.drain_to_table(s, "update", "fast-features"), "ts", "user_id", ["ts", "event_id"], ["event_id", "value"], "3 hours")
 
 
+@query("str_3_ttl", FRESH)
+def str_3_ttl(spark, sf):
+    """The same by keyed state: a timer ends a user's value three hours after it, whether or not the user sends another."""
+    columns = ["event_id", "value"]
+    s = X.expiring_values(events_stream(spark, sf), "ts", "user_id", ["ts", "event_id"], columns, 3 * 3600, "40 days")
+    with X.rocks_state(spark):
+        changes = S.drain_to_table(s, "update", "expiring-features")
+    return X.current_values(changes, "user_id", columns, 3 * 3600)
+
+
 @query("str_4", "select event_id, user_id, value from events where value > 0.05")
 def str_4(spark, sf):
     """The same events arrive twice, one delivery after the other; the store ends with each valid one once."""
