@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import POISSON_TOP
 from tidegauge.operators import stats as S
+from tidegauge.operators.neighbour_mi import neighbour_information
 from tidegauge.operators.unit_root import augmented_dickey_fuller
 from tidegauge.plans.common import DAILY, LI_KEYS, MONTHLY, daily, monthly, u_sql
 from tidegauge.plans.registry import query, rnd, table
@@ -191,6 +192,12 @@ def stat_16(spark, sf):
     return S.mutual_information(table(spark, sf, "lineitem"), "l_returnflag", FEATS).withColumn("mi", rnd("mi"))
 
 
+@query("stat_16_near")
+def stat_16_near(spark, sf):
+    """The same by distances to the third nearest line of the class."""
+    return neighbour_information(table(spark, sf, "lineitem"), LI_KEYS, "l_returnflag", FEATS).withColumn("mi", rnd("mi"))
+
+
 ACF = f"""(with c as (select series, m, y-avg(y) over (partition by series) c from {MONTHLY}), i as (select *, row_number() over (partition by series order by m) i, count(*) over (partition by series) n from c),
  d as (select series, sum(c*c) d from i group by 1)
  select a.series, (b.i-a.i)::INT as lag, any_value(a.n) n, sum(a.c*b.c)/any_value(d) acf from i a join i b on a.series=b.series and b.i between a.i+1 and a.i+36 join d on d.series=a.series group by 1,2)"""
