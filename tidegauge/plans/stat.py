@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import POISSON_TOP
 from tidegauge.operators import stats as S
+from tidegauge.operators.convergence import convergence
 from tidegauge.operators.neighbour_mi import neighbour_information
 from tidegauge.operators.unit_root import augmented_dickey_fuller
 from tidegauge.plans.common import DAILY, LI_KEYS, MONTHLY, daily, monthly, u_sql
@@ -273,6 +274,14 @@ def stat_23(spark, sf):
     return s.select("param", "draws", *[rnd(c).alias(c) for c in ("mean", "median", "low", "high", "rhat")], rnd("ess", 3).alias("ess"))
 
 
+@query("stat_23_rank")
+def stat_23_rank(spark, sf):
+    """The summary that samplers report: split chains, rank-normalised R-hat, bulk and tail sizes, shortest interval."""
+    d = table(spark, sf, "events").select(F.col("event_type").alias("param"), (F.col("user_id") % 4).alias("chain"), "event_id", "value")
+    c = convergence(d, "param", "chain", "event_id", "value")
+    return c.select("param", "draws", *[rnd(x).alias(x) for x in ("mean", "sd", "hdi_low", "hdi_high", "mcse_mean", "rhat")], rnd("ess_bulk", 3).alias("ess_bulk"), rnd("ess_tail", 3).alias("ess_tail"))
+
+
 @query("stat_24", f"""with p as (select *, lag(y) over (partition by series order by d) prev from {DAILY}), q as (select * from p where prev is not null),
  f as (select series, slope, intercept, stderr, stderr*sqrt(sxx) sigma from (select series, slope, intercept, stderr, (select regr_sxx(y,prev) from q where q.series=o.series) sxx from {ols_sql('q', 'y', 'prev', 'series')} o)),
  s as (select q.series, strftime(q.d,'%Y-%m-%d') d, y, intercept + (slope+stderr*(sqrt(-2*ln(greatest({u_sql('q.series', 'draw', seed=7)},1e-12::DOUBLE)))*cos(2*pi()*{u_sql('q.series', 'draw', seed=8)})))*prev + sigma*(sqrt(-2*ln(greatest({u_sql('q.series', "strftime(q.d,'%Y-%m-%d')", 'draw', seed=11)},1e-12::DOUBLE)))*cos(2*pi()*{u_sql('q.series', "strftime(q.d,'%Y-%m-%d')", 'draw', seed=12)})) s from q join f using (series), range(1,101) r(draw))
