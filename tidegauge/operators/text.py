@@ -1,6 +1,8 @@
 """Text operators: chunks, n-grams, byte-pair merges, field extraction."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,37 +117,54 @@ SEPARATOR = r"^-{5,}$"
 ITEM_HEADER = "Description Qty Unit Price Amount"
 
 
-def document_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Trimmed non-empty lines with their number and the in-table flag (between odd and even separators)."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & (s != ITEM_HEADER))
-    rows = df.select(key, F.explode(F.array(lines)).alias("_l"))  # a generator keeps the array from being pasted into each use
-    marks = F.array_compact(F.transform("_l", lambda s, i: F.when(s.rlike(SEPARATOR), i)))
-    rows = rows.select(key, marks.alias("_marks"), F.posexplode("_l").alias("line_no", "line"))
-    before = F.size(F.filter("_marks", lambda i: i < F.col("line_no")))
-    return rows.where(~F.col("line").rlike(SEPARATOR)).select(key, "line_no", "line", (before % 2 == 1).alias("in_items"))
+def literal_start(pattern: str) -> str:
+    """The plain text that every match of a pattern anchored at the start begins with (empty if none): a cheap test before the expression."""
+    found = re.match(r"\^([A-Za-z0-9 :]+)([?*{|]?)", pattern)
+    if found is None or "|" in pattern:
+        return ""
+    return found[1][:-1] if found[2] else found[1]
 
 
-def extract_fields(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(header row per document with an error list, item rows). Required: all fields, two leading lines, an item."""
-    lines = document_lines(df, key, text)
-    body = ~F.col("in_items")
-    cols = [F.max(F.when(body & (F.col("line_no") == i), F.col("line"))).alias(n) for i, n in enumerate(("vendor_name", "vendor_address"))]
+def parse_documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per document: header fields, ``items``, ``n_items``, ``bad_items`` and ``errors``. Required: all fields, two leading lines, an item.
+
+    Lines are trimmed, empty ones and the column header left out; those between an odd and the next even separator are items, a field is the last
+    line outside with its label. All stays in the document's row: no line is shuffled. A null or empty text lacks everything.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & (s != ITEM_HEADER))
+    # one-element generators keep an array from being pasted into each use
+    rows = df.select(key, F.explode(F.array(lines)).alias("_l"))
+    rows = rows.select(key, "_l", F.explode(F.array(F.array_compact(F.transform("_l", lambda s, i: F.when(s.rlike(SEPARATOR), i))))).alias("_marks"))
+    numbered = F.transform("_l", lambda s, i: F.struct(i.alias("no"), s.alias("s"), F.size(F.filter("_marks", lambda m: m < i)).alias("before")))
+    rows = rows.select(key, F.explode(F.array(F.filter(numbered, lambda x: ~F.array_contains("_marks", x["no"])))).alias("_n"))
+    inside = F.filter("_n", lambda x: x["before"] % 2 == 1)
+    good = F.filter(inside, lambda x: x["s"].rlike(ITEM))
+    # one match gives all groups: the numbers first, then the description, which may hold anything
+    groups = F.transform(good, lambda x: F.struct(x["no"].alias("no"), F.split(F.regexp_replace(x["s"], ITEM, "$2 $3 $4 $1"), " ", 4).alias("g")))
+    amount = lambda x, i: F.replace(x["g"][i], F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    item = lambda x: F.struct(x["no"].alias("line_no"), x["g"][3].alias("description"), x["g"][0].try_cast("int").alias("quantity"),
+                              amount(x, 1).alias("unit_price"), amount(x, 2).alias("amount"))
+    both = F.struct(F.filter("_n", lambda x: x["before"] % 2 == 0).alias("outside"), F.size(inside).alias("n_inside"), F.transform(groups, item).alias("items"))
+    rows = rows.select(key, F.explode(F.array(both)).alias("_d"))
+    last = lambda hit: F.try_element_at(F.filter("_d.outside", hit), F.lit(-1))["s"]
+    numbered_as = lambda i: lambda x: x["no"] == i
+    like = lambda pattern: lambda x: x["s"].startswith(literal_start(pattern)) & x["s"].rlike(pattern)
+    cols = [last(numbered_as(i)).alias(n) for i, n in enumerate(("vendor_name", "vendor_address"))]
     money = ("subtotal", "tax", "total")
     for name, pattern in FIELDS.items():
-        hit = F.regexp_extract("line", pattern, 1)
-        value = F.trim(hit) if name not in money else F.regexp_replace(hit, ",", "")
-        cols.append(F.max_by(F.when(body & F.col("line").rlike(pattern), value), F.when(body & F.col("line").rlike(pattern), F.col("line_no"))).alias(name))
-    bad_item = F.col("in_items") & ~F.col("line").rlike(ITEM)
-    head = lines.groupBy(key).agg(*cols, F.count_if(F.col("in_items") & F.col("line").rlike(ITEM)).alias("n_items"), F.count_if(bad_item).alias("bad_items"))
+        value = F.regexp_extract(last(like(pattern)), pattern, 1)
+        cols.append((F.regexp_replace(value, ",", "") if name in money else F.trim(value)).alias(name))
+    head = rows.select(key, *cols, F.col("_d.items").alias("items"), F.size("_d.items").alias("n_items"), (F.col("_d.n_inside") - F.size("_d.items")).alias("bad_items"))
     required = ["vendor_name", "vendor_address", *FIELDS]
     errors = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required],
                                      F.when(F.col("n_items") == 0, F.lit("missing line_items")), F.when(F.col("bad_items") > 0, F.lit("unreadable line item"))))
-    head = head.withColumn("errors", errors).withColumns({c: F.col(c).try_cast("decimal(18,2)") for c in money})
-    part = lambda i: F.regexp_extract("line", ITEM, i)
-    items = lines.where(F.col("in_items") & F.col("line").rlike(ITEM)).select(
-        key, "line_no", part(1).alias("description"), part(2).cast("int").alias("quantity"),
-        F.regexp_replace(part(3), ",", "").cast("decimal(18,2)").alias("unit_price"), F.regexp_replace(part(4), ",", "").cast("decimal(18,2)").alias("amount"))
-    return head, items
+    return head.withColumn("errors", errors).withColumns({c: F.col(c).try_cast("decimal(18,2)") for c in money})
+
+
+def extract_fields(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(header row per document with an error list, item rows) of ``parse_documents``."""
+    parsed = parse_documents(df, key, text)
+    return parsed.drop("items"), parsed.select(key, F.inline("items"))
 
 
 def report_lines(statements: DataFrame, outcome: DataFrame, tally: DataFrame, debate: str, speaker: str, round_no: str, turn: str,
