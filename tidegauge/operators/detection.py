@@ -1,16 +1,21 @@
 """Box matching and suppression. Candidate pairs come from shared grid cells, not from pairing all boxes of
-an image; the greedy order is resolved in rounds, so an image with very many boxes is never one task."""
+an image. The greedy order of an image is one ordered stream of its pairs; an image with more pairs than a task should
+take is cut into the components of its overlaps, and a component still larger is resolved in rounds."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import iou
+from tidegauge.operators.components import connected
 from tidegauge.operators.ordering import running_sums
 from tidegauge.session import settle
 
+UNIT = 1_000_000  # pairs that one task may take in order; more go another way to the same result
+
 
 def _cells(box: Column, size: float) -> Column:
     span = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
@@ -30,27 +35,77 @@ def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) ->
     return j.where(home).withColumn("iou", iou(F.col("a_box"), F.col("b_box"))).where("iou > 0").drop("cx", "cy", "a_box", "b_box")
 
 
-def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thresholds: Sequence[float], cell: float = 50.0) -> DataFrame:
-    """(id, score, keys, thr, tp): detections in descending score claim their best unclaimed truth.
-
-    Claims never cross images or classes. In each round every open detection points to its best open
-    truth; where no open detection with a higher score could still want that truth, the claim is final.
-    The outcome equals the sequential pass. ``preds`` and ``truths`` have id, box (and score).
-    """
-    t = truths.withColumn("score", F.lit(0.0)) if "score" not in truths.columns else truths
-    pairs = overlapping(preds, t, keys, cell)
+def units(pairs: DataFrame, keys: Sequence[str], unit: int, bipartite: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``pairs`` of images with at most ``unit`` pairs; of components (column ``_c``) of larger images; of larger components."""
+    large = settle(pairs.groupBy(*keys).count().where(F.col("count") > unit).select(*keys), "crowded")
+    if large.isEmpty():
+        return pairs, None, None
+    crowd = settle(pairs.join(large, [*keys], "left_semi"), "crowd")
+    a, b = F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")), F.struct(F.lit(int(bipartite)).alias("side"), F.col("b_id").alias("id"))
+    label = connected(crowd.select(a.alias("u"), b.alias("v"))).where("v.side = 0").select(F.col("v.id").alias("a_id"), F.col("c").alias("_c"))
+    crowd = settle(crowd.join(label, "a_id"), "crowd")
+    giants = crowd.groupBy("_c").count().where(F.col("count") > unit).select("_c")
+    return pairs.join(large, [*keys], "left_anti"), crowd.join(giants, "_c", "left_anti"), crowd.join(giants, "_c", "left_semi").drop("_c")
+
+
+def _types(df: DataFrame, *names: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"{n} {kinds[n]}" for n in names)
+
+
+def _claims_in_order(pairs: DataFrame, by: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """(thr, a_id, b_id): one pass over each unit by falling score, then falling overlap; a task holds what the present unit claimed."""
+    by, levels = list(by), [float(x) for x in thresholds]
+
+    def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, taken = None, set()
+        for pdf in batches:
+            out = []
+            for *key, a, b, x in zip(*[pdf[k] for k in by], pdf["a_id"], pdf["b_id"], pdf["iou"]):
+                if key != unit:
+                    unit, taken = key, set()
+                for thr in levels:
+                    if x >= thr and (thr, 0, a) not in taken and (thr, 1, b) not in taken:
+                        taken.update([(thr, 0, a), (thr, 1, b)])
+                        out.append((thr, a, b))
+            yield pd.DataFrame(out, columns=["thr", "a_id", "b_id"])
+
+    order = [*by, F.desc("a_score"), "a_id", F.desc("iou"), "b_id"]
+    rows = pairs.repartition(*by).sortWithinPartitions(*order).select(*by, "a_id", "b_id", "iou")
+    return rows.mapInPandas(claim, "thr double, " + _types(pairs, "a_id", "b_id"))
+
+
+def _claims_in_rounds(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame | None:
+    """The same without an order over all pairs: where no open detection with a higher score could still want a truth, the claim is final."""
     thr = F.explode(F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda x: x <= F.col("iou")))
-    open_ = settle(pairs.withColumn("thr", thr).select(*keys, "thr", "a_id", "a_score", "b_id", "iou"), "candidates")
+    open_ = settle(pairs.withColumn("thr", thr).select("thr", "a_id", "a_score", "b_id", "iou"), "candidates")
     claims = None
     while not open_.isEmpty():
         best = open_.groupBy("thr", "a_id").agg(F.min_by("b_id", F.struct(-F.col("iou"), "b_id")).alias("b_id"))
         first = open_.groupBy("thr", "b_id").agg(F.min_by("a_id", F.struct(-F.col("a_score"), "a_id")).alias("a_id"))
-        won = settle(best.join(first, ["thr", "a_id", "b_id"]), "claims")
+        won = settle(best.join(first, ["thr", "a_id", "b_id"]).select("thr", "a_id", "b_id"), "claims")
         claims = won if claims is None else claims.unionByName(won)
         open_ = settle(open_.join(won.select("thr", "a_id"), ["thr", "a_id"], "left_anti").join(won.select("thr", "b_id"), ["thr", "b_id"], "left_anti"), "candidates")
+    return claims
+
+
+def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thresholds: Sequence[float], cell: float = 50.0, unit: int = UNIT) -> DataFrame:
+    """(id, score, keys, thr, tp): detections in descending score claim their best unclaimed truth.
+
+    Claims never cross images or classes. The outcome equals the sequential pass whatever ``unit`` is. ``preds`` and ``truths`` have id, box
+    (and score); ids are unique over all images. Equal scores and overlaps go to the smaller id.
+    """
+    keys = list(keys)
+    t = truths.withColumn("score", F.lit(0.0)) if "score" not in truths.columns else truths
+    pairs = overlapping(preds, t, keys, cell).where(F.col("iou") >= float(min(thresholds)))
+    pairs = settle(pairs.select(*keys, "a_id", "a_score", "b_id", "iou"), "candidates")
+    small, parts, giants = units(pairs, keys, unit, bipartite=True)
+    claims = _claims_in_order(small, keys, thresholds)
+    if parts is not None:
+        claims = claims.unionByName(_claims_in_order(parts, ["_c"], thresholds))
+        more = _claims_in_rounds(giants, thresholds)
+        claims = claims if more is None else claims.unionByName(more)
     grid = preds.select("id", "score", *keys, F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("thr"))
-    if claims is None:
-        return grid.withColumn("tp", F.lit(0).cast("long"))
     hit = claims.select("thr", F.col("a_id").alias("id"), F.lit(1).cast("long").alias("tp"))
     return grid.join(hit, ["thr", "id"], "left").na.fill(0, ["tp"])
 
@@ -75,21 +130,49 @@ def mean_average_precision(ap: DataFrame, cls: str) -> DataFrame:
     return ap.agg(F.avg(F.when(F.abs(F.col("thr") - 0.5) < 1e-9, F.col("ap"))).alias("map_50"), F.avg("ap").alias("map"), F.avg("ar").alias("mar"))
 
 
-def suppress(preds: DataFrame, keys: Sequence[str], score_threshold: float, iou_threshold: float, cell: float = 50.0) -> DataFrame:
-    """Score filter, then non-maximum suppression per image.
+def _lost_in_order(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(id): one pass over each unit by falling score of the worse box, whose better ones are then settled; a task holds the unit's lost boxes."""
+    by = list(by)
 
-    In each round a box without an open better neighbour is kept, and boxes that overlap a kept one are
-    dropped; the outcome equals the sequential pass in descending score.
-    """
-    p = settle(preds.where(F.col("score") >= score_threshold), "boxes")
-    pairs = overlapping(p, p, keys, cell).where((F.col("iou") > iou_threshold) & ((F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_id") < F.col("b_id")))))
-    edges = settle(pairs.select(F.col("a_id").alias("better"), F.col("b_id").alias("worse")), "edges")
+    def lose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, lost = None, set()
+        for pdf in batches:
+            out = []
+            for *key, better, worse in zip(*[pdf[k] for k in by], pdf["a_id"], pdf["b_id"]):
+                if key != unit:
+                    unit, lost = key, set()
+                if better not in lost and worse not in lost:
+                    lost.add(worse)
+                    out.append(worse)
+            yield pd.DataFrame({"id": out})
+
+    rows = edges.repartition(*by).sortWithinPartitions(*by, F.desc("b_score"), "b_id").select(*by, "a_id", "b_id")
+    return rows.mapInPandas(lose, _types(edges.withColumnRenamed("a_id", "id"), "id"))
+
+
+def _lost_in_rounds(edges: DataFrame) -> DataFrame | None:
+    """The same in rounds: a box without an open better neighbour is kept, and boxes that overlap a kept one are lost."""
+    edges = settle(edges.select(F.col("a_id").alias("better"), F.col("b_id").alias("worse")), "edges")
     gone = None
     while not edges.isEmpty():
         kept = edges.select(F.col("better").alias("id")).distinct().join(edges.select(F.col("worse").alias("id")), "id", "left_anti")
         lost = settle(edges.join(kept.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "lost")
         gone = lost if gone is None else gone.unionByName(lost)
         left = edges.join(lost.withColumnRenamed("id", "worse"), "worse", "left_anti")
-        left = left.join(lost.withColumnRenamed("id", "better"), "better", "left_anti")
-        edges = settle(left, "edges")
-    return p if gone is None else p.join(gone, "id", "left_anti")
+        edges = settle(left.join(lost.withColumnRenamed("id", "better"), "better", "left_anti"), "edges")
+    return gone
+
+
+def suppress(preds: DataFrame, keys: Sequence[str], score_threshold: float, iou_threshold: float, cell: float = 50.0, unit: int = UNIT) -> DataFrame:
+    """Score filter, then non-maximum suppression per image; the outcome equals the sequential pass in descending score whatever ``unit`` is."""
+    keys = list(keys)
+    p = settle(preds.where(F.col("score") >= score_threshold), "boxes")
+    better = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_id") < F.col("b_id")))
+    pairs = settle(overlapping(p, p, keys, cell).where((F.col("iou") > iou_threshold) & better).select(*keys, "a_id", "b_id", "b_score"), "edges")
+    small, parts, giants = units(pairs, keys, unit, bipartite=False)
+    gone = _lost_in_order(small, keys)
+    if parts is not None:
+        gone = gone.unionByName(_lost_in_order(parts, ["_c"]))
+        more = _lost_in_rounds(giants)
+        gone = gone if more is None else gone.unionByName(more)
+    return p.join(gone, "id", "left_anti")
