@@ -30,9 +30,12 @@ def txt_2(spark, sf):
 
 @query("txt_3")
 def txt_3(spark, sf):
+    """Cells by the size of the table; as many are probed as 200 sampled queries need for 95 % of their exact neighbours."""
     e = table(spark, sf, "embeddings")
-    model, indexed = IVF.build_cells(e, "vec_id", "embedding", 10, scratch(spark, "cells"))
-    approx = IVF.probe(model, e, indexed, "vec_id", "embedding", 10, 3, exclude_self=True)
+    model, indexed = IVF.build_cells(e, "vec_id", "embedding", None, scratch(spark, "cells"))
+    sample = settle(e.orderBy(F.xxhash64("vec_id")).limit(200), "sampled-queries")
+    nprobe = IVF.probes_for(model, sample, e, indexed, "vec_id", "embedding", 10, 0.95, exclude_self=True)
+    approx = IVF.probe(model, e, indexed, "vec_id", "embedding", 10, nprobe, exclude_self=True)
     exact = top_k_cosine(e, e, "vec_id", "embedding", 10, exclude_self=True)
     return IVF.recall_against(exact, approx, "vec_id").select("query_id", rnd("recall").alias("recall"))
 
