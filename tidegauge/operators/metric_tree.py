@@ -6,14 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.vectors import block_best
+from tidegauge.operators.vectors import corpus_blocks, inverted, query_blocks, ranked, search_blocks
 from tidegauge.session import settle
 
 PIVOT_BYTES = 32 << 20  # what the pivots of a broadcast tree may take; fewer pivots make larger cells, never other results
-BLOCK_BYTES = 1 << 20  # vectors of one cell, or queries that visit it, in one row
 
 
 def points(mat: np.ndarray, metric: str, side: int) -> np.ndarray:
@@ -44,7 +43,9 @@ class Tree:
         self.leaf = np.unique(pivots, axis=0)
         n = len(self.leaf)
         self.top = self.leaf[np.sort(np.random.default_rng(seed).permutation(n)[:math.ceil(math.sqrt(n))])]
-        self.above = distances(self.leaf, self.top).argmin(1)
+        above = distances(self.leaf, self.top).argmin(1)
+        order = above.argsort(kind="stable")  # leaves under one top get neighbouring numbers, so that rows in leaf order lie together
+        self.leaf, self.above = self.leaf[order], above[order]
         self.under = [np.flatnonzero(self.above == t) for t in range(len(self.top))]
         self.count, self.radius, self.reach = np.zeros(n, np.int64), np.full(n, -np.inf), np.full(len(self.top), -np.inf)
 
@@ -96,10 +97,11 @@ class Tree:
 class MetricIndex:
     """A corpus in the cells of a metric tree; ``top_k`` gives the same rows as comparing all pairs.
 
-    Pivots are a hashed sample, about the square root of the rows and at most ``PIVOT_BYTES``; a row with a null key or vector takes no part. Cells of
-    any size are cut into chunks of ``BLOCK_BYTES``, so that a hot cell is many rows. A query is first compared with the cells around it, which gives a
-    k-th score; then it goes to the cells whose bound can beat or equal that score. In the worst case (no structure) these are all cells: then
-    the work is that of all pairs. Vectors have one length; keys of queries are expected once.
+    Pivots are a hashed sample, about the square root of the rows and at most ``PIVOT_BYTES``; a row with a null key or vector takes no part. Rows
+    and queries are written once, in the order of their cells, as blocks of bounded size (a hot cell is many blocks). A query is first compared with
+    the cells around it, which gives a k-th score; then with the cells whose bound can beat or equal that score. In the worst case (no structure)
+    these are all cells: then the comparisons are those of all pairs, but what moves is still each block once and the hits.
+    Vectors have one length; keys of queries are expected once.
     """
 
     def __init__(self, corpus: DataFrame, key: str, vec: str, metric: str = "cosine"):
@@ -125,85 +127,49 @@ class MetricIndex:
             top = tree.above[r["cell"]]
             tree.count[r["cell"]], tree.radius[r["cell"]], tree.reach[top] = r["n"], r["r"], max(tree.reach[top], r["high"])
         self.tree = self.spark.sparkContext.broadcast(tree)
-        self.block = max(1, BLOCK_BYTES // (8 * max(width, 1)))
-        self.sizes = self.spark.createDataFrame([(i, int(c), int(-(-c // self.block))) for i, c in enumerate(tree.count) if c], "cell int, held long, chunks int")
-        chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-        chunks = placed.join(self.sizes, "cell").groupBy("cell", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        self.chunks = settle(chunks.select("cell", "chunk", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("mat")), "cells")
+        self.blocks = corpus_blocks(placed, metric)
 
     def _rows(self, df: DataFrame, name: str) -> DataFrame:
         v = F.transform(self.vec, lambda x: x.cast("double"))
         return df.select(F.col(self.key).cast("long").alias(name), v.alias("v")).where(F.col(name).isNotNull() & F.col("v").isNotNull())
 
-    def _packs(self, queries: DataFrame, pairs) -> DataFrame:
-        """(cell, qids, qmat): the queries of a batch that visit a cell, as ``pairs(batch, matrix)`` lists them."""
-        width, block = self.width, self.block
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ids, mat = b["qid"].to_numpy(), matrix(b["v"], width)
-                for cell, rows in pairs(b, mat):
-                    for lo in range(0, len(rows), block):
-                        part = rows[lo:lo + block]
-                        yield pd.DataFrame({"cell": [cell], "qids": [ids[part]], "qmat": [mat[part].ravel()]})
-
-        return queries.mapInPandas(run, "cell int, qids array<long>, qmat array<double>")
-
-    def _search(self, packs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-        metric = self.metric
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    yield from block_best(r.ids, r.mat, r.qids, r.qmat, k, metric, exclude_self)
-
-        asked = packs.join(self.sizes, "cell").select("cell", "qids", "qmat", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        return self.chunks.join(asked, ["cell", "chunk"]).select("ids", "mat", "qids", "qmat").mapInPandas(run, "query_id long, key long, score double")
-
-    def plan(self, queries: DataFrame, k: int, exclude_self: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(hits of the cells around each query, packs of that step, packs of the step after it)."""
+    def plan(self, queries: DataFrame, k: int, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Query blocks with the cells around each query, and with all cells that can hold one of its k best."""
         width, metric, tree = self.width, self.metric, self.tree
         need = k + 1 if exclude_self else k
 
         def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b.assign(homes=tree.value.homes(points(matrix(b["v"], width), metric, 1), need))
-
-        def at_home(b: pd.DataFrame, mat: np.ndarray):
-            rows, cells = np.repeat(np.arange(len(b)), b["homes"].map(len)), np.concatenate([*b["homes"], np.zeros(0, np.int64)]).astype(np.int64)
-            order = cells.argsort(kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
-                if len(part):
-                    yield int(cells[part[0]]), rows[part]
-
-        def beyond(b: pd.DataFrame, mat: np.ndarray):
-            done = [set(map(int, h)) for h in b["homes"]]
-            for cell, rows in tree.value.visits(points(mat, metric, 1), b["far"].fillna(np.inf).to_numpy(np.float64)):
-                left = np.array([r for r in rows if cell not in done[r]], np.int64)
-                if len(left):
-                    yield cell, left
-
-        asked = settle(self._rows(queries, "qid").mapInPandas(home, "qid long, v array<double>, homes array<int>"), "homes")
-        first = self._packs(asked, at_home)
-        hits = settle(ranked(self._search(first, k, exclude_self), k), "home-hits")
-        score = F.col("score")
-        far = F.sqrt(F.greatest(2 - 2 * score, F.lit(0.0))) if metric == "cosine" else -score
-        limits = hits.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), far.alias("far"))
-        return hits, first, self._packs(asked.join(limits, "qid", "left"), beyond)
+                x = points(matrix(b["v"], width), metric, 1)
+                yield b.assign(cell=tree.value.place(x)[0], homes=tree.value.homes(x, need))
+
+        def within(b: pd.DataFrame, lo: int, hi: int):
+            score = b["floor"].iloc[lo:hi].fillna(-np.inf).to_numpy(np.float64)
+            far = np.sqrt(np.maximum(2 - 2 * score, 0.0)) if metric == "cosine" else -score
+            return tree.value.visits(points(matrix(b["v"].iloc[lo:hi], width), metric, 1), far)
+
+        asked = settle(self._rows(queries, "qid").mapInPandas(home, "qid long, v array<double>, cell int, homes array<int>"), "homes")
+        first = query_blocks(asked, "int", metric, lambda b, lo, hi: inverted(b["homes"].iloc[lo:hi]))
+        hits = ranked(search_blocks(self.blocks, first, k, metric, exclude_self), k)
+        floors = settle(hits.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("score").alias("floor")), "floors")
+        return first, query_blocks(asked.drop("homes").join(floors, "qid", "left"), "int", metric, within)
 
     def top_k(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
         """(query_id, key, score, rank), ties to the smaller key."""
         if not self.n:
             return self.spark.createDataFrame([], f"query_id long, `{self.key}` long, score double, rank int")
-        hits, _, later = self.plan(queries, k, exclude_self)
-        return ranked(hits.drop("rank").union(self._search(later, k, exclude_self)), k).withColumnRenamed("key", self.key)
+        later = self.plan(queries, k, exclude_self)[1]
+        return ranked(search_blocks(self.blocks, later, k, self.metric, exclude_self), k).withColumnRenamed("key", self.key)
 
     def pairs(self, queries: DataFrame, k: int, exclude_self: bool = False) -> int:
         """Pairs of vectors that ``top_k`` compares."""
-        _, first, later = self.plan(queries, k, exclude_self)
-        return first.union(later).join(self.sizes, "cell").agg(F.coalesce(F.sum(F.size("qids") * F.col("held")), F.lit(0)).alias("n")).first()["n"]
+        tree = self.tree
 
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for want, bits in zip(b["want"], b["bits"]):
+                    asked = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(want), -1), axis=1).sum(1, dtype=np.int64)
+                    yield pd.DataFrame({"n": [int((asked * tree.value.count[np.asarray(want, np.int64)]).sum())]})
 
-def ranked(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        first, later = self.plan(queries, k, exclude_self)
+        return first.union(later).select("want", "bits").mapInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

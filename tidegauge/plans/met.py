@@ -12,6 +12,7 @@ from tidegauge.operators.predicates import in_box
 from tidegauge.plans.registry import query, rnd, table
 from tidegauge.plans.tops import RANKED
 from tidegauge.plans.wins import NEAR, neighbours
+from tidegauge.session import settle
 
 Y, PRED = "l_extendedprice", "(1500.0::DOUBLE*l_quantity+20000*l_discount)"
 
@@ -336,7 +337,7 @@ def met_34(spark, sf):
  select query_id, round(coalesce(a/nullif(b,0),0),6) ndcg_exp, round(coalesce(la/nullif(lb,0),0),6) ndcg_linear from d""")
 def met_35(spark, sf):
     gap = F.abs(F.col("ql") - F.col("cl"))
-    n = neighbours(spark, sf).withColumn("rel", F.when(gap == 0, 3).when(gap == 1, 1).otherwise(0))
+    n = settle(neighbours(spark, sf), "neighbours").withColumn("rel", F.when(gap == 0, 3).when(gap == 1, 1).otherwise(0))
     a = M.ndcg(n, "query_id", "rank", "rel", 5).select("query_id", rnd("ndcg").alias("ndcg_exp"))
     return a.join(M.ndcg(n, "query_id", "rank", "rel", 5, "linear").select("query_id", rnd("ndcg").alias("ndcg_linear")), "query_id")
 
@@ -344,7 +345,6 @@ def met_35(spark, sf):
 @query("met_36", f"""select doc_id, 'bleu' as metric, round(bleu,6) as value from {BLEU} union all select doc_id, 'chrf', round(chrf,6) from {CHRF}
  union all select doc_id, 'rouge1', round(f1,6) from {rouge_sql(1)} union all select doc_id, 'rouge2', round(f1,6) from {rouge_sql(2)}""")
 def met_36(spark, sf):
-    from tidegauge.session import settle
     p = pairs(spark, sf)
     o = settle(M.word_overlap(p, "doc_id"), "overlap")
     wide = M.bleu(o, p, "doc_id").select("doc_id", "bleu").join(M.chrf(p, "doc_id").select("doc_id", "chrf"), "doc_id").join(
