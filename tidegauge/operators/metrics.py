@@ -218,13 +218,14 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], y:
     ``score(columns) -> Column`` computes the prediction.
     """
     base = settle(row_numbers(df.select(key, y, *features), [key], "_rank"), "ranked")
-    rep = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rep = base.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     rmse = lambda pred: F.sqrt(F.avg(F.pow(F.col(y) - pred, 2)))
     whole = base.agg(rmse(score({f: F.col(f) for f in features})).alias("rmse"))
     out = None
     donor = settle(row_numbers(rep.withColumn("_h", key_hash(key, "repeat", seed=seed)), ["_h", key], "_hr", ["repeat"]).select(
         "repeat", F.col("_hr").alias("_rank"), *[F.col(f).alias(f"_s_{f}") for f in features]), "shuffled")
-    joined = rep.join(donor, ["repeat", "_rank"])
+    # a rank's row meets its donors of all repeats: the rows need no copy a repeat, and neither side goes whole through the driver
+    joined = donor.join(base.drop(key).hint("merge"), "_rank")
     for f in features:
         pred = score({g: F.col(f"_s_{g}") if g == f else F.col(g) for g in features})
         row = joined.groupBy("repeat").agg(rmse(pred).alias("_r")).withColumn("feature", F.lit(f))
