@@ -1,6 +1,8 @@
 """Reproducible randomness: a row's draw depends on its key and a seed, never on partitioning."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,32 @@ def poisson1(u: Column, top: int = POISSON_TOP) -> Column:
     return out
 
 
+def key_prefix(*keys: Column | str) -> Column:
+    """The part of the hashed text that the keys make, to be built once for many draws; null where all keys are null."""
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    return F.when(F.coalesce(*parts).isNotNull(), F.concat_ws("|", *parts))
+
+
+def digest(prefix: Column, draw: Column, seed: int = 42) -> Column:
+    """The md5 whose first eight digits ``key_hash`` reads, from ``key_prefix`` and the number of the draw."""
+    return F.md5(F.concat_ws("|", prefix, draw.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
+def poisson1_of(md5: Column, top: int = POISSON_TOP) -> Column:
+    """``poisson1`` of the digest's ``unit_hash``: equal digits compare as numbers do, so no number is read from them."""
+    cdf, p, steps = 0.0, 2.718281828459045 ** -1, []
+    for k in range(top):
+        cdf += p
+        least = math.ceil(cdf * SPAN)
+        if least < SPAN:
+            steps.append((k, f"{least:08x}"))
+        p /= k + 1
+    out = F.when(md5 < steps[0][1], 0)
+    for k, edge in steps[1:]:
+        out = out.when(md5 < edge, k)
+    return out.otherwise(len(steps))
+
+
 def standard_normal(*keys: Column | str, seed: int = 42) -> Column:
     """Normal draw from two uniform draws (Box-Muller)."""
     u = F.greatest(unit_hash(*keys, seed=seed), F.lit(1e-12))

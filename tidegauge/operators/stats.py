@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.hashing import poisson1, standard_normal, unit_hash
+from tidegauge.functions.hashing import digest, key_prefix, poisson1_of, standard_normal, unit_hash
 from tidegauge.functions.tails import chi2_p, kolmogorov_p, t_critical, t_two_sided_p
 from tidegauge.operators.aggregates import long_form
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
@@ -331,8 +331,8 @@ def sampling_distribution(df: DataFrame, key: str, value: str, sizes: Sequence[i
 
 def bootstrap_means(df: DataFrame, key: str, value: str, reps: int) -> DataFrame:
     """Mean per bootstrap replicate, with Poisson(1) weights drawn from the row key and the replicate."""
-    r = df.select(key, F.col(value).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    r = r.withColumn("w", poisson1(unit_hash(key, "rep")))
+    r = df.select(key_prefix(key).alias("_p"), F.col(value).alias("x")).select("_p", "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    r = r.withColumn("_h", digest(F.col("_p"), F.col("rep"))).withColumn("w", poisson1_of(F.col("_h")))
     return r.groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
 
 
@@ -346,8 +346,9 @@ def bootstrap_coefficients(df: DataFrame, key: Sequence[str], features: Sequence
     """Coefficients of the regression on standardised features per replicate."""
     z = standardise(df, features)
     cols = ["_one", *[f"{f}_z" for f in features], target]
-    r = z.withColumn("_one", F.lit(1.0)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    m = cross_products(r, cols, ["rep"], poisson1(unit_hash(*key, "rep")).cast("double"))
+    r = z.select(key_prefix(*key).alias("_p"), F.lit(1.0).alias("_one"), *cols[1:]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    r = r.withColumn("_h", digest(F.col("_p"), F.col("rep"))).withColumn("_w", poisson1_of(F.col("_h")).cast("double"))
+    m = cross_products(r, cols, ["rep"], F.col("_w"))
     k, names = len(cols), list(features)
 
     def fn(mat):
