@@ -1,7 +1,10 @@
 """Shapes of plans that must hold at any size: what is copied per repeat, threshold, cell or pair of words stays off the network and out of the driver."""
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import digest, key_prefix, poisson1, poisson1_of, unit_hash
+from tidegauge.operators import detection as D
 from tidegauge.operators import metrics as M
+from tidegauge.plans import fns
 
 
 def physical(df):
@@ -12,3 +15,23 @@ def test_permutation_donors_are_not_broadcast(spark):
     d = spark.range(50).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("y"))
     out = M.permutation_importance(d, "id", ["a"], "y", lambda c: c["a"] * 0.5, 3)
     assert "BroadcastHashJoin" not in physical(out) and out.count() == 3
+
+
+def test_boxes_of_small_images_are_not_copied_to_cells(spark):
+    box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("id") + 40.0).alias("x2"), F.lit(40.0).alias("y2"))
+    b = spark.range(30).select((F.col("id") % 10).alias("image"), "id", box.alias("box"), F.lit(0.5).alias("score"))
+    few, cells = D.overlapping(b, b, ["image"], 20.0), D.overlapping(b, b, ["image"], 20.0, crowd=0)
+    assert "Generate" not in physical(few) and "Generate" in physical(cells)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, cells.select(*few.columns).collect())) and few.count() == 90
+
+
+def test_weights_from_digits_are_those_from_numbers(spark):
+    d = spark.range(3_000).withColumn("null", F.lit(None).cast("long"))
+    for keys in (["id"], ["null", "id"], ["null"]):
+        h = d.withColumn("h", digest(key_prefix(*keys), F.col("id"))).select(poisson1_of(F.col("h")).alias("a"), poisson1(unit_hash(*keys, "id")).alias("b"))
+        assert h.where("a <> b").count() == 0 and h.agg(F.max("a")).first()[0] >= 4
+
+
+def test_word_pairs_are_counted_without_moving_them(spark, sf):
+    plan = physical(fns.fn_6(spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in plan

@@ -22,17 +22,36 @@ def _cells(box: Column, size: float) -> Column:
     return F.flatten(F.transform(span(box["x1"], box["x2"]), lambda i: F.transform(span(box["y1"], box["y2"]), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
-    """Pairs with a positive overlap: (keys, a.id, b.id, iou, both scores where present).
+CROWD = 64  # boxes of an image above which its boxes meet in grid cells, not each with each
 
-    Boxes meet in the cells they cover; a pair is kept only in the cell of its intersection's lower
-    corner, which makes it unique without a distinct.
-    """
-    left = a.select(*keys, F.col("id").alias("a_id"), F.col("score").alias("a_score"), F.col("box").alias("a_box"), F.inline(_cells(F.col("box"), cell)))
-    right = b.select(*keys, F.col("id").alias("b_id"), F.col("score").alias("b_score"), F.col("box").alias("b_box"), F.inline(_cells(F.col("box"), cell)))
+
+def _sides(a: DataFrame, b: DataFrame, keys: Sequence[str], extra=()) -> tuple[DataFrame, DataFrame]:
+    return tuple(d.select(*keys, F.col("id").alias(f"{n}_id"), F.col("score").alias(f"{n}_score"), F.col("box").alias(f"{n}_box"), *extra) for n, d in (("a", a), ("b", b)))
+
+
+def _in_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Boxes meet in the cells they cover; a pair is kept only in the cell of its intersection's lower corner, which makes it unique without a distinct."""
+    left, right = _sides(a, b, keys, [F.inline(_cells(F.col("box"), cell))])
     j = left.join(right, [*keys, "cx", "cy"])
     home = (F.floor(F.greatest("a_box.x1", "b_box.x1") / cell) == F.col("cx")) & (F.floor(F.greatest("a_box.y1", "b_box.y1") / cell) == F.col("cy"))
-    return j.where(home).withColumn("iou", iou(F.col("a_box"), F.col("b_box"))).where("iou > 0").drop("cx", "cy", "a_box", "b_box")
+    return j.where(home).drop("cx", "cy")
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float, crowd: int = CROWD) -> DataFrame:
+    """Pairs with a positive overlap: (keys, a.id, b.id, iou, both scores where present).
+
+    In an image of at most ``crowd`` boxes on either side each box meets each other one, and a box moves once; only larger images copy their boxes to grid cells.
+    """
+    keys = list(keys)
+    full = lambda d: d.groupBy(*keys).count().where(F.col("count") > crowd).select(*keys)
+    crowded = settle(full(a) if a is b else full(a).unionByName(full(b)).distinct(), "crowded-images")
+    if crowded.isEmpty():
+        left, right = _sides(a, b, keys)
+        j = left.join(right, keys)
+    else:
+        left, right = _sides(*(d.join(crowded, keys, "left_anti") for d in (a, b)), keys)
+        j = left.join(right, keys).unionByName(_in_cells(*(d.join(crowded, keys, "left_semi") for d in (a, b)), keys, cell))
+    return j.withColumn("iou", iou(F.col("a_box"), F.col("b_box"))).where("iou > 0").drop("a_box", "b_box")
 
 
 def units(pairs: DataFrame, keys: Sequence[str], unit: int, bipartite: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -89,11 +108,12 @@ def _claims_in_rounds(pairs: DataFrame, thresholds: Sequence[float]) -> DataFram
     return claims
 
 
-def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thresholds: Sequence[float], cell: float = 50.0, unit: int = UNIT) -> DataFrame:
+def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thresholds: Sequence[float], cell: float = 50.0, unit: int = UNIT, wide: bool = False) -> DataFrame:
     """(id, score, keys, thr, tp): detections in descending score claim their best unclaimed truth.
 
     Claims never cross images or classes. The outcome equals the sequential pass whatever ``unit`` is. ``preds`` and ``truths`` have id, box
-    (and score); ids are unique over all images. Equal scores and overlaps go to the smaller id.
+    (and score); ids are unique over all images. Equal scores and overlaps go to the smaller id. ``wide``: one row a detection, with the
+    array ``claimed`` of the thresholds at which it has a truth, instead of one row a threshold.
     """
     keys = list(keys)
     t = truths.withColumn("score", F.lit(0.0)) if "score" not in truths.columns else truths
@@ -105,16 +125,30 @@ def greedy_match(preds: DataFrame, truths: DataFrame, keys: Sequence[str], thres
         claims = claims.unionByName(_claims_in_order(parts, ["_c"], thresholds))
         more = _claims_in_rounds(giants, thresholds)
         claims = claims if more is None else claims.unionByName(more)
-    grid = preds.select("id", "score", *keys, F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("thr"))
-    hit = claims.select("thr", F.col("a_id").alias("id"), F.lit(1).cast("long").alias("tp"))
-    return grid.join(hit, ["thr", "id"], "left").na.fill(0, ["tp"])
+    hit = claims.groupBy(F.col("a_id").alias("id")).agg(F.collect_list("thr").alias("claimed"))  # as many as thresholds
+    found = preds.select("id", "score", *keys).join(hit, "id", "left").withColumn("claimed", F.coalesce("claimed", F.array().cast("array<double>")))
+    if wide:
+        return found
+    grid = found.withColumn("thr", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    return grid.select("thr", "id", "score", *keys, F.array_contains("claimed", F.col("thr")).cast("long").alias("tp"))
 
 
 def coco_average_precision(matches: DataFrame, truths: DataFrame, cls: str, thresholds: Sequence[float]) -> DataFrame:
-    """101-point interpolated average precision and recall per class and threshold."""
+    """101-point interpolated average precision and recall per class and threshold. ``matches`` in either form of ``greedy_match``.
+
+    All thresholds share one order of the detections of a class, so wide matches are ordered once for all of them.
+    """
     n = truths.groupBy(cls).agg(F.count(F.lit(1)).alias("num_gt"))
-    matches = settle(matches, "matches")
-    r = running_sums(matches, [-F.col("score"), "id"], {"_tp": "tp", "_rank": F.lit(1).cast("long")}, [cls, "thr"]).join(n, cls)
+    levels = [float(x) for x in thresholds]
+    if "claimed" in matches.columns:
+        one = settle(matches.select("id", "score", cls, "claimed"), "matches")
+        sums = {f"_tp{i}": F.array_contains("claimed", F.lit(x)).cast("long") for i, x in enumerate(levels)}
+        r = running_sums(one, [-F.col("score"), "id"], {**sums, "_rank": F.lit(1).cast("long")}, [cls])
+        each = F.array(*[F.struct(F.lit(x).alias("thr"), F.col(f"_tp{i}").alias("_tp")) for i, x in enumerate(levels)])
+        r = r.select(cls, "_rank", F.inline(each)).join(F.broadcast(n), cls)  # a row a class
+    else:
+        matches = settle(matches, "matches")
+        r = running_sums(matches, [-F.col("score"), "id"], {"_tp": "tp", "_rank": F.lit(1).cast("long")}, [cls, "thr"]).join(n, cls)
     r = r.withColumn("recall", F.col("_tp") / F.col("num_gt")).withColumn("precision", F.col("_tp") / F.col("_rank"))
     # highest recall level a rank reaches; the envelope then runs over at most 101 levels
     lev = r.groupBy(cls, "thr", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("precision").alias("p"), F.max("recall").alias("recall"))
