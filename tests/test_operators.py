@@ -1,8 +1,10 @@
 """Operators against brute force and against values worked by hand."""
 import itertools
 import random
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,27 @@ def test_lcs_agrees_with_brute_force(spark):
         assert r["x"] == brute(pairs[r["id"]][1], pairs[r["id"]][2])
 
 
+def traced_peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def long_pairs(n=150, size=3_000):
+    """Pairs of long texts, each with words of its own; every second word of the candidate stands in the reference."""
+    c = [[f"word-{i}-{j}" for j in range(size)] for i in range(n)]
+    return pa.array(c), pa.array([[w if j % 2 else "other" for j, w in enumerate(x)] for x in c])
+
+
+def test_common_subsequences_hold_one_row_at_a_time():
+    a, b = long_pairs()
+    got, peak = traced_peak(lambda: S.lcs_length.func(a, b))
+    assert got.to_pylist() == [1_500] * 150
+    assert peak < 8
+
+
 def test_ranking_hand_case(spark):
     # fixed values: graded list 0, 2, 0, 1, 3
     import math

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,22 +109,31 @@ def enum_code(name: Column, names: Mapping[int, str]) -> Column:
     return back[name]
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+def row_items(a: pa.Array, i: int) -> list:
+    """Row ``i``'s tokens, or characters of a string."""
+    row = a[i]
+    return row.values.to_numpy(zero_copy_only=False).tolist() if isinstance(row, pa.ListScalar) else list(row.as_py())
+
+
+@F.arrow_udf(T.LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """Longest common subsequence of two token arrays, by bit-parallel rows: one step of a few machine words per token of ``b``.
 
-    Memory is one bit per token of ``a`` for each different token.
+    Memory is one bit per token of ``a`` for each different token that ``b`` has too. One row at a time leaves its Arrow batch.
     """
     out = []
-    for x, y in zip(a, b):
-        at: dict = {}
-        for i, token in enumerate(x):
-            at[token] = at.get(token, 0) | 1 << i
+    for i in range(len(a)):
+        x, y = row_items(a, i), row_items(b, i)
+        at: dict = dict.fromkeys(y, 0)
+        for j, token in enumerate(x):
+            if token in at:
+                at[token] |= 1 << j
         full = (1 << len(x)) - 1
         row = full
         for token in y:
-            hit = row & at.get(token, 0)
+            hit = row & at[token]
             row = ((row + hit) | (row - hit)) & full
         out.append(len(x) - row.bit_count())
-    return pd.Series(out, dtype="int64")
+    pa.default_memory_pool().release_unused()  # workers are reused: what a batch needed is not kept
+    return pa.array(out, pa.int64())
 
