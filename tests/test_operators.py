@@ -180,6 +180,13 @@ def long_pairs(n=150, size=3_000):
     return pa.array(c), pa.array([[w if j % 2 else "other" for j, w in enumerate(x)] for x in c])
 
 
+def test_overlaps_hold_one_pair_at_a_time():
+    c, r = long_pairs()
+    got, peak = traced_peak(lambda: M.count_overlaps(c, r, 2))
+    assert got.to_pylist() == [[{"n": 1, "matched": 1_500, "cand": 3_000, "ref": 3_000}, {"n": 2, "matched": 0, "cand": 2_999, "ref": 2_999}]] * 150
+    assert peak < 8  # all words as Python strings take 30 MB a side
+
+
 def test_common_subsequences_hold_one_row_at_a_time():
     a, b = long_pairs()
     got, peak = traced_peak(lambda: S.lcs_length.func(a, b))

@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import key_hash
-from tidegauge.functions.scalar import lcs_length
+from tidegauge.functions.scalar import lcs_length, row_items
 from tidegauge.operators.aggregates import histogram
 from tidegauge.operators.joins import lookup_join
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums
@@ -253,22 +254,29 @@ def mask_iou(a: DataFrame, b: DataFrame, image: str, x: str, y: str) -> DataFram
 OVERLAP = "array<struct<n: int, matched: bigint, cand: bigint, ref: bigint>>"
 
 
+def count_overlaps(c: pa.Array, r: pa.Array, orders: int) -> pa.Array:
+    """(n, matched, cand, ref) of each pair and order. One pair at a time leaves its Arrow batch, so Python holds the grams of one pair and order."""
+    matched, cand, ref = (np.zeros((len(c), orders), np.int64) for _ in range(3))
+    for i in range(len(c)):
+        a, b = row_items(c, i), row_items(r, i)
+        for n in range(1, orders + 1):
+            y = Counter(zip(*(b[j:] for j in range(n))))
+            x = Counter(g for g in zip(*(a[j:] for j in range(n))) if g in y)
+            matched[i, n - 1], cand[i, n - 1], ref[i, n - 1] = sum(min(k, y[g]) for g, k in x.items()), max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)
+    rows = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(1, orders + 1, dtype=np.int32), len(c))), *(pa.array(v.ravel()) for v in (matched, cand, ref))], names=["n", "matched", "cand", "ref"])
+    pa.default_memory_pool().release_unused()  # workers are reused: what a batch needed is not kept
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * orders), rows)
+
+
 def gram_overlap(pairs: DataFrame, key: str, cand: Column, ref: Column, orders: int) -> DataFrame:
     """Clipped matches and totals per pair and order n = 1..orders, of two token arrays or of the characters of two strings.
 
     A pair is one row, so its grams are counted inside the row, in Arrow batches: nothing is shuffled.
     """
-    def count(c: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(c, r):
-            a, b, rows = list(a), list(b), []
-            for n in range(1, orders + 1):
-                x, y = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))
-                rows.append((n, sum(min(k, y[g]) for g, k in x.items()), max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)))
-            out.append(rows)
-        return pd.Series(out)
-
-    counted = pairs.select(key, F.explode(F.pandas_udf(count, OVERLAP)(cand, ref)).alias("o"))
+    def count(c: pa.Array, r: pa.Array) -> pa.Array:
+        return count_overlaps(c, r, orders)
+
+    counted = pairs.select(key, F.explode(F.arrow_udf(count, OVERLAP)(cand, ref)).alias("o"))
     return counted.select(key, "o.*").where("cand > 0 or ref > 0")
 
 
