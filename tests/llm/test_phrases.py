@@ -83,3 +83,25 @@ def test_scores_beyond_64_bits_are_exact(spark):
 def test_tables_without_rows_or_words(spark):
     docs = spark.createDataFrame([("en", None), (None, " ,.")], "lang string, text string")
     assert P.collocations(docs).collect() == [] and P.collocations(docs.where("lang = 'q'")).collect() == [] and P.top(P.collocations(docs), 3).collect() == []
+
+
+def test_many_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(P, "TEXT_A_BUCKET", 1500, raising=False)
+    monkeypatch.setattr(P, "PAIRS_A_BUCKET", 40, raising=False)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert {(r["lang"], r["phrase"]): tuple(r)[2:] for r in P.collocations(docs, 4).collect()} == brute(rows, 4)
+
+
+def test_counts_move_as_one_short_row_a_block_and_bucket(spark, monkeypatch):
+    r = random.Random(3)
+    docs = spark.createDataFrame([("en", " ".join(f"w{int(r.random() ** 3 * 2000)}" for _ in range(2_000))) for _ in range(40)], "lang string, text string").coalesce(2)
+    moved, real = [], P._group_count
+    monkeypatch.setattr(P, "_group_count", lambda rows, *rest: moved.append(rows.cache()) or real(rows, *rest))
+    P.levels(docs, 2, 3)
+    assert [m.count() for m in moved] == [2, 2, 2]  # two blocks, one bucket
+    for m in moved[1:]:
+        size, data = m.agg(F.sum("size"), F.sum(F.length("data"))).first()
+        assert size > 1_000 and data < 6 * size
+    for m in moved:
+        m.unpersist()
