@@ -1,4 +1,5 @@
 """Collocations against brute force."""
+import os
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge import session
 from tidegauge.llm import phrases as P
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +107,18 @@ def test_counts_move_as_one_short_row_a_block_and_bucket(spark, monkeypatch):
         assert size > 1_000 and data < 6 * size
     for m in moved:
         m.unpersist()
+
+
+def test_relations_of_finished_levels_are_deleted(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(P, "scratch", lambda s, name: made.append(session.scratch(s, name)) or made[-1], raising=False)
+    docs = spark.createDataFrame([("en", "a b c d e f " * 20)] * 3, "lang string, text string")
+    assert len(P.collocations(docs, 5).collect()) and len(made) == 5
+    assert not any(os.path.exists(path) for path in made)
+    kept = session.scratch(spark, "step")
+    session.settle(docs, path=kept)
+    with pytest.raises(ValueError):
+        session.discard(spark, os.path.dirname(os.path.dirname(kept)))
+    assert os.path.exists(kept)
+    session.discard(spark, kept)
+    assert not os.path.exists(kept)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.batches import bounded
 from tidegauge.llm.bytewords import LOWER, U64, mix, split_words, text_buffer
-from tidegauge.session import settle
+from tidegauge.session import discard, scratch, settle
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose words, and occurrences whose pairs, share a bucket on average.
@@ -77,9 +77,13 @@ def vocabulary(raw: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.nd
     return code, np.unique(code, return_index=True)[1]
 
 
+def _compressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers, compressed with like bytes of all numbers side by side: high bytes cost next to nothing."""
-    return pa.compress(b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+    return _compressed(b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns))
 
 
 def _unpacked(b: bytes, size: int, columns: int = 1) -> np.ndarray:
@@ -127,7 +131,7 @@ def _split(buckets: int):
             code, one, bucket, size = number[code], one[order], bucket[order], size[order]
             tongue, n = group[one], np.bincount(code, minlength=len(one))
             lists = [{"bucket": int(bucket[a]), "first": a, "size": z - a, "data": _packed(tongue[a:z], n[a:z], size[a:z]),
-                      "text": pa.compress(slices(raw, w.start[one[a:z]], size[a:z]).tobytes(), codec="zstd", asbytes=True)} for a, z in _runs(bucket)]
+                      "text": _compressed(slices(raw, w.start[one[a:z]], size[a:z]).tobytes())} for a, z in _runs(bucket)]
             yield pa.RecordBatch.from_arrays(
                 [*_occurrences(block, pos, code), pa.array([lang.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([np.bincount(group, minlength=len(lang.dictionary)).tolist()]),
                  pa.array([lists], pa.list_(pa.struct([(k, pa.binary() if k in ("data", "text") else pa.int64()) for k in ("bucket", "first", "size", "data", "text")])))], names=[f.name for f in FIRST])
@@ -201,10 +205,10 @@ def _keep(joined: bool, buckets: int = 1):
     return scan
 
 
-def _semi_join(blocks: DataFrame, found: DataFrame, joined: bool, buckets: int = 1) -> DataFrame:
-    """The next relation, settled: ``found`` (block, kinds, kept) names the frequent phrases of each block."""
+def _semi_join(blocks: DataFrame, found: DataFrame, path: str, joined: bool, buckets: int = 1) -> DataFrame:
+    """The next relation, settled at ``path``: ``found`` (block, kinds, kept) names the frequent phrases of each block."""
     kept = found.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("kinds", "kept")).alias("kept"))
-    return settle(blocks.join(kept, "block").mapInArrow(_keep(joined, buckets), BLOCKS), "occurrences")
+    return settle(blocks.join(kept, "block").mapInArrow(_keep(joined, buckets), BLOCKS), path=path)
 
 
 def _frequent(rows: list[dict], key: np.ndarray, n: np.ndarray, least: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
@@ -280,12 +284,15 @@ def levels(docs: DataFrame, least: int = 100, words: int = 5) -> tuple[list[Data
     words) holds every phrase of k words with f >= least; totals (lang, total) counts all words."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     buckets = _shares(rows, "octet_length(text)", TEXT_A_BUCKET)
-    blocks = settle(rows.mapInArrow(_split(buckets), FIRST), "words")
-    totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("g")).groupBy(F.col("g.langs").alias("lang")).agg(F.sum("g.totals").alias("total"))
+    spark = docs.sparkSession
+    relations = [scratch(spark, "occurrences") for _ in range(words)]  # each is deleted once the next one lies written
+    blocks = settle(rows.mapInArrow(_split(buckets), FIRST), path=relations[0])
+    totals = settle(blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("g")).groupBy(F.col("g.langs").alias("lang")).agg(F.sum("g.totals").alias("total")), "totals")
     hits = _group_count(blocks.select("block", "langs", F.inline("lists")), _count_words(least, buckets), "lang string, phrase string")
     c = hits.where("id is not null").select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     out = [c]
-    occurrences = _semi_join(blocks.select("block", "size", "pos", "code"), hits, False)
+    occurrences = _semi_join(blocks.select("block", "size", "pos", "code"), hits, relations[1], False) if words > 1 else None
+    discard(spark, relations[0])
     for k in range(2, words + 1):
         buckets = _shares(occurrences, "size", PAIRS_A_BUCKET)
         hits = _group_count(occurrences.mapInArrow(_pairs(buckets), PAIRS), _count_pairs(least, buckets), "a long, b long")
@@ -296,7 +303,8 @@ def levels(docs: DataFrame, least: int = 100, words: int = 5) -> tuple[list[Data
             F.concat("tails", F.array("f")).alias("tails"), "a", "b"), "phrases")
         out.append(longer)
         if k < words:
-            occurrences = _semi_join(occurrences, hits, True, buckets)
+            occurrences = _semi_join(occurrences, hits, relations[k], True, buckets)
+        discard(spark, relations[k - 1])
         c = longer
     return out, totals
 

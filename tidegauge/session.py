@@ -41,23 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a step to the shared folder and read it back.
+def settle(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
+    """Write a step to the shared folder (at ``path``, a scratch path, if given) and read it back.
 
     For steps that several branches of a plan need: Spark would compute each branch's copy from the raw
     table. The written step also survives the loss of an executor.
     """
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one settled step of this application that no later job reads."""
+    if not path.startswith(f"{_own(spark)}/"):
+        raise ValueError(f"not a scratch path of this application: {path}")
+    _delete(spark, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's scratch steps, once no result that reads them is in use."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}")
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _own(spark))
