@@ -105,6 +105,16 @@ def test_dense_cluster_of_fingerprints_keeps_every_link(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_cells_of_the_points_are_never_broadcast(spark):
+    """Points under Spark's broadcast size become a row a grid, so no side that comes from them may be collected by the driver."""
+    prints = [random.Random(i // 2).getrandbits(64) ^ i % 2 for i in range(200)]
+    x = np.array(prints, np.uint64)
+    points = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x.view(np.int64), S.thermometer(x, 2).view(np.int64))], "fp long, code long")
+    found = S.links(S.settle(points, "points"))  # written, so that Spark knows a size
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {frozenset((r["u"] % 2**64, r["v"] % 2**64)) for r in found.collect()} == {frozenset(prints[i:i + 2]) for i in range(0, 200, 2)}
+
+
 def test_nulls_repeats_clashing_columns_and_the_empty_table(spark):
     rows = [(None, "a b c d e", 1, "x"), (7, "a b c d e", 2, "y"), (7, "a b c d e", 2, "y"), (3, None, 3, None), (None, "", 4, "z"), (9, "q r s t u v", 5, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, label string")

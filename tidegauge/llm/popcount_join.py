@@ -188,7 +188,8 @@ def links(points: DataFrame, radius: int = 3, width: int = 2) -> DataFrame:
     members = points.select(F.col("fp").alias("d"), "code", F.explode(F.array(*cells)).alias("key"))
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.bit_xor(F.xxhash64("d")).alias("x")).where("n > 1")
     once = full.groupBy("n", "least", "x").agg(F.min("key").alias("key"))  # near copies meet in many cells
-    sized = members.join(once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "key")
+    # Spark sizes what explode returns by the rows that go in, and would broadcast a point's cells, one row a grid
+    sized = members.hint("merge").join(once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "key")
     return in_blocks(sized, "key", ["code"]).mapInArrow(_join(radius), EDGES)
 
 
