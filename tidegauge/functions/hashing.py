@@ -47,15 +47,21 @@ def digest(prefix: Column, draw: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", prefix, draw.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def poisson1_of(md5: Column, top: int = POISSON_TOP) -> Column:
-    """``poisson1`` of the digest's ``unit_hash``: equal digits compare as numbers do, so no number is read from them."""
-    cdf, p, steps = 0.0, 2.718281828459045 ** -1, []
+def poisson1_edges(top: int = POISSON_TOP) -> list[int]:
+    """The least first eight digits, as numbers, of the counts 1, 2, ... of ``poisson1``."""
+    cdf, p, edges = 0.0, 2.718281828459045 ** -1, []
     for k in range(top):
         cdf += p
         least = math.ceil(cdf * SPAN)
         if least < SPAN:
-            steps.append((k, f"{least:08x}"))
+            edges.append(least)
         p /= k + 1
+    return edges
+
+
+def poisson1_of(md5: Column, top: int = POISSON_TOP) -> Column:
+    """``poisson1`` of the digest's ``unit_hash``: equal digits compare as numbers do, so no number is read from them."""
+    steps = [(k, f"{least:08x}") for k, least in enumerate(poisson1_edges(top))]
     out = F.when(md5 < steps[0][1], 0)
     for k, edge in steps[1:]:
         out = out.when(md5 < edge, k)

@@ -1,14 +1,16 @@
 """Tests and estimators. Each reduces the table by partial aggregation to a row (or a small matrix) per group."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.hashing import digest, key_prefix, poisson1_of, standard_normal, unit_hash
+from tidegauge.functions.digests import LANES, counted, counts, first_numbers
+from tidegauge.functions.hashing import digest, key_prefix, poisson1_edges, poisson1_of, standard_normal, unit_hash
 from tidegauge.functions.tails import chi2_p, kolmogorov_p, t_critical, t_two_sided_p
 from tidegauge.operators.aggregates import long_form
 from tidegauge.operators.ordering import attach, exact_quantiles, row_numbers, running_sums, same
@@ -342,14 +344,72 @@ def bootstrap_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     return means.agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"), F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"))
 
 
+HELD_ROWS = 1 << 18  # rows of a task whose texts are dealt by length together
+DRAWS = 32  # replicates whose weights are held at a time
+
+
+def _weighted_products(reps: int, k: int, seed: int = 42, held: int = HELD_ROWS):
+    """Per task and replicate: sums of w x products of all column pairs, w drawn from the row's text and the replicate as ``poisson1_of`` does."""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counted(poisson1_edges())
+        endings = [f"{r}|{seed}".encode() for r in range(1, reps + 1)]
+        total, seen = np.zeros((reps, len(pairs))), np.zeros(len(pairs), bool)
+
+        def add(rows: pa.Table) -> None:
+            text = rows.column("_p").cast(pa.large_binary()).combine_chunks()
+            off = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
+            raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+            cols = [rows.column(c).combine_chunks() for c in rows.column_names[1:]]
+            there = [np.asarray(c.is_valid()) for c in cols]
+            value = [np.where(v, c.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0) for c, v in zip(cols, there)]
+            both = [there[i] & there[j] for i, j in pairs]
+            seen[:] |= [bool(v.any()) for v in both]
+            product = np.stack([np.where(v, value[i] * value[j], 0.0) for (i, j), v in zip(pairs, both)], axis=1)
+            size = np.diff(off)
+            order = np.argsort(size, kind="stable")
+            cut = np.flatnonzero(np.diff(size[order])) + 1
+            for part in np.split(order, cut):
+                for at in np.array_split(part, -(-len(part) // LANES)):
+                    heads = raw[off[at][:, None] + np.arange(size[at[0]])]
+                    x = product[at]
+                    w, first = np.empty((min(DRAWS, reps), len(at))), 0
+                    for r, numbers in enumerate(first_numbers(heads, endings)):
+                        w[r - first] = counts(numbers, table)
+                        if r + 1 - first == len(w) or r + 1 == reps:
+                            total[first:r + 1] += w[:r + 1 - first] @ x
+                            first = r + 1
+
+        rest, n = [], 0
+        for batch in batches:
+            rest.append(batch)
+            n += batch.num_rows
+            if n >= held:
+                add(pa.Table.from_batches(rest))
+                rest, n = [], 0
+        if n:
+            add(pa.Table.from_batches(rest))
+        if seen.any():  # any row has the constant column
+            sums = [pa.array(total[:, p], mask=np.full(reps, not seen[p])) for p in range(len(pairs))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1, dtype=np.int32)), *sums], names=["rep", *[f"m_{i}_{j}" for i, j in pairs]])
+
+    return scan
+
+
 def bootstrap_coefficients(df: DataFrame, key: Sequence[str], features: Sequence[str], target: str, reps: int) -> DataFrame:
-    """Coefficients of the regression on standardised features per replicate."""
+    """Coefficients of the regression on standardised features per replicate, with Poisson(1) weights drawn from the row key and the replicate.
+
+    A task makes the weights of its rows in numpy and hands over one row a replicate; no row is copied.
+    """
     z = standardise(df, features)
     cols = ["_one", *[f"{f}_z" for f in features], target]
-    r = z.select(key_prefix(*key).alias("_p"), F.lit(1.0).alias("_one"), *cols[1:]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    r = r.withColumn("_h", digest(F.col("_p"), F.col("rep"))).withColumn("_w", poisson1_of(F.col("_h")).cast("double"))
-    m = cross_products(r, cols, ["rep"], F.col("_w"))
     k, names = len(cols), list(features)
+    text = F.coalesce(F.concat(key_prefix(*key), F.lit("|")), F.lit("")).cast("binary")
+    rows = z.select(text.alias("_p"), F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in cols[1:]])
+    sums = [f"m_{i}_{j}" for i in range(k) for j in range(i, k)]
+    part = rows.mapInArrow(_weighted_products(reps, k), ", ".join(["rep int", *[f"{c} double" for c in sums]]))
+    m = part.groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums])
 
     def fn(mat):
         beta = np.linalg.solve(mat[:k - 1, :k - 1], mat[:k - 1, k - 1])
