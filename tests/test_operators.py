@@ -334,3 +334,16 @@ def test_auc_with_ties(spark):
     auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
     assert M.roc_auc(c).first()[0] == pytest.approx(auc)
     assert M.average_precision(c).first()[0] == pytest.approx(1 / 3 * 0.5 + 1 / 3 * 2 / 3 + 1 / 3 * 0.5)
+
+
+def test_equal_draws_of_a_random_search_are_fitted_once(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tidegauge.operators import ml as ML
+
+    d = spark.range(300).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5 + F.sin("id")).alias("y"), ((F.col("id") % 100) / 100).alias("u"))
+    made = []
+    make = lambda **kw: made.append(kw) or RandomForestRegressor(seed=42, **kw)
+    got = ML.random_search(d, ["x"], "y", F.col("u"), {"maxDepth": [1, 2], "numTrees": [2]}, 5, make, 3).collect()
+    assert [r["draw"] for r in got] == [0, 1, 2, 3, 4] and len({(r["params"], r["rmse"]) for r in got}) == len({r["params"] for r in got})
+    assert len(made) == 3 * len({r["params"] for r in got}) < 15
